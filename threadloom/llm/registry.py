@@ -11,6 +11,7 @@ NAMES = (
     "op1_warc",
     "op2_secret_scans",
     "op3_token_counts",
+    "op5_ngram_jaccard",
     "op9_packing",
     "op10_quality_rules",
 )
