@@ -12,6 +12,7 @@ NAMES = (
     "op2_secret_scans",
     "op3_token_counts",
     "op5_ngram_jaccard",
+    "op7_language_id",
     "op9_packing",
     "op10_quality_rules",
 )
