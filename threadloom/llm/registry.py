@@ -13,6 +13,7 @@ NAMES = (
     "op3_token_counts",
     "op5_ngram_jaccard",
     "op7_language_id",
+    "op8_lm_scoring",
     "op9_packing",
     "op10_quality_rules",
 )
