@@ -11,7 +11,9 @@ NAMES = (
     "op1_warc",
     "op2_secret_scans",
     "op3_token_counts",
+    "op4_chat_formatting",
     "op5_ngram_jaccard",
+    "op6_decontamination",
     "op7_language_id",
     "op8_lm_scoring",
     "op9_packing",
