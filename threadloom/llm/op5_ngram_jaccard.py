@@ -125,8 +125,10 @@ def links_of(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: int
     seen = posting.join(often, "t")
     chosen = seen.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("list"), F.sum("c").alias("typical"))
     chosen = chosen.withColumn("u", F.col("n") - F.size("list")).withColumn("keep", (p - F.col("u")).cast("int")).where("keep > 0")
-    prefix = chosen.select("id", "n", "u", "typical", F.explode(F.slice("list", 1, F.col("keep"))).alias("x"))
-    prefix = materialise(prefix.select("id", "n", "u", "typical", F.col("x.t").alias("t")), "prefix")
+    prefix = chosen.select("id", "n", "u", "typical", F.posexplode(F.slice("list", 1, F.col("keep"))).alias("i", "x"))
+    # after: how many shingles of the set come from this one on, in the common order (own ones first); at the first
+    # shingle that two sets share, both numbers bound their overlap
+    prefix = materialise(prefix.select("id", "n", "u", "typical", (F.col("n") - F.col("u") - F.col("i")).alias("after"), F.col("x.t").alias("t")), "prefix")
     # 4: leaders
     leader = prefix.groupBy("t").agg(F.max(F.struct("typical", F.negative("id").alias("m"), "n", "u")).alias("l"), F.count(F.lit(1)).alias("c")).where("c > 1")
     leader = leader.select("t", F.negative("l.m").alias("b"), F.col("l.n").alias("nb"), F.col("l.u").alias("ub"))
@@ -139,12 +141,14 @@ def links_of(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: int
     number_of = member.groupBy("comp").agg(F.count(F.lit(1)).alias("m"))
     member = member.join(number_of, "comp").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / GROUP)).cast("int"))
     member = materialise(member.select("id", "n", "u", "comp", "block"), "members")
-    placed = prefix.select("id", "t").join(member, "id")
-    matrix = placed.groupBy("t", "comp", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("u").alias("least"))
-    query = placed.select(F.col("id").alias("q"), F.col("n").alias("nq"), F.col("u").alias("uq"), F.col("comp").alias("cq"), "t")
+    placed = prefix.select("id", "t", "after").join(member.join(number_of, "comp"), "id")
+    matrix = placed.groupBy("t", "comp", "block", "m").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("after").alias("most"))
+    query = placed.select(F.col("id").alias("q"), F.col("n").alias("nq"), F.col("after").alias("aq"), F.col("comp").alias("cq"), F.col("m").alias("mq"), "t")
     near = (100 * F.col("high") >= threshold * F.col("nq")) & (100 * F.col("nq") >= threshold * F.col("low"))
-    room = (100 + threshold) * (F.col("uq") + F.col("least")) <= (100 - threshold) * (F.col("nq") + F.col("high"))
-    met = query.join(matrix, "t").where((F.col("cq") != F.col("comp")) & near & room).select("q", "nq", "comp", "block").distinct()
+    room = (100 + threshold) * F.least("aq", "most") >= threshold * (F.col("nq") + F.col("low"))
+    # the smaller component asks the larger one, of equal ones the one with the larger label
+    asks = (F.col("mq") < F.col("m")) | ((F.col("mq") == F.col("m")) & (F.col("cq") > F.col("comp")))
+    met = query.join(matrix, "t").where(asks & near & room).select("q", "nq", "comp", "block").distinct()
     met = materialise(met, "met")
     wanted = met.select("comp", "block").distinct()
     unions = member.join(wanted, ["comp", "block"]).join(sets.select("id", "tokens"), "id")
