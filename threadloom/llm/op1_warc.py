@@ -9,7 +9,7 @@ Reading: Spark's text reader cuts archives at the magic ``WARC/1.0 CR LF`` (in p
 not. Each task parses its candidates and emits (offset, successor's offset). Per archive, pointer jumping from
 the file's start (next := next o next, about log2 n rounds) keeps the reachable candidates; magic inside a
 payload is never reached and its bytes go back to the record around it. Only candidates that don't
-end where the next one starts carry their bytes to that step. A group there is one archive file: the writer bounds its
+end where the next one starts, and what follows them up to their end, carry their bytes to that step. A group there is one archive file: the writer bounds its
 records (``per_file``).
 
 Null payloads are empty. Rows with a null id are written without one and read back with null. Of rows
@@ -130,12 +130,12 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     text = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, k = None, 0
+        place, k, at, cover = None, 0, 0, 0
         names = [x.split()[0] for x in ROW.split(", ")]
         for b in batches:
             out = {n: [] for n in names}
             for file, block, body in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                k = k + 1 if (file, block) == place else 0
+                k, at, cover = (k + 1, at, cover) if (file, block) == place else (0, 0, 0)
                 place = (file, block)
                 got = parse(body)
                 head, length, fields = got or (-1, -1, {})
@@ -145,7 +145,11 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
                 row |= {n: fields[n].decode("utf-8", "replace") if n in fields else None for n in ("kind", "page", "refers", "digest")}
                 row["payload_bytes"] = int(fields["bytes"]) if fields.get("bytes", b"").isdigit() else None
                 row["sha"] = digest_of(payload) if whole else None
-                row["body"] = None if whole or not body else body
+                # bytes go along where a record that began before may reach; in a later block of a file that is not known
+                if got is not None and not whole:
+                    cover = max(cover, at + head + length + 4)
+                row["body"] = body if body and (not whole or at < cover or block) else None
+                at += len(body) + len(MAGIC)
                 for n in names:
                     out[n].append(row[n])
             types = {"block": pa.int64(), "k": pa.int32(), "size": pa.int64(), "head": pa.int32(), "length": pa.int64(), "payload_bytes": pa.int64(), "body": pa.binary()}
