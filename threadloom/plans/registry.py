@@ -4,12 +4,286 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as ft
+from ..operators import lists, profile, stability, text, threads
+from ..sources import adapters as ad
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+EVENTS = ad.MESSAGES + """, events_ AS (
+  SELECT m.*, CASE WHEN parent_id LIKE 't1!_%' ESCAPE '!' THEN 'comment' WHEN parent_id LIKE 't3!_%' ESCAPE '!' THEN 'submission' WHEN parent_id IS NOT NULL THEN 'other' END AS parent_kind,
+    record_type = 'submission' AS is_thread_root, r.doc_key IS NOT NULL AS thread_root_in_dataset,
+    CASE WHEN parent_id IS NOT NULL THEN p.doc_key IS NOT NULL END AS parent_in_dataset, length(text)::INTEGER AS text_n_chars
+  FROM messages m LEFT JOIN (SELECT DISTINCT doc_key FROM messages WHERE record_type = 'submission') r ON r.doc_key = thread_id
+    LEFT JOIN (SELECT DISTINCT doc_key FROM messages) p ON p.doc_key = parent_id
+)"""
+
+
+def _events(spark, sf):
+    return threads.canonical(ad.messages(spark, sf))
+
+
+@query(f"""WITH {EVENTS} SELECT doc_key, record_type, author, thread_id, parent_id, created, text, parent_kind, is_thread_root, thread_root_in_dataset,
+  parent_in_dataset, text_n_chars FROM events_""")
+def p02_canonical_events(spark, sf):
+    return _events(spark, sf)
+
+
+@query(f"""WITH {EVENTS}, r AS (SELECT thread_id, author AS root_author FROM events_ WHERE is_thread_root),
+c AS (SELECT thread_id, count(*) AS n_comments, count(DISTINCT author) AS n_authors, count(*) FILTER (parent_kind = 'submission') AS n_to_root,
+  count(*) FILTER (parent_in_dataset) AS n_parents_present, min(created) AS first_created, max(created) AS last_created FROM events_ WHERE NOT is_thread_root GROUP BY 1)
+SELECT coalesce(r.thread_id, c.thread_id) AS thread_id, root_author, r.thread_id IS NOT NULL AS root_present, coalesce(n_comments, 0) AS n_comments,
+  coalesce(n_authors, 0) AS n_authors, coalesce(n_to_root, 0) AS n_to_root, coalesce(n_parents_present, 0) AS n_parents_present, first_created, last_created,
+  coalesce(n_comments, 0) + (r.thread_id IS NOT NULL)::BIGINT AS n_events
+FROM r FULL JOIN c ON r.thread_id = c.thread_id""")
+def a01_thread_summary(spark, sf):
+    return threads.thread_summary(_events(spark, sf))
+
+
+@query(f"""WITH {EVENTS} SELECT CASE WHEN NOT regexp_matches(parent_id, '^t[13]_[0-9a-z_]+$') THEN 'malformed' WHEN parent_id = thread_id THEN 'own submission'
+  WHEN parent_id LIKE 't3!_%' ESCAPE '!' THEN 'other submission' WHEN parent_in_dataset THEN 'comment in sample' ELSE 'not in sample' END AS parent_class, count(*) AS n
+FROM events_ WHERE NOT is_thread_root GROUP BY 1""")
+def p05_parent_classes(spark, sf):
+    return threads.parent_classes(_events(spark, sf))
+
+
+@query(f"""WITH {EVENTS}, f AS (SELECT count(*) AS "events", count(*) FILTER (is_thread_root) AS "submissions", count(*) FILTER (NOT is_thread_root) AS "comments",
+  count(DISTINCT thread_id) AS "threads", count(*) FILTER (NOT thread_root_in_dataset) AS "root absent", count(*) FILTER (NOT parent_in_dataset) AS "parent absent",
+  count(*) FILTER (parent_kind = 'submission') AS "replies to submissions", count(*) FILTER (parent_kind = 'comment') AS "replies to comments" FROM events_)
+SELECT item, value FROM (UNPIVOT f ON COLUMNS(*) INTO NAME item VALUE value)""")
+def a03_linkage_summary(spark, sf):
+    return threads.linkage(_events(spark, sf))
+
+
+@query("""SELECT user_id AS author, count(*) AS n_events, count(DISTINCT event_type) AS n_kinds, count(DISTINCT ts::DATE) AS n_days, min(ts) AS first_at, max(ts) AS last_at FROM events GROUP BY 1""")
+def a02_author_summary(spark, sf):
+    return threads.author_summary(ad.read(spark, sf, "events"), "user_id", "event_type", "ts")
+
+
+def _coverage_sql(table: str, columns: list[str]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS field, count(*) AS records, count(*) FILTER ({c} IS NULL) AS missing, count(*) FILTER ({c}::VARCHAR = '') AS empty, "
+        f"count(*) FILTER ({c}::VARCHAR <> '') AS usable, count(DISTINCT {c}) FILTER ({c}::VARCHAR <> '') AS n_distinct FROM {table}" for c in columns
+    )
+
+
+@query(_coverage_sql("documents", ["doc_id", "text", "lang", "source", "n_chars"]))
+def a04_field_coverage(spark, sf):
+    return profile.field_coverage(ad.read(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
+
+
+KINDS = ["click", "error", "purchase", "signup", "view"]
+
+
+@query("SELECT ts::DATE::VARCHAR AS day, " + ", ".join(f"count(*) FILTER (event_type = '{k}') AS {k}" for k in KINDS) + ", "
+       + " + ".join(f"count(*) FILTER (event_type = '{k}')" for k in KINDS) + " AS total FROM events GROUP BY 1")
+def a08_daily_wide(spark, sf):
+    return profile.daily_wide(ad.read(spark, sf, "events"), "ts", "event_type", KINDS)
+
+
+@query("SELECT hour(ts)::INTEGER AS hour, count(*) AS n, count(DISTINCT user_id) AS n_users FROM events GROUP BY 1")
+def a09_hourly_activity(spark, sf):
+    return ad.read(spark, sf, "events").groupBy(F.hour("ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("n_users"))
+
+
+@query("SELECT md5(text) AS text_md5, count(*) AS occurrences, count(DISTINCT source) AS n_within FROM documents GROUP BY text HAVING count(*) > 1")
+def a10_duplicate_texts(spark, sf):
+    return profile.duplicate_texts(ad.read(spark, sf, "documents"), "text", "source")
+
+
+@query("SELECT occurrences, count(*) AS n_texts FROM (SELECT count(*) AS occurrences FROM documents GROUP BY text) GROUP BY 1")
+def a11_frequency_of_frequencies(spark, sf):
+    d = ad.read(spark, sf, "documents")
+    return d.groupBy(F.md5("text").alias("m")).agg(F.count(F.lit(1)).alias("occurrences")).groupBy("occurrences").agg(F.count(F.lit(1)).alias("n_texts"))
+
+
+@query("""SELECT lang, source, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY lang), 9) AS share FROM documents GROUP BY 1, 2""")
+def a07_shares(spark, sf):
+    return profile.shares(ad.read(spark, sf, "documents"), "lang", "source")
+
+
+@query("""SELECT CASE WHEN n_chars <= -1 THEN NULL WHEN n_chars <= 500 THEN '0-500' WHEN n_chars <= 2000 THEN '501-2000' WHEN n_chars <= 8000 THEN '2001-8000' ELSE '8001+' END AS band,
+  count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1""")
+def a12_length_bands(spark, sf):
+    band = ft.right_closed(F.col("n_chars"), [-1, 500, 2000, 8000], ["0-500", "501-2000", "2001-8000", "8001+"])
+    return ad.read(spark, sf, "documents").groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+
+
+WAITS = ["before root", "<=1h", "1h-1d", "1d-1w", ">1w"]
+
+
+@query(f"""WITH {ad.REPLIES}, b AS (SELECT CASE WHEN time - root_time < 0 THEN 0 WHEN time - root_time <= 3600 THEN 1 WHEN time - root_time <= 86400 THEN 2
+  WHEN time - root_time <= 604800 THEN 3 ELSE 4 END AS ord FROM replies), c AS (SELECT ord, count(*) AS n FROM b GROUP BY 1),
+d AS (SELECT unnest([0,1,2,3,4]) AS ord, unnest({WAITS!r}) AS wait), f AS (SELECT d.ord, wait, coalesce(n, 0) AS n FROM d LEFT JOIN c USING (ord))
+SELECT ord, wait, n, sum(n) OVER (ORDER BY ord)::BIGINT AS cumulative, round(sum(n) OVER (ORDER BY ord) / sum(n) OVER (), 9) AS cumulative_share FROM f""")
+def a14_reply_time_bands(spark, sf):
+    s = F.col("time") - F.col("root_time")
+    wait = F.when(s < 0, WAITS[0]).when(s <= 3600, WAITS[1]).when(s <= 86400, WAITS[2]).when(s <= 604800, WAITS[3]).otherwise(WAITS[4])
+    return profile.completed(ad.replies(spark, sf).groupBy(wait.alias("wait")).agg(F.count(F.lit(1)).alias("n")), "wait", WAITS)
+
+
+@query("SELECT source, count(n_chars) AS n, " + ", ".join(f"round(quantile_cont(n_chars, {p}), 6) AS p{round(100 * p):02d}" for p in (0.05, 0.25, 0.5, 0.75, 0.95)) + " FROM documents GROUP BY 1")
+def a19_quantiles(spark, sf):
+    return profile.quantiles(ad.read(spark, sf, "documents"), "n_chars", "source")
+
+
+@query("SELECT least(ceil((value / 100) / 0.02), 50)::INTEGER AS bin, count(*) AS n FROM events GROUP BY 1")
+def a16_fixed_bins(spark, sf):
+    return profile.fixed_bins(ad.read(spark, sf, "events").select((F.col("value") / 100).alias("v")), "v", 0.02, 50)
+
+
+@query("""WITH c AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1), r AS (SELECT n, row_number() OVER (ORDER BY n) AS i FROM c)
+SELECT count(*) AS n, round(2 * sum(n * i) / (count(*) * sum(n)) - (count(*) + 1) / count(*), 9) AS gini FROM r""")
+def a34_gini(spark, sf):
+    return profile.gini(ad.read(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")), "n")
+
+
+@query("""SELECT lang, round(-sum(p * log2(p + 1e-12)), 6) AS entropy FROM (SELECT lang, source, count(*) / sum(count(*)) OVER (PARTITION BY lang) AS p FROM documents GROUP BY 1, 2) GROUP BY 1""")
+def a35_entropy(spark, sf):
+    p = profile.shares(ad.read(spark, sf, "documents"), "lang", "source")
+    p = p.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("lang")))
+    return p.groupBy("lang").agg(F.round(-F.sum(F.col("p") * F.log2(F.col("p") + 1e-12)), 6).alias("entropy"))
+
+
+@query("SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 6) AS pearson FROM lineitem GROUP BY 1")
+def a36_correlation(spark, sf):
+    return ad.read(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("pearson"))
+
+
+@query("""WITH c AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1) SELECT user_id, n, rank() OVER (ORDER BY n) + (count(*) OVER (PARTITION BY n) - 1) / 2 AS avg_rank,
+  rank() OVER (ORDER BY n) AS min_rank FROM c""")
+def w12_average_ranks(spark, sf):
+    return profile.average_ranks(ad.read(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")), "user_id", "n")
+
+
+@query(f"""WITH {ad.REPLIES}, r AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY time, author, line, part) AS rn, count(*) OVER (PARTITION BY root) AS n_replies,
+  min(time) OVER (PARTITION BY root) AS t0 FROM replies), t AS (SELECT root, count(*) AS n_tied FROM r WHERE time = t0 GROUP BY 1)
+SELECT root, author AS first_author, n_replies, n_tied, time - root_time AS elapsed FROM r JOIN t USING (root) WHERE rn = 1""")
+def w01_first_replies(spark, sf):
+    return threads.first_replies(ad.replies(spark, sf))
+
+
+@query("""WITH c AS (SELECT occurrences, count(*) AS n_texts FROM (SELECT count(*) AS occurrences FROM documents GROUP BY text) GROUP BY 1)
+SELECT occurrences, n_texts, round(sum(n_texts) OVER w / sum(n_texts) OVER (), 9) AS text_share, round(sum(occurrences * n_texts) OVER w / sum(occurrences * n_texts) OVER (), 9) AS row_share
+FROM c WINDOW w AS (ORDER BY occurrences DESC)""")
+def w03_concentration(spark, sf):
+    return threads.concentration(ad.read(spark, sf, "documents").select(F.md5("text").alias("t")), "t")
+
+
+@query("""SELECT md5(text) AS text_md5, count(*) AS occurrences, length(text) AS n_chars FROM documents GROUP BY text ORDER BY occurrences DESC, text LIMIT 300""")
+def w05_top_texts(spark, sf):
+    d = ad.read(spark, sf, "documents").groupBy("text").agg(F.count(F.lit(1)).alias("occurrences")).orderBy(F.desc("occurrences"), "text").limit(300)
+    return d.select(F.md5("text").alias("text_md5"), "occurrences", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[\\s\\x0B\\x{85}\\x{A0}\\x{2028}\\x{2029}]+'), lambda x: x <> '')) AS n FROM documents")
+def t01_whitespace_tokens(spark, sf):
+    return ad.read(spark, sf, "documents").select("doc_id", F.size(ft.whitespace_tokens(F.col("text"))).cast("long").alias("n"))
+
+
+@query(f"WITH {ad.TOKENS} SELECT doc_id, count(*) AS n_tokens, count(DISTINCT term) AS n_terms, round(count(DISTINCT term) / greatest(count(*), 1), 9) AS ttr FROM tokens GROUP BY 1")
+def t10_token_counters(spark, sf):
+    return text.token_counters(ad.tokens(spark, sf))
+
+
+@query(f"""WITH {ad.TOKENS}, d AS (SELECT count(DISTINCT doc_id) AS n_docs FROM tokens) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS n,
+  CASE WHEN count(DISTINCT doc_id) < 5 THEN 'rare' WHEN count(DISTINCT doc_id) > 0.5 * any_value(n_docs) THEN 'common' ELSE 'kept' END AS reason FROM tokens, d GROUP BY 1""")
+def t12_vocabulary(spark, sf):
+    return text.vocabulary(ad.tokens(spark, sf))
+
+
+@query(f"""WITH {ad.TOKENS}, d AS (SELECT count(DISTINCT doc_id) AS n FROM tokens), tf AS (SELECT doc_id, term, count(*) AS tf FROM tokens GROUP BY 1, 2),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), w AS (SELECT doc_id, term, tf * ln(n / df) AS w FROM tf JOIN df USING (term), d), m AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1),
+p AS (SELECT doc_id, doc_id // 10 * 10 AS other FROM documents WHERE doc_id % 10 <> 0), x AS (SELECT p.doc_id, p.other, sum(a.w * b.w) AS dot FROM p JOIN w a USING (doc_id) JOIN w b ON b.doc_id = p.other AND b.term = a.term GROUP BY 1, 2)
+SELECT p.doc_id, p.other, CASE WHEN a.norm * b.norm > 0 THEN round(coalesce(dot, 0) / (a.norm * b.norm), 6) END AS cosine, CASE WHEN a.norm * b.norm > 0 THEN 'scored' ELSE 'no weight' END AS status
+FROM p LEFT JOIN x USING (doc_id, other) LEFT JOIN m a ON a.doc_id = p.doc_id LEFT JOIN m b ON b.doc_id = p.other""")
+def t15_cosine_with_root(spark, sf):
+    pairs = ad.read(spark, sf, "documents").where("doc_id % 10 <> 0").select("doc_id", (F.col("doc_id") - F.col("doc_id") % 10).alias("other"))
+    return text.cosine_with(text.tf_idf(ad.tokens(spark, sf)), pairs)
+
+
+@query(r"""SELECT md5(trim(regexp_replace(regexp_replace(lower(text), '(https?://|www\.)\S+', ' ', 'gi'), '[^\p{L}]+', ' ', 'g'))) AS form, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1""")
+def t21_letters_only_copies(spark, sf):
+    return ad.read(spark, sf, "documents").groupBy(F.md5(ft.letters_only(F.col("text"))).alias("form")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+@query(f"""WITH {ad.LABELLINGS}, s AS (SELECT 'all' AS scope, a, b FROM labellings UNION ALL SELECT 'assigned', a, b FROM labellings WHERE a <> -1 AND b <> -1),
+t AS (SELECT scope, a, b, count(*) AS n FROM s GROUP BY 1, 2, 3), c AS (SELECT scope, sum(n * (n - 1) / 2) AS cell, sum(n) AS total FROM t GROUP BY 1),
+r AS (SELECT scope, sum(m * (m - 1) / 2) AS row_ FROM (SELECT scope, a, sum(n) AS m FROM t GROUP BY 1, 2) GROUP BY 1), k AS (SELECT scope, sum(m * (m - 1) / 2) AS col_ FROM (SELECT scope, b, sum(n) AS m FROM t GROUP BY 1, 2) GROUP BY 1)
+SELECT scope, total::BIGINT AS n, round((cell - row_ * col_ / (total * (total - 1) / 2)) / ((row_ + col_) / 2 - row_ * col_ / (total * (total - 1) / 2)), 9) AS ari FROM c JOIN r USING (scope) JOIN k USING (scope)""")
+def c13_adjusted_rand(spark, sf):
+    return stability.adjusted_rand(ad.labellings(spark, sf))
+
+
+@query(f"""WITH {ad.LABELLINGS}, x AS (SELECT a, count(*) AS na FROM labellings WHERE a <> -1 GROUP BY 1), y AS (SELECT b, count(*) AS nb FROM labellings WHERE b <> -1 GROUP BY 1),
+m AS (SELECT a, b, count(*) AS n FROM labellings WHERE a <> -1 AND b <> -1 GROUP BY 1, 2), j AS (SELECT a, b, n / (na + nb - n) AS j FROM m JOIN x USING (a) JOIN y USING (b)),
+t AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY j DESC, b) AS rn FROM j) SELECT x.a, na, coalesce(t.b, -1) AS b, round(coalesce(j, 0), 9) AS jaccard FROM x LEFT JOIN t ON t.a = x.a AND rn = 1""")
+def c10_best_match_jaccard(spark, sf):
+    return stability.best_match(ad.labellings(spark, sf))
+
+
+@query(f"""WITH {ad.LABELLINGS} SELECT CASE WHEN a = -1 THEN 'noise' ELSE 'assigned' END AS from_status, CASE WHEN b = -1 THEN 'noise' ELSE 'assigned' END AS to_status, count(*) AS n FROM labellings GROUP BY 1, 2""")
+def c14_transitions(spark, sf):
+    return stability.transitions(ad.labellings(spark, sf))
+
+
+@query(f"""WITH {ad.LABELLINGS}, s AS (SELECT count(*) AS m FROM labellings WHERE a <> -1 GROUP BY a), e AS (SELECT count(*) AS n, count(*) FILTER (a = -1) AS noise FROM labellings)
+SELECT any_value(n) AS n, count(*) AS clusters, any_value(noise) AS noise, round(100 * any_value(noise) / any_value(n), 4) AS noise_pct, min(m) AS min_size, round(quantile_cont(m, 0.25), 6) AS q1,
+  round(quantile_cont(m, 0.5), 6) AS median, round(quantile_cont(m, 0.75), 6) AS q3, max(m) AS max_size FROM s, e""")
+def a29_cluster_summary(spark, sf):
+    return stability.cluster_summary(ad.labellings(spark, sf))
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (len(embedding) = 64) AS right_size, count(*) FILTER (abs(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) - 1) < 1e-4) AS unit FROM embeddings")
+def e08_unit_norms(spark, sf):
+    norm = F.expr("aggregate(embedding, 0D, (s, x) -> s + cast(x AS double) * cast(x AS double))")
+    return ad.read(spark, sf, "embeddings").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("embedding") == 64).alias("right_size"), F.count_if(F.abs(norm - 1) < 1e-4).alias("unit"))
+
+
+@query(f"WITH {ad.LISTS} SELECT entry, count(DISTINCT list_id) AS n_lists, string_agg(DISTINCT list_id, ';' ORDER BY list_id) AS held_by FROM lists GROUP BY 1")
+def a40_list_consensus(spark, sf):
+    return lists.consensus(ad.lists(spark, sf))
+
+
+@query(f"""WITH {ad.LISTS}, s AS (SELECT list_id, count(*) AS n FROM lists GROUP BY 1), b AS (SELECT x.list_id AS list_a, y.list_id AS list_b, count(*) AS shared FROM lists x JOIN lists y ON x.entry = y.entry AND x.list_id < y.list_id GROUP BY 1, 2)
+SELECT list_a, list_b, p.n AS na, q.n AS nb, shared, round(shared / (p.n + q.n - shared), 9) AS jaccard, CASE WHEN shared = p.n AND shared = q.n THEN 'identical' WHEN shared = p.n THEN 'a in b' WHEN shared = q.n THEN 'b in a'
+  WHEN shared / (p.n + q.n - shared) >= 0.9 THEN 'near-duplicate' ELSE 'distinct' END AS relation FROM b JOIN s p ON p.list_id = list_a JOIN s q ON q.list_id = list_b""")
+def k07_pairwise_lists(spark, sf):
+    return lists.pairwise(ad.lists(spark, sf))
+
+
+@query(f"""WITH {ad.LISTS}, e AS (SELECT count(DISTINCT list_id) AS n_lists FROM lists GROUP BY entry), n AS (SELECT n_lists AS t, count(*) AS k FROM e WHERE n_lists >= 2 GROUP BY 1),
+d AS (SELECT a.t, sum(b.k)::BIGINT AS size FROM n a JOIN n b ON b.t >= a.t GROUP BY 1)
+SELECT x.t AS t1, x.size AS n1, y.t AS t2, y.size AS n2, z.t AS t3, z.size AS n3, round(abs(ln(y.size / x.size) - ln(2)) + abs(ln(z.size / x.size) - ln(4)), 9) AS objective
+FROM d x JOIN d y ON x.t > y.t JOIN d z ON y.t > z.t ORDER BY objective, t1 DESC, t2 DESC, t3 DESC LIMIT 1""")
+def k04_tier_thresholds(spark, sf):
+    return lists.tiers(lists.consensus(ad.lists(spark, sf)))
+
+
+@query("""SELECT doc_id, 'documents only' AS side FROM documents ANTI JOIN labels USING (doc_id) UNION ALL SELECT doc_id, 'labels only' FROM labels ANTI JOIN documents USING (doc_id)""")
+def j13_key_sets(spark, sf):
+    d, l = (ad.read(spark, sf, t).select("doc_id") for t in ("documents", "labels"))
+    return d.join(l, "doc_id", "left_anti").withColumn("side", F.lit("documents only")).unionByName(l.join(d, "doc_id", "left_anti").withColumn("side", F.lit("labels only")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
