@@ -103,12 +103,15 @@ def links_of(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: int
     base = materialise(shingle_sets(docs, id_col, text_col, k, threshold, whole=False), "windows")
     size = base.select("id", "n", "sig")
     reps = base.where("sig IS NOT NULL AND id IS NOT NULL").groupBy("sig").agg(F.min("id").alias("id"))
-    # 2: hashes that two different sets have in their windows
-    window = base.where("sig IS NOT NULL AND id IS NOT NULL").select("id", "sig", "n", F.size("tokens").alias("w"), F.explode("tokens").alias("t"))
-    shared = window.groupBy("t").agg(F.min("sig").alias("x"), F.max("sig").alias("y")).where("x <> y").select("t")
-    met = window.select("id", "sig", "n", "w", "t").join(shared, "t").groupBy("id", "sig", "n", "w").agg(F.count(F.lit(1)).alias("s"))
+    # 2: hashes that two different sets (told apart by 64 bits of their digests) have in their windows
+    some = base.where("sig IS NOT NULL AND id IS NOT NULL").withColumn("s", F.xxhash64("sig"))
+    window = some.select("id", "s", F.explode("tokens").alias("t"))
+    shared = window.groupBy("t").agg(F.min("s").alias("x"), F.max("s").alias("y")).where("x <> y").select("t")
+    met = window.join(shared, "t").groupBy("id", "s").agg(F.count(F.lit(1)).alias("c"))
     p = F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1
-    alive = met.where(F.col("w") - F.col("s") < p).select("id", "sig").join(reps, ["id", "sig"], "left_semi").select("id")
+    again = some.groupBy("id", "s", "sig", "n").agg(F.max(F.size("tokens")).alias("w"), F.count(F.lit(1)).alias("copies"))
+    met = met.join(again, ["id", "s"]).where(F.col("w") - F.col("c") / F.col("copies") < p)
+    alive = met.select("id", "sig").join(reps, ["id", "sig"], "left_semi").select("id")
     alive = materialise(alive.distinct(), "alive")
     number = alive.count()
     if number == 0:
