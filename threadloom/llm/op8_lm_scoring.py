@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from .common import LOWER_BYTES, materialise, slices, table, text_bytes, word_hashes
 
-DEPTH, CONTEXTS, GAIN, K = 4, 1 << 15, 40.0, 8.0
+DEPTH, CONTEXTS, GAIN, K = 6, 1 << 15, 8.0, 2.0
 SHARED_WORDS = 1 << 19
 CHUNK = 512
 
@@ -103,15 +103,16 @@ def count_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 if len(words):
                     yield from put("w", *np.unique(words.view(np.int64), return_counts=True))
                 symbols, start = with_ends(data, off)
-                window = np.zeros(len(symbols) - DEPTH, np.int32)
+                window = np.zeros(len(symbols) - DEPTH, np.int64)
                 for j in range(DEPTH + 1):
-                    window = window * np.int32(A) + symbols[j : len(symbols) - DEPTH + j].astype(np.int32)
+                    window *= A
+                    window += symbols[j : len(symbols) - DEPTH + j]
                 good = np.zeros(len(window) + 1, np.int32)  # windows whose last symbol is a text's own, or its end
                 np.add.at(good, start - DEPTH, 1)
                 np.add.at(good, start - DEPTH + np.diff(off) + 1, -1)
                 window = np.sort(window[np.cumsum(good[:-1]) > 0])
                 first = np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1]]))
-                yield from put("g", window[first].astype(np.int64), np.diff(np.append(first, len(window))))
+                yield from put("g", window[first], np.diff(np.append(first, len(window))))
                 bytes_ += np.bincount(LOWER_BYTES[data], minlength=256)
                 texts += b.num_rows
         for kind, parts in held.items():
