@@ -4,8 +4,9 @@ Two texts link when ``threshold`` <= 100 * |A n B| / |A u B| over their sets of
 size of each text's set and its component, the smallest id reachable by links. Steps, all exact:
 
 1. Texts with equal sets are one class; the smallest id stands for it.
-2. Windows: of each set its ``2 p`` smallest hashes, p = n - ceil(t n) + 1. Two linked sets share at least half of
-   either window, so a set that has p hashes in its window that no other set has links with nothing.
+2. Windows: of each set its ``p + p // 2`` smallest hashes, p = n - ceil(t n) + 1. The smallest hashes that two linked
+   sets share lie in both windows: so many that a set with p + 2 hashes in its window that no other set has there
+   links with nothing (2: sizes and bounds are rounded).
 3. The survivors' shingles are counted; those with p shingles of their own leave too. Each of the others keeps its p
    rarest shingles (the prefix), of which linked sets share one.
 4. Groups: within each prefix shingle the most typical set (whose shingles are the most frequent) is the leader; sets that
@@ -58,7 +59,8 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, k: int, threshold:
                     s = np.unique(shingle_hashes(words[border[i] : border[i + 1]], k))
                     n.append(len(s))
                     sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None)
-                    parts.append(s if whole else s[: 2 * (len(s) - least_overlap(len(s), threshold) + 1)])
+                    p = len(s) - least_overlap(len(s), threshold) + 1
+                    parts.append(s if whole else s[: p + p // 2])
                 ends = np.cumsum([0, *map(len, parts)])
                 flat = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
                 tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
@@ -110,7 +112,7 @@ def links_of(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: int
     met = window.join(shared, "t").groupBy("id", "s").agg(F.count(F.lit(1)).alias("c"))
     p = F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1
     again = some.groupBy("id", "s", "sig", "n").agg(F.max(F.size("tokens")).alias("w"), F.count(F.lit(1)).alias("copies"))
-    met = met.join(again, ["id", "s"]).where(F.col("w") - F.col("c") / F.col("copies") < p)
+    met = met.join(again, ["id", "s"]).where(F.col("w") - F.col("c") / F.col("copies") < p + 2)
     alive = met.select("id", "sig").join(reps, ["id", "sig"], "left_semi").select("id")
     alive = materialise(alive.distinct(), "alive")
     number = alive.count()
