@@ -10,20 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import text as ft
 from ..operators import lists, profile, stability, text, threads
 from ..sources import adapters as ad
-
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str):
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
+from . import reports  # noqa: F401  registers its queries
+from .base import QUERIES, SQL, query
 
 EVENTS = ad.MESSAGES + """, events_ AS (
   SELECT m.*, CASE WHEN parent_id LIKE 't1!_%' ESCAPE '!' THEN 'comment' WHEN parent_id LIKE 't3!_%' ESCAPE '!' THEN 'submission' WHEN parent_id IS NOT NULL THEN 'other' END AS parent_kind,
@@ -282,8 +270,8 @@ def j13_key_sets(spark, sf):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
