@@ -20,7 +20,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group that five-word shingles link at 0.8; documents without an id stay."""
     found = op5_ngram_jaccard.jaccard_components(docs, k=5, threshold=80)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    gone = materialise(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    if gone.count() <= op5_ngram_jaccard.BROADCAST_IDS:  # so the texts need no shuffle
+        gone = F.broadcast(gone)
     return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
