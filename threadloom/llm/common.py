@@ -5,6 +5,7 @@ Words are always ``[^\\x20\\x09-\\x0D]+`` and only A-Z are lower-cased.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -34,6 +35,19 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, *done: DataFrame) -> None:
+    """Frees the disk of finished jobs: shuffle files that no living plan needs, and the folders of the materialised tables ``done``.
+
+    Only for tables whose results are themselves materialised: nothing can ask for them again, not even after a lost executor.
+    """
+    for df in done:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, shingle_hashes, slices, table, text_bytes, word_hashes
+from .common import materialise, release, shingle_hashes, slices, table, text_bytes, word_hashes
 
 #: Ids up to this number may be sent to all tasks as a set (8 bytes each).
 BROADCAST_IDS = 1_000_000
@@ -103,18 +103,20 @@ def links_of(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: int
     """(id, n, sig of every row; links between representatives)."""
     spark = docs.sparkSession
     base = materialise(shingle_sets(docs, id_col, text_col, k, threshold, whole=False), "windows")
-    size = base.select("id", "n", "sig")
+    size = materialise(base.select("id", "n", "sig"), "sizes")
     reps = base.where("sig IS NOT NULL AND id IS NOT NULL").groupBy("sig").agg(F.min("id").alias("id"))
     # 2: hashes that two different sets (told apart by 64 bits of their digests) have in their windows
     some = base.where("sig IS NOT NULL AND id IS NOT NULL").withColumn("s", F.xxhash64("sig"))
     window = some.select("id", "s", F.explode("tokens").alias("t"))
-    shared = window.groupBy("t").agg(F.min("s").alias("x"), F.max("s").alias("y")).where("x <> y").select("t")
+    shared = materialise(window.groupBy("t").agg(F.min("s").alias("x"), F.max("s").alias("y")).where("x <> y").select("t"), "shared")
+    release(spark)
     met = window.join(shared, "t").groupBy("id", "s").agg(F.count(F.lit(1)).alias("c"))
     p = F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1
     again = some.groupBy("id", "s", "sig", "n").agg(F.max(F.size("tokens")).alias("w"), F.count(F.lit(1)).alias("copies"))
     met = met.join(again, ["id", "s"]).where(F.col("w") - F.col("c") / F.col("copies") < p + 2)
     alive = met.select("id", "sig").join(reps, ["id", "sig"], "left_semi").select("id")
     alive = materialise(alive.distinct(), "alive")
+    release(spark, base, shared)
     number = alive.count()
     if number == 0:
         return size, spark.createDataFrame([], "a long, b long")
@@ -134,12 +136,14 @@ def links_of(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: int
     # after: how many shingles of the set come from this one on, in the common order (own ones first); at the first
     # shingle that two sets share, both numbers bound their overlap
     prefix = materialise(prefix.select("id", "n", "u", "typical", (F.col("n") - F.col("u") - F.col("i")).alias("after"), F.col("x.t").alias("t")), "prefix")
+    release(spark)
     # 4: leaders
     leader = prefix.groupBy("t").agg(F.max(F.struct("typical", F.negative("id").alias("m"), "n", "u")).alias("l"), F.count(F.lit(1)).alias("c")).where("c > 1")
     leader = leader.select("t", F.negative("l.m").alias("b"), F.col("l.n").alias("nb"), F.col("l.u").alias("ub"))
     star = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("u").alias("ua"), "t").join(leader, "t")
     star = star.where("a <> b").where(possible("a", "b", threshold)).select("a", "b").distinct()
     first = materialise(verified(star, sets, threshold), "star")
+    release(spark)
     label = components(first)
     # 5: groups of other components
     member = prefix.select("id", "n", "u").distinct().join(label, "id", "left").select("id", "n", "u", F.coalesce("component", "id").alias("comp"))
@@ -155,6 +159,7 @@ def links_of(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: int
     asks = (F.col("mq") < F.col("m")) | ((F.col("mq") == F.col("m")) & (F.col("cq") > F.col("comp")))
     met = query.join(matrix, "t").where(asks & near & room).select("q", "nq", "comp", "block").distinct()
     met = materialise(met, "met")
+    release(spark)
     wanted = met.select("comp", "block").distinct()
     unions = member.join(wanted, ["comp", "block"]).join(sets.select("id", "tokens"), "id")
     unions = unions.groupBy("comp", "block").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"))
@@ -165,6 +170,7 @@ def links_of(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: int
     pairs = open_.join(one, "q").join(two, ["comp", "block"]).where(possible("q", "m", threshold))
     pairs = pairs.select(F.least("q", "m").alias("a"), F.greatest("q", "m").alias("b")).distinct()
     second = materialise(verified(pairs, sets, threshold), "cross")
+    release(spark, sets, prefix, member, met)
     return size, first.union(second)
 
 
