@@ -163,19 +163,89 @@ def test_language_codes():
         assert len({tuple(r) for r in c.tolist()}) == k
 
 
-def test_tree_is_a_distribution(spark):
-    import numpy as np
+def test_tree_brute_force(spark, monkeypatch):
+    """Scores against a plain suffix tree over lists, with all entries shared and with most of them joined."""
+    import math
+    from collections import Counter
 
-    out = op8_lm_scoring.score(docs(spark, CASES + ["the cat sat on the mat"] * 30)).collect()
-    assert len(out) == len(CASES) + 30 and all(r.score < 0 and r.base_score < 0 for r in out)
-    counts = op8_lm_scoring.count_rows(docs(spark, ["abracadabra " * 40] * 20), "doc_id", "text")
-    tree = op8_lm_scoring.grow(spark, counts, gain=1.0)
-    assert np.allclose((10.0 ** tree.logp.reshape(-1, op8_lm_scoring.A)).sum(1), 1, atol=1e-4) and tree.states > 5
-    x = np.frombuffer(("abracadabra " * 400).encode(), np.uint8)
-    old, op8_lm_scoring.CHUNK = op8_lm_scoring.CHUNK, 7
-    a = tree.score(x, np.array([0, 0, 9, len(x)]))
-    op8_lm_scoring.CHUNK = old
-    assert np.allclose(a, tree.score(x, np.array([0, 0, 9, len(x)])), rtol=1e-5)
+    rng = random.Random(3)
+    vocab = [f"w{i}" for i in range(12)]
+    texts = CASES[:5] + [" ".join(vocab[min(11, int(rng.expovariate(0.4)) + (j % 3))] for j in range(rng.randint(1, 40))) for _ in range(150)]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    rows = [(re.findall(r"[^\x20\x09-\x0D]+", t or "") + ["$"]) for t in texts]
+    one, two, three = Counter(), Counter(), Counter()
+    for w, h in zip(rows, held, strict=True):
+        if not h:
+            one.update(w)
+            two.update(zip(["$", *w], w, strict=False))
+            three.update(zip(["$", *w], w, w[1:], strict=False))
+    z = sum(one.values()) + len(one) + 1
+
+    def law(level, contexts, counts, lower):
+        out = {}
+        by = {}
+        for key, c in counts.items():
+            by.setdefault(key[:-1], {})[key[-1]] = c
+        for s, after in by.items():
+            n = contexts[s]
+            if n < op8_lm_scoring.LEAST or level == 2 and (two[s] < 2 or s[1:] not in laws1):
+                continue
+            k = max(1, len(after) + n - sum(after.values()))
+            p = {b: (c + k * lower(s, b)) / (n + k) for b, c in after.items() if c >= 2}
+            if not p:
+                continue
+            bow = (1 - sum(p.values())) / (1 - sum(lower(s, b) for b in p))
+            gain = sum(after[b] * math.log(p[b] / lower(s, b)) for b in p) + (n - sum(after[b] for b in p)) * math.log(bow)
+            if gain > op8_lm_scoring.GAIN:
+                out[s] = (p, bow)
+        return out
+
+    def root(s, b):
+        return (one[b] + 1) / z
+
+    laws1 = law(1, {(w,): n for w, n in one.items()}, two, root)
+
+    def first(s, b):
+        p, bow = laws1.get(s[-1:], ({}, 1))
+        return p[b] if b in p else bow * root(s, b)
+
+    laws2 = law(2, two, three, first)
+
+    def second(s, b):
+        p, bow = laws2.get(s, ({}, 1))
+        return p[b] if b in p else bow * first(s, b)
+
+    assert laws1 and laws2
+    want = []
+    for w in rows:
+        h = ["$", *w]
+        want.append(sum(math.log10(first((h[j],), b) if j == 0 else second((h[j - 1], h[j]), b)) for j, b in enumerate(w)))
+    got = {r.doc_id: r for r in op8_lm_scoring.score(docs(spark, texts)).collect()}
+    assert [got[i].held_out for i in range(len(texts))] == held
+    assert all(math.isclose(got[i].score, x, abs_tol=1e-3) for i, x in enumerate(want))
+    assert all(math.isclose(got[i].base_score, sum(math.log10(root((), b)) for b in w), abs_tol=1e-6) for i, w in enumerate(rows))
+    for s, (p, bow) in [*laws1.items(), *laws2.items()]:
+        low = root if len(s) == 1 else first
+        assert math.isclose(sum(p.values()) + bow * (1 - sum(low(s, b) for b in p)), 1)
+    # the tree with few shared pairs: those that stay contexts differ, the entries of level 1 do not
+    monkeypatch.setattr(op8_lm_scoring, "SHARED_PAIRS", 30)
+    few = op8_lm_scoring.score(docs(spark, texts)).collect()
+    assert sum(r.score for r in few) > sum(r.base_score for r in few) and len(few) == len(texts)
+
+
+def test_tree_joined_entries(spark, monkeypatch):
+    """Level 1 alone, all entries shared or all joined: equal scores."""
+    import math
+
+    texts = [*CASES, *["the cat sat on the mat and the dog sat on the cat"] * 60, *["a cat and a dog"] * 30]
+    monkeypatch.setattr(op8_lm_scoring, "count_level", lambda train, tree, level, f=op8_lm_scoring.count_level: f(train, tree, level).where(f"{level} = 1"))
+    whole = {r.doc_id: r.score for r in op8_lm_scoring.score(docs(spark, texts)).collect()}
+    monkeypatch.setattr(op8_lm_scoring, "SHARED_PAIRS", 0)
+    joined = {r.doc_id: r.score for r in op8_lm_scoring.score(docs(spark, texts)).collect()}
+    assert {i: (whole[i], joined[i]) for i in whole if not math.isclose(joined[i], whole[i], rel_tol=1e-4, abs_tol=1e-3)} == {}
+    assert len(whole) == len(texts)
+    assert all(r.score < 0 for r in op8_lm_scoring.score(docs(spark, CASES)).collect())
+    assert op8_lm_scoring.score(docs(spark, [])).count() == 0
 
 
 def test_packing(spark):

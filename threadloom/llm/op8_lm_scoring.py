@@ -1,29 +1,32 @@
-"""Language-model scoring: a probabilistic suffix tree over bytes, beside a unigram base score over words.
+"""Language-model scoring: a probabilistic suffix tree over words, whose root is the unigram base.
 
 Training rows are all texts whose crc32(id as text) mod 7 is not 2. Every one of them is counted:
 
-* words (and one end each): counts of all distinct words, by 64-bit hash;
-* bytes: counts of all runs of ``DEPTH`` + 1 byte classes, of which all shorter contexts' counts follow. Bytes fall into
-  69 classes (letters, spaces, accents, the rest, and the end of a text); within a class bytes are
-  drawn by their frequency.
+* level 0: all distinct words (and one end a text), by 64-bit hash. The root's law is the base, (c + 1) / (N + V + 1).
+* level 1: all pairs of the most frequent words (``SHARED_WORDS``, the tree's alphabet) that follow one another; a text starts after an end.
+* level 2: for the most frequent pairs (``SHARED_PAIRS``), the words that follow them.
 
-Tree: a context s stays if it occurs at least N / ``CONTEXTS`` times (so at most ``CONTEXTS`` contexts a depth stay, whatever
-the corpus) and its next-symbol distribution diverges from its parent's: N(s) * KL(P(.|s) || P(.|parent)) > ``GAIN``.
-Kept contexts' suffixes and prefixes are kept too, which makes the tree an automaton: the state after a symbol, the
-longest suffix, follows from the state before it. P(a|s) = (c(s,a) + K P(a|parent)) / (N(s) + K), down to a uniform law. A text's score is
-the sum of log10 over its bytes and its end; texts run through the automaton in lanes, cut to chunks that
-start ``DEPTH`` symbols early, which is all that a state remembers.
+A context s that occurs ``LEAST`` times or more has a law of its own for the words b seen after it twice or more:
+P(b|s) = (c(s,b) + k P(b|parent)) / (N(s) + k), k the number of different followers (Witten and Bell); all others share what
+is left, as bow(s) P(b|parent), so that the laws add up to 1. The divergence test: s stays if N(s) * KL, the log-likelihood that its law gains on the training
+texts over its parent's, is more than ``GAIN`` nats, and if its own suffix stays. A text's score is the sum of log10 P(word | longest suffix state),
+its end included.
 
-Base: the most frequent words, at most ``SHARED_WORDS`` (16 bytes each), are broadcast with their counts; all others meet their
-counts in a join by hash.
+In logs everything adds up: base + bow of the kept contexts + delta of the entries met, delta = log P(b|s) - log bow(s) - log P(b|parent).
+So the words, contexts and entries that are most frequent are broadcast (at most ``SHARED_WORDS`` x 20 + ``SHARED_PAIRS`` x 28 bytes and
+``BLOOM`` bits), and all the other entries, whose number grows with the corpus, are joined by key: a text asks for those of its
+pairs and triples that a Bloom filter of the entries lets pass. A full filter costs time, not results.
+
+Base: the words that are not shared meet their counts in a join by hash.
 
 Null texts are empty; an empty text is its end alone. Rows that repeat an id are scored each for itself. Without training
-rows N and V are 0 and the tree is uniform.
+rows N and V are 0 and the tree is its root.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -32,48 +35,85 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER_BYTES, materialise, slices, table, text_bytes, word_hashes
-
-DEPTH, CONTEXTS, GAIN, K = 6, 1 << 15, 8.0, 2.0
-SHARED_WORDS = 1 << 19
-CHUNK = 512
-
-
-def byte_classes() -> np.ndarray:
-    """Class of each lower-cased byte; the end of a text is the last class."""
-    c = np.zeros(256, np.uint8)
-    c[97:123] = np.arange(26)
-    c[:128][[not (97 <= b <= 122) for b in range(128)]] = 26
-    c[32], c[10], c[46], c[44] = 27, 28, 29, 30
-    c[48:58] = 31
-    c[0xA0:0xC0] = 32 + np.arange(32)
-    c[0x80:0xA0], c[0x9F], c[0xC0:], c[0xC3] = 64, 65, 66, 67
-    c[65:91] = np.arange(26)
-    return c
+from .common import materialise, mix, release, slices, table, text_bytes, word_hashes
 
-
-CLASS = byte_classes()
-END = 68
-A = 69
+LEAST, GAIN = 8, 10.0
+SHARED_WORDS, SHARED_PAIRS, BLOOM = 1 << 19, 1 << 20, 1 << 27
+#: A key is a state's number, shifted, and a word's number; words' numbers are below 2 ** SHIFT.
+SHIFT = 20
+MASK = (1 << SHIFT) - 1
 
 
 def trains(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 7 != 2, F.lit(True))
 
 
-def with_ends(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of all texts with DEPTH ends before and one after each, and where each text's own symbols start."""
-    size, rows = np.diff(off), len(off) - 1
-    start = off[:-1] + (DEPTH + 1) * np.arange(rows) + DEPTH
-    out = np.full(len(data) + (DEPTH + 1) * rows, END, np.uint8)
-    at = np.arange(len(data)) + np.repeat((DEPTH + 1) * np.arange(rows) + DEPTH, size)
-    out[at] = CLASS[data]
-    return out, start
+def position(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Where each asked number stands in sorted keys, -1 where it does not."""
+    if not len(keys) or not len(asked):
+        return np.full(len(asked), -1, np.int64)
+    order = np.argsort(asked)
+    sorted_ = asked[order]
+    at = np.minimum(np.searchsorted(keys, sorted_), len(keys) - 1)
+    out = np.empty(len(asked), np.int64)
+    out[order] = np.where(keys[at] == sorted_, at, -1)
+    return out
+
+
+def bits_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each key in the Bloom filter."""
+    h = mix(keys.astype(np.int64).view(np.uint64))
+    return (h % np.uint64(BLOOM)).astype(np.int64), ((h >> np.uint64(32)) % np.uint64(BLOOM)).astype(np.int64)
 
 
-def count_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(kind, key, n) over the training texts: w word hash, g class run, b byte, d texts; summed within tasks as far as a bounded memory allows."""
-    picked = docs.where(trains(id_col)).select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+@dataclass
+class Tree:
+    """What all tasks hold. Words by hash (the end's number is their count), pairs and triples by key."""
+
+    words: np.ndarray
+    counts: np.ndarray
+    texts: int
+    bow1: np.ndarray = field(default_factory=lambda: np.zeros(1, np.float32))
+    pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    delta1: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+    pair_counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    bow2: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+    triples: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    delta2: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+    blooms: dict = field(default_factory=dict)
+
+    def numbered(self, off: np.ndarray, words: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of all words and ends in order: row, number (-1: not shared), the keys of pairs (-1: none), and the index of each pair."""
+        rows, end = len(off) - 1, len(self.words)
+        at = position(self.words, words.view(np.int64))
+        ends = np.searchsorted(row, np.arange(rows), side="right") + np.arange(rows)
+        number = np.full(len(words) + rows, end, np.int64)
+        number[np.arange(len(words)) + row] = at
+        of = np.zeros(len(number), np.int64)
+        of[np.arange(len(words)) + row] = row
+        of[ends] = np.arange(rows)
+        before = np.concatenate([[end], number[:-1]])
+        pair = np.where((before >= 0) & (number >= 0), before << SHIFT | number, -1)
+        return of, number, pair, at
+
+    def triple(self, number: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(index of each pair, state of two words at each place or -1, key of the triple or -1)."""
+        known = position(self.pairs, pair)
+        state = np.concatenate([[-1], known[:-1]])
+        state[np.concatenate([[True], number[:-1] == len(self.words)])] = -1  # a text's first symbol follows its start alone
+        return known, state, np.where((state >= 0) & (number >= 0), state << SHIFT | number, -1)
+
+    def maybe(self, level: int, keys: np.ndarray) -> np.ndarray:
+        """Which keys may be entries of the joined part."""
+        if level not in self.blooms:
+            return np.zeros(len(keys), bool)
+        one, two = bits_of(keys)
+        b = self.blooms[level]
+        return ((b[one >> 6] >> (one & 63)) & (b[two >> 6] >> (two & 63)) & 1).astype(bool) & (keys >= 0)
+
+
+def summed(picked: DataFrame, counted) -> DataFrame:
+    """(kind, key, n): what counted(batch) yields as (kind, sorted keys, numbers), summed within tasks as far as a bounded memory allows, then over all."""
 
     def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         key, n = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -86,244 +126,238 @@ def count_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([kind] * len(key), pa.string()), pa.array(key.astype(np.int64)), pa.array(n.astype(np.int64))], ["kind", "key", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {"w": [], "g": []}
-        bytes_, texts = np.zeros(256, np.int64), 0
-
-        def put(kind: str, key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            held[kind].append((key, n))
-            if len(held[kind]) >= 8:
-                held[kind] = [merged(held[kind])]
-                if len(held[kind][0][0]) > 1_500_000:
-                    yield batch_of(kind, *held[kind].pop())
-
+        held: dict[str, list] = {}
         for batch in batches:
             for b in slices(batch, 0):
-                data, off = text_bytes(b.column(0))
-                words, _ = word_hashes(data, off)
-                if len(words):
-                    yield from put("w", *np.unique(words.view(np.int64), return_counts=True))
-                symbols, start = with_ends(data, off)
-                window = np.zeros(len(symbols) - DEPTH, np.int64)
-                for j in range(DEPTH + 1):
-                    window *= A
-                    window += symbols[j : len(symbols) - DEPTH + j]
-                good = np.zeros(len(window) + 1, np.int32)  # windows whose last symbol is a text's own, or its end
-                np.add.at(good, start - DEPTH, 1)
-                np.add.at(good, start - DEPTH + np.diff(off) + 1, -1)
-                window = np.sort(window[np.cumsum(good[:-1]) > 0])
-                first = np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1]]))
-                yield from put("g", window[first], np.diff(np.append(first, len(window))))
-                bytes_ += np.bincount(LOWER_BYTES[data], minlength=256)
-                texts += b.num_rows
+                for kind, key, n in counted(b):
+                    if not len(key):
+                        continue
+                    parts = held.setdefault(kind, [])
+                    parts.append((key, n))
+                    if len(parts) >= 8:
+                        held[kind] = [merged(parts)]
+                        if len(held[kind][0][0]) > 1_500_000:
+                            yield batch_of(kind, *held[kind].pop())
         for kind, parts in held.items():
             if parts:
                 yield batch_of(kind, *merged(parts))
-        yield batch_of("b", np.arange(256), bytes_)
-        yield batch_of("d", np.zeros(1), np.array([texts]))
 
-    return picked.mapInArrow(run, "kind string, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).where("n > 0")
+    return picked.mapInArrow(run, "kind string, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-# --- the tree ------------------------------------------------------------------
+def count_words(train: DataFrame) -> DataFrame:
+    """(kind, key, n): w a word's hash, d the number of texts."""
 
+    def counted(b: pa.RecordBatch):
+        words, _ = word_hashes(*text_bytes(b.column(0)))
+        yield "w", *np.unique(words.view(np.int64), return_counts=True)
+        yield "d", np.zeros(1, np.int64), np.array([b.num_rows])
 
-class Tree:
-    """Automaton: step[state * A + class] -> state, logp[...] log10 of the class, logb[byte] log10 within its class."""
-
-    def __init__(self, rows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], byte_counts: np.ndarray, gain: float = GAIN, least: float = 1) -> None:
-        """rows: by depth (context, next class, count), contexts as numbers to the base A, the last symbol lowest."""
-        contexts, dists, totals = {}, {}, {}
-        for d in range(DEPTH + 1):
-            ctx, nxt, n = rows.get(d, (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.int64),))
-            keys, at = np.unique(ctx, return_inverse=True)
-            if d == 0:
-                keys, at = np.zeros(1, np.int64), np.zeros(len(ctx), np.int64)
-            table_ = np.zeros((len(keys), A))
-            np.add.at(table_, (at, nxt), n)
-            contexts[d], totals[d] = keys, table_.sum(1)
-            if d == 0:
-                dists[0] = (table_ + K / A) / (totals[0][:, None] + K)
-                self.keep = {0: np.ones(1, bool)}
-                continue
-            parent = np.searchsorted(contexts[d - 1], keys % A ** (d - 1))
-            parent = np.minimum(parent, len(contexts[d - 1]) - 1)
-            base = dists[d - 1][parent]
-            p = (table_ + K * base) / (totals[d][:, None] + K)
-            dists[d] = p
-            raw = table_ / np.maximum(totals[d], 1)[:, None]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                kl = np.where(raw > 0, raw * np.log(raw / base), 0).sum(1)
-            self.keep[d] = (totals[d] >= least) & (totals[d] * kl > gain)
-        # close under suffixes and prefixes, deepest first
-        closed: dict[int, set[int]] = {d: set(contexts[d][self.keep[d]].tolist()) for d in range(DEPTH + 1)}
-        for d in range(DEPTH, 0, -1):
-            for c in closed[d]:
-                closed[d - 1].add(c % A ** (d - 1))
-                closed[d - 1].add(c // A)
-        nodes = {d: np.array(sorted(closed[d]), np.int64) for d in range(DEPTH + 1)}
-        base_of = np.cumsum([0] + [len(nodes[d]) for d in range(DEPTH + 1)])
-        states = int(base_of[-1])
-        prob = np.zeros((states, A))
-        self.step = np.zeros((states, A), np.int32)
-        for d in range(DEPTH + 1):
-            if not len(nodes[d]):
-                continue
-            own = slice(base_of[d], base_of[d + 1])
-            k = np.searchsorted(contexts[d], nodes[d])
-            k = np.minimum(k, max(0, len(contexts[d]) - 1))
-            hit = contexts[d][k] == nodes[d] if len(contexts[d]) else np.zeros(len(nodes[d]), bool)
-            if d:
-                up = base_of[d - 1] + np.searchsorted(nodes[d - 1], nodes[d] % A ** (d - 1))
-                prob[own] = prob[up]
-                hit &= self.keep[d][k] if len(self.keep[d]) else False
-            prob[np.arange(base_of[d], base_of[d + 1])[hit]] = dists[d][k[hit]]
-            grown = nodes[d][:, None] * A + np.arange(A)  # history and symbol: the longest suffix that is a node
-            best = np.zeros(grown.shape, np.int32)
-            for e in range(1, min(d + 1, DEPTH) + 1):
-                if len(nodes[e]):
-                    suffix = grown % A**e
-                    at = np.minimum(np.searchsorted(nodes[e], suffix), len(nodes[e]) - 1)
-                    best = np.where(nodes[e][at] == suffix, base_of[e] + at, best)
-            self.step[own] = best
-        self.logp = np.log10(prob / prob.sum(1, keepdims=True)).astype(np.float32).ravel()
-        self.step = self.step.ravel()
-        lower = LOWER_BYTES == np.arange(256)  # upper-case letters never occur
-        per = np.bincount(CLASS[lower], (byte_counts + 1.0)[lower], A)
-        self.logb = np.log10((byte_counts + 1.0) / per[CLASS]).astype(np.float64)
-        self.states = states
-
-    def score(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """log10 probability of each text, its end included."""
-        symbols, start = with_ends(data, off)
-        size = np.diff(off) + 1
-        lanes = -(-size // CHUNK)
-        row = np.repeat(np.arange(len(size)), lanes)
-        part = np.arange(len(row)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
-        begin = start[row] + part * CHUNK
-        length = np.minimum(CHUNK, size[row] - part * CHUNK)
-        order = np.argsort(-length, kind="stable")
-        begin, length, row = begin[order], length[order], row[order]
-        padded = np.append(symbols, np.zeros(CHUNK, np.uint8))
-        state = np.zeros(len(begin), np.int32)
-        for j in range(DEPTH, 0, -1):
-            state = self.step[state * np.int32(A) + padded[begin - j]]
-        total = np.zeros(len(begin))
-        alive = np.searchsorted(-length, -np.arange(1, CHUNK + 1), side="right")
-        for j in range(int(length[0]) if len(length) else 0):
-            m = alive[j]
-            at = state[:m] * np.int32(A) + padded[begin[:m] + j]
-            total[:m] += self.logp[at]
-            state = self.step[at]
-        out = np.bincount(row, total, len(size))
-        sums = np.concatenate([[0.0], np.cumsum(self.logb[LOWER_BYTES[data]])])
-        return out + sums[off[1:]] - sums[off[:-1]]
-
-
-def grow(spark: SparkSession, counts: DataFrame, contexts: int = CONTEXTS, gain: float = GAIN) -> Tree:
-    """The tree from the class runs' counts. To the driver come at most contexts x A rows a depth."""
-    g = counts.where("kind = 'g'").select("key", "n")
-    total = g.agg(F.sum("n")).first()[0] or 0
-    least = max(2, -(-total // contexts))
-    rows = {}
-    for d in range(DEPTH + 1):
-        ctx = F.floor(F.col("key") / A) % A**d
-        by = g.groupBy(ctx.cast("long").alias("ctx"), (F.col("key") % A).cast("int").alias("nxt")).agg(F.sum("n").alias("n"))
-        if d:
-            often = g.groupBy(ctx.cast("long").alias("ctx")).agg(F.sum("n").alias("m")).where(F.col("m") >= least).select("ctx")
-            by = by.join(often, "ctx")
-        got = by.toArrow()
-        rows[d] = tuple(got[c].to_numpy() for c in ("ctx", "nxt", "n"))
-    byte_counts = np.zeros(256)
-    for r in counts.where("kind = 'b'").collect():
-        byte_counts[r["key"]] = r["n"]
-    return Tree(rows, byte_counts, gain, least)
+    return summed(train, counted)
 
 
-# --- scores --------------------------------------------------------------------
+def count_level(train: DataFrame, tree: Tree, level: int) -> DataFrame:
+    """(kind, key, n): the pairs (level 1) or triples (2) that start with a context of LEAST occurrences."""
+    shared = train.sparkSession.sparkContext.broadcast(tree)
+
+    def counted(b: pa.RecordBatch):
+        t = shared.value
+        data, off = text_bytes(b.column(0))
+        words, row = word_hashes(data, off)
+        _, number, pair, _ = t.numbered(off, words, row)
+        if level == 1:
+            enough = np.append(t.counts >= LEAST, t.texts >= LEAST)
+            keys = pair[(pair >= 0) & enough[pair >> SHIFT]]
+        else:
+            _, state, key = t.triple(number, pair)
+            keys = key[(key >= 0) & (np.append(t.pair_counts, 0)[state] >= LEAST) & (np.append(t.bow1, 0)[np.append(t.pairs, 0)[state] & MASK] != 0)]
+        yield "k", *np.unique(keys, return_counts=True)
 
+    return summed(train, counted)
 
-def frequent(counts: DataFrame, most: int = SHARED_WORDS) -> tuple[int, np.ndarray, np.ndarray]:
-    """(limit, hashes sorted, counts): the words of at least limit occurrences, at most ``most``."""
-    w = counts.where("kind = 'w'")
-    many = sorted(((r[0], r[1]) for r in w.groupBy("n").count().collect()), reverse=True)
+
+def top(entries: DataFrame, by: str, most: int) -> int:
+    """The least count that at most ``most`` entries have or exceed."""
     limit, held = 1 << 62, 0
-    for n, k in many:
+    for n, k in sorted(((r[0], r[1]) for r in entries.groupBy(by).count().collect()), reverse=True):
         if held + k > most:
             break
         limit, held = n, held + k
-    got = w.where(F.col("n") >= limit).select("key", "n").toArrow()
-    key, n = got["key"].to_numpy(), got["n"].to_numpy()
-    order = np.argsort(key)
-    return limit, key[order], n[order]
+    return limit
+
+
+def by_key(df: DataFrame, *columns: str) -> list[np.ndarray]:
+    got = df.toArrow()
+    order = np.argsort(got["key"].to_numpy())
+    return [got[c].to_numpy()[order] for c in ("key", *columns)]
+
+
+def learn(tree: Tree, counts: DataFrame, level: int, contexts: np.ndarray, z: int, joined: DataFrame | None) -> tuple[np.ndarray, DataFrame]:
+    """(log10 bow by context, 0 where none stays; (key, n, delta) of all entries). contexts: occurrences of each; z: the base's denominator."""
+    spark = counts.sparkSession
+    state = F.shiftright("key", SHIFT)
+    seen, kinds, sums = by_key(counts.groupBy(state.alias("key")).agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n")), "kinds", "n")
+    k = np.ones(len(contexts))
+    k[seen] = np.maximum(1, kinds + contexts[seen] - sums)
+    shared = spark.sparkContext.broadcast((tree, contexts.astype(np.float64), k))
+
+    def lower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each entry's numbers: occurrences of its context, k, the parent's log10 law, and at level 2 its shorter key (-1: its delta is known)."""
+        t, of, kk = shared.value
+        for b in batches:
+            key = b.column(0).to_numpy()
+            s, w = key >> SHIFT, key & MASK
+            low = np.log10(np.append(t.counts, t.texts)[w] + 1.0) - np.log10(z)
+            short = np.full(len(key), -1, np.int64)
+            if level == 2:
+                last = t.pairs[s] & MASK
+                pair = last << SHIFT | w
+                at = position(t.pairs, pair)
+                low += t.bow1[last] + np.append(t.delta1, 0)[at]
+                short[at < 0] = pair[at < 0]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, (of[s], kk[s], low, short))], ["key", "n", "m", "k", "low", "short"])
+
+    e = counts.where("n >= 2").select("key", "n").mapInArrow(lower, "key long, n long, m double, k double, low double, short long")
+    if joined is not None:
+        e = e.join(joined.select(F.col("key").alias("short"), F.col("delta").alias("more")), "short", "left").withColumn("low", F.col("low") + F.coalesce("more", F.lit(0.0)))
+    law = (F.col("n") + F.col("k") * F.pow(F.lit(10.0), "low")) / (F.col("m") + F.col("k"))
+    e = materialise(e.select("key", "n", F.log10(law).alias("p"), "low"), "entries")
+    per = e.groupBy(state.alias("key")).agg(
+        F.sum(F.pow(F.lit(10.0), "p")).alias("a"), F.sum(F.pow(F.lit(10.0), "low")).alias("b"), F.sum(F.col("n") * (F.col("p") - F.col("low"))).alias("g"), F.sum("n").alias("n")
+    )
+    own, a, b, g, n = by_key(per, "a", "b", "g", "n")
+    bow = np.log10(np.maximum(1 - a, 1e-9) / np.maximum(1 - b, 1e-9))
+    stays = np.log(10) * (g + (contexts[own] - n) * bow) > GAIN
+    bows = np.zeros(len(contexts), np.float32)
+    bows[own[stays]] = bow[stays]
+    told = spark.sparkContext.broadcast(bows)
 
+    def deltas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            of = told.value[x.column(0).to_numpy() >> SHIFT]
+            delta = np.where(of != 0, x.column(2).to_numpy() - x.column(3).to_numpy() - of, 0.0)
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(delta)], ["key", "n", "delta"])
 
-def lookup(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
-    """The values of asked keys, 0 where unknown."""
-    if not len(keys) or not len(asked):
-        return np.zeros(len(asked), np.int64)
-    order = np.argsort(asked)
-    at = np.minimum(np.searchsorted(keys, asked[order]), len(keys) - 1)
-    out = np.zeros(len(asked), np.int64)
-    out[order] = np.where(keys[at] == asked[order], values[at], 0)
+    return bows, materialise(e.mapInArrow(deltas, "key long, n long, delta double"), "deltas")
+
+
+def bloom(entries: DataFrame) -> np.ndarray:
+    """The filter's bits, set in a distributed way: at most BLOOM / 64 words come back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.concatenate(bits_of(b.column(0).to_numpy()))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.left_shift(np.int64(1), at & 63))], ["key", "bits"])
+
+    key, bits = by_key(entries.select("key").mapInArrow(run, "key long, bits long").groupBy("key").agg(F.bit_or("bits").alias("bits")), "bits")
+    out = np.zeros(BLOOM >> 6, np.int64)
+    out[key] = bits
     return out
 
 
+def grow(train: DataFrame, words: DataFrame, z: int, texts: int) -> tuple[Tree, int, DataFrame | None]:
+    """(the tree's shared part, the least count of a shared word, (level, key, delta) of the entries that are joined)."""
+    spark = train.sparkSession
+    w = words.where("kind = 'w'")
+    limit = top(w, "n", SHARED_WORDS)
+    keys, counts = by_key(w.where(F.col("n") >= limit), "n")
+    tree = Tree(keys, counts, texts)
+    if not texts:
+        tree.bow1 = np.zeros(len(keys) + 1, np.float32)
+        return tree, limit, None
+    rest: list[DataFrame] = []
+
+    def split(entries: DataFrame, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        least = top(entries, "n", SHARED_PAIRS)
+        others = entries.where((F.col("n") < least) & (F.col("delta") != 0))
+        if least > 2:
+            tree.blooms[level] = bloom(others)
+            rest.append(others.select(F.lit(level).alias("level"), "key", "delta"))
+        key, n, delta = by_key(entries.where(F.col("n") >= least), "n", "delta")
+        return key, n, delta.astype(np.float32)
+
+    pairs = materialise(count_level(train, tree, 1), "pairs")
+    release(spark)
+    tree.bow1, entries = learn(tree, pairs, 1, np.append(counts, texts), z, None)
+    release(spark, pairs)
+    tree.pairs, tree.pair_counts, tree.delta1 = split(entries, 1)
+    triples = materialise(count_level(train, tree, 2), "triples")
+    release(spark)
+    tree.bow2, entries = learn(tree, triples, 2, tree.pair_counts, z, rest[0] if rest else None)
+    release(spark, triples)
+    tree.triples, _, tree.delta2 = split(entries, 2)
+    return tree, limit, rest[0].union(rest[1]) if len(rest) > 1 else rest[0] if rest else None
+
+
+# --- scores --------------------------------------------------------------------
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = docs.sparkSession
-    counts = materialise(count_rows(docs, id_col, text_col), "counts")
-    tree = grow(spark, counts)
-    f = counts.where("kind IN ('w', 'd')").agg(
+    train = docs.where(trains(id_col)).select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    counts = materialise(count_words(train), "counts")
+    release(spark)
+    f = counts.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("kind") == "w").alias("v"), F.coalesce(F.max(F.when(F.col("kind") == "d", F.col("n"))), F.lit(0)).alias("texts")
     ).first()
     total, distinct, texts = f["n"], f["v"] + (f["texts"] > 0), f["texts"]
-    limit, keys, values = frequent(counts)
-    shared = spark.sparkContext.broadcast((tree, keys, values))
+    z = total + distinct + 1
+    tree, limit, joined = grow(train, counts, z, texts)
+    shared = spark.sparkContext.broadcast(tree)
     picked = docs.select(F.col(f"`{id_col}`").alias("id"), (~trains(id_col)).alias("held_out"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     kind = picked.schema["id"]
 
+    def lists(rows: int, row: np.ndarray, keys: np.ndarray) -> pa.ListArray:
+        """The keys of each row."""
+        order = np.argsort(row, kind="stable")
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[order], np.arange(rows + 1)), pa.int32()), pa.array(keys[order]))
+
     def per_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree_, keys_, values_ = shared.value
-        task, at = TaskContext.get().partitionId(), 0
+        t = shared.value
+        task, done = TaskContext.get().partitionId(), 0
+        logs = np.append(np.log10(t.counts + 1.0), np.log10(t.texts + 1.0))
         for batch in batches:
             for b in slices(batch, 2):
                 data, off = text_bytes(b.column(2))
                 words, row = word_hashes(data, off)
-                n = lookup(keys_, values_, words.view(np.int64))
                 rows = b.num_rows
-                known = np.bincount(row, n > 0, rows).astype(np.int64)
-                base = np.bincount(row, np.log10(n + 1.0), rows)
-                tokens = np.bincount(row, minlength=rows) + 1
-                number = (np.int64(task) << 40) + at + np.arange(rows)
-                at += rows
-                # the words that were not in the shared table, counted by row
-                left = np.flatnonzero(n == 0)
-                r, h = row[left], words[left].view(np.int64)
-                order = np.lexsort((h, r))
-                r, h = r[order], h[order]
-                ends = np.searchsorted(r, np.arange(rows + 1))
-                rest = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h))
+                of, number, pair, at = t.numbered(off, words, row)
+                known = np.bincount(row, at >= 0, rows).astype(np.int64)
+                base = np.bincount(of, np.where(number >= 0, logs[number], 0.0), rows)
+                pair_at, state, key = t.triple(number, pair)
+                triple_at = position(t.triples, key)
+                before = np.concatenate([[len(t.words)], number[:-1]])
+                gain = np.where(before >= 0, t.bow1[before], 0.0) + np.append(t.delta1, 0)[pair_at] + np.append(t.bow2, 0)[state] + np.append(t.delta2, 0)[triple_at]
+                left = at < 0
+                ask1 = np.flatnonzero((pair_at < 0) & t.maybe(1, pair))
+                ask2 = np.flatnonzero((triple_at < 0) & t.maybe(2, key))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(1), pa.array(number), pa.array(tokens.astype(np.int64)), pa.array(known), pa.array(base), pa.array(tree_.score(data, off)), rest],
-                    ["id", "held_out", "row", "n_tokens", "known", "base", "score", "rest"],
-                )
+                    [b.column(0), b.column(1), pa.array((np.int64(task) << 40) + done + np.arange(rows)), pa.array(np.bincount(of, minlength=rows).astype(np.int64)), pa.array(known), pa.array(base),
+                     pa.array(np.bincount(of, gain, rows)), lists(rows, row[left], words[left].view(np.int64)), lists(rows, of[ask1], pair[ask1]), lists(rows, of[ask2], key[ask2])],
+                    ["id", "held_out", "row", "n_tokens", "known", "base", "gain", "rest", "ask1", "ask2"],
+                )
+                done += rows
 
-    schema = T.StructType([kind, *T.StructType.fromDDL("held_out boolean, row long, n_tokens long, known long, base double, score double, rest array<long>").fields])
+    schema = T.StructType([kind, *T.StructType.fromDDL("held_out boolean, row long, n_tokens long, known long, base double, gain double, rest array<long>, ask1 array<long>, ask2 array<long>").fields])
     rows = materialise(picked.mapInArrow(per_row, schema), "rows")
-    rare = counts.where((F.col("kind") == "w") & (F.col("n") < limit)).select("key", "n")
-    asked = rows.select("row", F.explode("rest").alias("key")).join(rare, "key")
-    sums = asked.groupBy("row").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("add"))
-    out = rows.drop("rest").join(sums, "row", "left")
-    end_known = int(texts > 0)
-    base = F.col("base") + F.coalesce("add", F.lit(0.0)) + float(np.log10(texts + 1.0)) - F.col("n_tokens") * float(np.log10(total + distinct + 1.0))
+    release(spark)
+    rare = counts.where((F.col("kind") == "w") & (F.col("n") < limit)).select(F.col("key"), F.col("n"))
+    met = rows.select("row", F.explode("rest").alias("key")).join(rare, "key").select("row", F.lit(1).alias("more"), F.log10(F.col("n") + 1.0).alias("add"), F.lit(0.0).alias("delta"))
+    if joined is not None:
+        asked = rows.select("row", F.lit(1).alias("level"), F.explode("ask1").alias("key")).union(rows.select("row", F.lit(2).alias("level"), F.explode("ask2").alias("key")))
+        met = met.union(asked.join(joined, ["level", "key"]).select("row", F.lit(0).alias("more"), F.lit(0.0).alias("add"), "delta"))
+    sums = met.groupBy("row").agg(F.sum("more").alias("more"), F.sum("add").alias("add"), F.sum("delta").alias("delta"))
+    out = rows.drop("rest", "ask1", "ask2").join(sums, "row", "left")
+    base = F.col("base") + F.coalesce("add", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(z))
     return out.select(
         F.col("id").alias(id_col),
         "held_out",
         "n_tokens",
-        (F.col("known") + F.coalesce("more", F.lit(0)) + end_known).alias("n_known"),
+        (F.col("known") + F.coalesce("more", F.lit(0)) + int(texts > 0)).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         base.alias("base_score"),
-        "score",
+        (base + F.col("gain") + F.coalesce("delta", F.lit(0.0))).alias("score"),
     )
 
 
