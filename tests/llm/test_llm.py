@@ -170,7 +170,7 @@ def test_tree_brute_force(spark, monkeypatch):
 
     rng = random.Random(3)
     vocab = [f"w{i}" for i in range(12)]
-    texts = CASES[:5] + [" ".join(vocab[min(11, int(rng.expovariate(0.4)) + (j % 3))] for j in range(rng.randint(1, 40))) for _ in range(150)]
+    texts = CASES[:5] + [" ".join(vocab[min(11, int(rng.expovariate(0.4)) + (j % 3))] for j in range(rng.randint(1, 40))) for _ in range(400)]
     held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
     rows = [(re.findall(r"[^\x20\x09-\x0D]+", t or "") + ["$"]) for t in texts]
     one, two, three = Counter(), Counter(), Counter()
@@ -188,10 +188,11 @@ def test_tree_brute_force(spark, monkeypatch):
             by.setdefault(key[:-1], {})[key[-1]] = c
         for s, after in by.items():
             n = contexts[s]
-            if n < op8_lm_scoring.LEAST or level == 2 and (two[s] < 2 or s[1:] not in laws1):
+            if n < op8_lm_scoring.LEAST[level] or level == 2 and s[1:] not in laws1:
                 continue
+            after = {b: c for b, c in after.items() if c >= op8_lm_scoring.ENTRY}
             k = max(1, len(after) + n - sum(after.values()))
-            p = {b: (c + k * lower(s, b)) / (n + k) for b, c in after.items() if c >= 2}
+            p = {b: (c + k * lower(s, b)) / (n + k) for b, c in after.items()}
             if not p:
                 continue
             bow = (1 - sum(p.values())) / (1 - sum(lower(s, b) for b in p))

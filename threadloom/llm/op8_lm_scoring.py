@@ -6,9 +6,9 @@ Training rows are all texts whose crc32(id as text) mod 7 is not 2. Every one of
 * level 1: all pairs of the most frequent words (``SHARED_WORDS``, the tree's alphabet) that follow one another; a text starts after an end.
 * level 2: for the most frequent pairs (``SHARED_PAIRS``), the words that follow them.
 
-A context s that occurs ``LEAST`` times or more has a law of its own for the words b seen after it twice or more:
-P(b|s) = (c(s,b) + k P(b|parent)) / (N(s) + k), k the number of different followers (Witten and Bell); all others share what
-is left, as bow(s) P(b|parent), so that the laws add up to 1. The divergence test: s stays if N(s) * KL, the log-likelihood that its law gains on the training
+A context s that occurs ``LEAST`` times or more (by level) has a law of its own for its entries, the words b seen after it ``ENTRY`` times or
+more: P(b|s) = (c(s,b) + k P(b|parent)) / (N(s) + k), k the number of its entries and of all other occurrences (near the number of
+different followers, as Witten and Bell have it); all other words share what is left, as bow(s) P(b|parent), so that the laws add up to 1. The divergence test: s stays if N(s) * KL, the log-likelihood that its law gains on the training
 texts over its parent's, is more than ``GAIN`` nats, and if its own suffix stays. A text's score is the sum of log10 P(word | longest suffix state),
 its end included.
 
@@ -17,7 +17,7 @@ So the words, contexts and entries that are most frequent are broadcast (at most
 ``BLOOM`` bits), and all the other entries, whose number grows with the corpus, are joined by key: a text asks for those of its
 pairs and triples that a Bloom filter of the entries lets pass. A full filter costs time, not results.
 
-Base: the words that are not shared meet their counts in a join by hash.
+Base: the words that are not shared meet their counts in a join by hash, behind such a filter too.
 
 Null texts are empty; an empty text is its end alone. Rows that repeat an id are scored each for itself. Without training
 rows N and V are 0 and the tree is its root.
@@ -37,8 +37,10 @@ from pyspark.sql import types as T
 
 from .common import materialise, mix, release, slices, table, text_bytes, word_hashes
 
-LEAST, GAIN = 8, 10.0
-SHARED_WORDS, SHARED_PAIRS, BLOOM = 1 << 19, 1 << 20, 1 << 27
+LEAST, ENTRY, GAIN = (0, 16, 32), 3, 30.0
+SHARED_WORDS, SHARED_PAIRS, BLOOM = 1 << 18, 1 << 18, 1 << 26
+#: The key of a text's end among the words' hashes.
+END_KEY = 0
 #: A key is a state's number, shifted, and a word's number; words' numbers are below 2 ** SHIFT.
 SHIFT = 20
 MASK = (1 << SHIFT) - 1
@@ -109,11 +111,11 @@ class Tree:
             return np.zeros(len(keys), bool)
         one, two = bits_of(keys)
         b = self.blooms[level]
-        return ((b[one >> 6] >> (one & 63)) & (b[two >> 6] >> (two & 63)) & 1).astype(bool) & (keys >= 0)
+        return ((b[one >> 6] >> (one & 63)) & (b[two >> 6] >> (two & 63)) & 1).astype(bool)
 
 
 def summed(picked: DataFrame, counted) -> DataFrame:
-    """(kind, key, n): what counted(batch) yields as (kind, sorted keys, numbers), summed within tasks as far as a bounded memory allows, then over all."""
+    """(key, n): what counted(batch) yields, summed within tasks as far as a bounded memory allows, then over all."""
 
     def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         key, n = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -122,58 +124,50 @@ def summed(picked: DataFrame, counted) -> DataFrame:
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         return key[first], np.add.reduceat(n, first)
 
-    def batch_of(kind: str, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([kind] * len(key), pa.string()), pa.array(key.astype(np.int64)), pa.array(n.astype(np.int64))], ["kind", "key", "n"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             for b in slices(batch, 0):
-                for kind, key, n in counted(b):
-                    if not len(key):
-                        continue
-                    parts = held.setdefault(kind, [])
-                    parts.append((key, n))
-                    if len(parts) >= 8:
-                        held[kind] = [merged(parts)]
-                        if len(held[kind][0][0]) > 1_500_000:
-                            yield batch_of(kind, *held[kind].pop())
-        for kind, parts in held.items():
-            if parts:
-                yield batch_of(kind, *merged(parts))
-
-    return picked.mapInArrow(run, "kind string, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+                held.append(counted(b))
+                if len(held) >= 8:
+                    held = [merged(held)]
+                    if len(held[0][0]) > 1_500_000:
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, held.pop())], ["key", "n"])
+        if held and sum(len(k) for k, _ in held):
+            yield pa.RecordBatch.from_arrays([*map(pa.array, merged(held))], ["key", "n"])
+
+    return picked.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def count_words(train: DataFrame) -> DataFrame:
-    """(kind, key, n): w a word's hash, d the number of texts."""
+    """(key, n): the words by hash, and the ends."""
 
-    def counted(b: pa.RecordBatch):
+    def counted(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         words, _ = word_hashes(*text_bytes(b.column(0)))
-        yield "w", *np.unique(words.view(np.int64), return_counts=True)
-        yield "d", np.zeros(1, np.int64), np.array([b.num_rows])
+        key, n = np.unique(words.view(np.int64), return_counts=True)
+        return np.append(key, END_KEY), np.append(n, b.num_rows)
 
     return summed(train, counted)
 
 
 def count_level(train: DataFrame, tree: Tree, level: int) -> DataFrame:
-    """(kind, key, n): the pairs (level 1) or triples (2) that start with a context of LEAST occurrences."""
+    """(key, n): the entries among the pairs (level 1) or triples (2), those that start with a context of LEAST occurrences."""
     shared = train.sparkSession.sparkContext.broadcast(tree)
 
-    def counted(b: pa.RecordBatch):
+    def counted(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         t = shared.value
         data, off = text_bytes(b.column(0))
         words, row = word_hashes(data, off)
         _, number, pair, _ = t.numbered(off, words, row)
         if level == 1:
-            enough = np.append(t.counts >= LEAST, t.texts >= LEAST)
+            enough = np.append(t.counts >= LEAST[1], t.texts >= LEAST[1])
             keys = pair[(pair >= 0) & enough[pair >> SHIFT]]
         else:
             _, state, key = t.triple(number, pair)
-            keys = key[(key >= 0) & (np.append(t.pair_counts, 0)[state] >= LEAST) & (np.append(t.bow1, 0)[np.append(t.pairs, 0)[state] & MASK] != 0)]
-        yield "k", *np.unique(keys, return_counts=True)
+            keys = key[(key >= 0) & (np.append(t.pair_counts, 0)[state] >= LEAST[2]) & (np.append(t.bow1, 0)[np.append(t.pairs, 0)[state] & MASK] != 0)]
+        return np.unique(keys, return_counts=True)
 
-    return summed(train, counted)
+    return summed(train, counted).where(F.col("n") >= ENTRY)
 
 
 def top(entries: DataFrame, by: str, most: int) -> int:
@@ -198,7 +192,7 @@ def learn(tree: Tree, counts: DataFrame, level: int, contexts: np.ndarray, z: in
     state = F.shiftright("key", SHIFT)
     seen, kinds, sums = by_key(counts.groupBy(state.alias("key")).agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n")), "kinds", "n")
     k = np.ones(len(contexts))
-    k[seen] = np.maximum(1, kinds + contexts[seen] - sums)
+    k[seen] = np.maximum(1, kinds + contexts[seen] - sums)  # all that is no entry is taken for different words
     shared = spark.sparkContext.broadcast((tree, contexts.astype(np.float64), k))
 
     def lower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +211,7 @@ def learn(tree: Tree, counts: DataFrame, level: int, contexts: np.ndarray, z: in
                 short[at < 0] = pair[at < 0]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, (of[s], kk[s], low, short))], ["key", "n", "m", "k", "low", "short"])
 
-    e = counts.where("n >= 2").select("key", "n").mapInArrow(lower, "key long, n long, m double, k double, low double, short long")
+    e = counts.select("key", "n").mapInArrow(lower, "key long, n long, m double, k double, low double, short long")
     if joined is not None:
         e = e.join(joined.select(F.col("key").alias("short"), F.col("delta").alias("more")), "short", "left").withColumn("low", F.col("low") + F.coalesce("more", F.lit(0.0)))
     law = (F.col("n") + F.col("k") * F.pow(F.lit(10.0), "low")) / (F.col("m") + F.col("k"))
@@ -258,19 +252,20 @@ def bloom(entries: DataFrame) -> np.ndarray:
 def grow(train: DataFrame, words: DataFrame, z: int, texts: int) -> tuple[Tree, int, DataFrame | None]:
     """(the tree's shared part, the least count of a shared word, (level, key, delta) of the entries that are joined)."""
     spark = train.sparkSession
-    w = words.where("kind = 'w'")
+    w = words.where(F.col("key") != END_KEY)
     limit = top(w, "n", SHARED_WORDS)
     keys, counts = by_key(w.where(F.col("n") >= limit), "n")
     tree = Tree(keys, counts, texts)
     if not texts:
         tree.bow1 = np.zeros(len(keys) + 1, np.float32)
         return tree, limit, None
+    tree.blooms[0] = bloom(w.where(F.col("n") < limit))
     rest: list[DataFrame] = []
 
     def split(entries: DataFrame, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         least = top(entries, "n", SHARED_PAIRS)
         others = entries.where((F.col("n") < least) & (F.col("delta") != 0))
-        if least > 2:
+        if least > ENTRY:
             tree.blooms[level] = bloom(others)
             rest.append(others.select(F.lit(level).alias("level"), "key", "delta"))
         key, n, delta = by_key(entries.where(F.col("n") >= least), "n", "delta")
@@ -298,10 +293,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     train = docs.where(trains(id_col)).select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     counts = materialise(count_words(train), "counts")
     release(spark)
-    f = counts.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("kind") == "w").alias("v"), F.coalesce(F.max(F.when(F.col("kind") == "d", F.col("n"))), F.lit(0)).alias("texts")
-    ).first()
-    total, distinct, texts = f["n"], f["v"] + (f["texts"] > 0), f["texts"]
+    f = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.max(F.when(F.col("key") == END_KEY, F.col("n"))), F.lit(0)).alias("texts")).first()
+    total, distinct, texts = f["n"], f["v"], f["texts"]
     z = total + distinct + 1
     tree, limit, joined = grow(train, counts, z, texts)
     shared = spark.sparkContext.broadcast(tree)
@@ -329,9 +322,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 triple_at = position(t.triples, key)
                 before = np.concatenate([[len(t.words)], number[:-1]])
                 gain = np.where(before >= 0, t.bow1[before], 0.0) + np.append(t.delta1, 0)[pair_at] + np.append(t.bow2, 0)[state] + np.append(t.delta2, 0)[triple_at]
-                left = at < 0
-                ask1 = np.flatnonzero((pair_at < 0) & t.maybe(1, pair))
-                ask2 = np.flatnonzero((triple_at < 0) & t.maybe(2, key))
+                left = np.flatnonzero(at < 0)
+                left = left[t.maybe(0, words[left].view(np.int64))]
+                ask1 = np.flatnonzero((pair_at < 0) & (pair >= 0))
+                ask2 = np.flatnonzero((triple_at < 0) & (key >= 0))
+                ask1, ask2 = ask1[t.maybe(1, pair[ask1])], ask2[t.maybe(2, key[ask2])]
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), b.column(1), pa.array((np.int64(task) << 40) + done + np.arange(rows)), pa.array(np.bincount(of, minlength=rows).astype(np.int64)), pa.array(known), pa.array(base),
                      pa.array(np.bincount(of, gain, rows)), lists(rows, row[left], words[left].view(np.int64)), lists(rows, of[ask1], pair[ask1]), lists(rows, of[ask2], key[ask2])],
@@ -342,7 +337,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     schema = T.StructType([kind, *T.StructType.fromDDL("held_out boolean, row long, n_tokens long, known long, base double, gain double, rest array<long>, ask1 array<long>, ask2 array<long>").fields])
     rows = materialise(picked.mapInArrow(per_row, schema), "rows")
     release(spark)
-    rare = counts.where((F.col("kind") == "w") & (F.col("n") < limit)).select(F.col("key"), F.col("n"))
+    rare = counts.where((F.col("key") != END_KEY) & (F.col("n") < limit)).select(F.col("key"), F.col("n"))
     met = rows.select("row", F.explode("rest").alias("key")).join(rare, "key").select("row", F.lit(1).alias("more"), F.log10(F.col("n") + 1.0).alias("add"), F.lit(0.0).alias("delta"))
     if joined is not None:
         asked = rows.select("row", F.lit(1).alias("level"), F.explode("ask1").alias("key")).union(rows.select("row", F.lit(2).alias("level"), F.explode("ask2").alias("key")))
