@@ -3,8 +3,8 @@
 Training rows are all texts whose crc32(id as text) mod 7 is not 2. Every one of them is counted:
 
 * level 0: all distinct words (and one end a text), by 64-bit hash. The root's law is the base, (c + 1) / (N + V + 1).
-* level 1: all pairs of the most frequent words (``SHARED_WORDS``, the tree's alphabet) that follow one another; a text starts after an end.
-* level 2: for the most frequent pairs (``SHARED_PAIRS``), the words that follow them.
+* level 1: all pairs of words that follow one another; a text starts after an end.
+* level 2: all words that follow a pair.
 
 A context s that occurs ``LEAST`` times or more (by level) has a law of its own for its entries, the words b seen after it ``ENTRY`` times or
 more: P(b|s) = (c(s,b) + k P(b|parent)) / (N(s) + k), k the number of its entries and of all other occurrences (near the number of
@@ -13,11 +13,10 @@ texts over its parent's, is more than ``GAIN`` nats, and if its own suffix stays
 its end included.
 
 In logs everything adds up: base + bow of the kept contexts + delta of the entries met, delta = log P(b|s) - log bow(s) - log P(b|parent).
-So the words, contexts and entries that are most frequent are broadcast (at most ``SHARED_WORDS`` x 20 + ``SHARED_PAIRS`` x 28 bytes and
-``BLOOM`` bits), and all the other entries, whose number grows with the corpus, are joined by key: a text asks for those of its
-pairs and triples that a Bloom filter of the entries lets pass. A full filter costs time, not results.
-
-Base: the words that are not shared meet their counts in a join by hash, behind such a filter too.
+So a text's score is a sum over keys, 64-bit hashes of its words, pairs and triples: a word adds its base and its bow, a pair its delta and its bow as a
+context, a triple its delta. The keys' numbers are in distributed tables, whatever their count, and contexts meet their entries in joins.
+The ``SHARED_PAIRS`` most frequent keys are broadcast as well (24 bytes each); a text asks for the others that a Bloom filter
+of ``BLOOM`` bits lets pass, and they are joined by key. Both save time and do not change results, as do the filters before counting.
 
 Null texts are empty; an empty text is its end alone. Rows that repeat an id are scored each for itself. Without training
 rows N and V are 0 and the tree is its root.
@@ -26,7 +25,7 @@ rows N and V are 0 and the tree is its root.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +37,9 @@ from pyspark.sql import types as T
 from .common import materialise, mix, release, slices, table, text_bytes, word_hashes
 
 LEAST, ENTRY, GAIN = (0, 16, 32), 3, 30.0
-SHARED_WORDS, SHARED_PAIRS, BLOOM = 1 << 18, 1 << 18, 1 << 26
+SHARED_PAIRS, BLOOM = 1 << 21, 1 << 27
 #: The key of a text's end among the words' hashes.
 END_KEY = 0
-#: A key is a state's number, shifted, and a word's number; words' numbers are below 2 ** SHIFT.
-SHIFT = 20
-MASK = (1 << SHIFT) - 1
 
 
 def trains(id_col: str) -> Column:
@@ -62,110 +58,92 @@ def position(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
     return out
 
 
+def key_of(level: int, context: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The keys of pairs (level 1: a word and the next) or triples (2: a pair and the pair of its last two words)."""
+    x, y = context.astype(np.int64).view(np.uint64), last.astype(np.int64).view(np.uint64)
+    return mix(mix(x + np.uint64(level)) * np.uint64(0x9E3779B97F4A7C15) + y).view(np.int64)
+
+
+def symbols(b: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all words and ends of the texts in order: row and key; the word before and the pair; whether a triple ends there."""
+    words, row = word_hashes(*text_bytes(b))
+    key, of = np.full(len(words) + len(b), END_KEY, np.int64), np.empty(len(words) + len(b), np.int64)
+    at = np.arange(len(words)) + row
+    key[at], of[at] = words.view(np.int64), row
+    of[np.searchsorted(row, np.arange(len(b)), side="right") + np.arange(len(b))] = np.arange(len(b))
+    before = np.concatenate([[END_KEY], key[:-1]])
+    return of, key, before, key_of(1, before, key), np.concatenate([[False], of[1:] == of[:-1]])
+
+
 def bits_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The two bits of each key in the Bloom filter."""
     h = mix(keys.astype(np.int64).view(np.uint64))
     return (h % np.uint64(BLOOM)).astype(np.int64), ((h >> np.uint64(32)) % np.uint64(BLOOM)).astype(np.int64)
 
 
+def maybe(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys may be in the filter."""
+    one, two = bits_of(keys)
+    return ((filter_[one >> 6] >> (one & 63)) & (filter_[two >> 6] >> (two & 63)) & 1).astype(bool)
+
+
 @dataclass
 class Tree:
-    """What all tasks hold. Words by hash (the end's number is their count), pairs and triples by key."""
-
-    words: np.ndarray
-    counts: np.ndarray
-    texts: int
-    bow1: np.ndarray = field(default_factory=lambda: np.zeros(1, np.float32))
-    pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    delta1: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
-    pair_counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    bow2: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
-    triples: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    delta2: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
-    blooms: dict = field(default_factory=dict)
-
-    def numbered(self, off: np.ndarray, words: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of all words and ends in order: row, number (-1: not shared), the keys of pairs (-1: none), and the index of each pair."""
-        rows, end = len(off) - 1, len(self.words)
-        at = position(self.words, words.view(np.int64))
-        ends = np.searchsorted(row, np.arange(rows), side="right") + np.arange(rows)
-        number = np.full(len(words) + rows, end, np.int64)
-        number[np.arange(len(words)) + row] = at
-        of = np.zeros(len(number), np.int64)
-        of[np.arange(len(words)) + row] = row
-        of[ends] = np.arange(rows)
-        before = np.concatenate([[end], number[:-1]])
-        pair = np.where((before >= 0) & (number >= 0), before << SHIFT | number, -1)
-        return of, number, pair, at
-
-    def triple(self, number: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(index of each pair, state of two words at each place or -1, key of the triple or -1)."""
-        known = position(self.pairs, pair)
-        state = np.concatenate([[-1], known[:-1]])
-        state[np.concatenate([[True], number[:-1] == len(self.words)])] = -1  # a text's first symbol follows its start alone
-        return known, state, np.where((state >= 0) & (number >= 0), state << SHIFT | number, -1)
-
-    def maybe(self, level: int, keys: np.ndarray) -> np.ndarray:
-        """Which keys may be entries of the joined part."""
-        if level not in self.blooms:
-            return np.zeros(len(keys), bool)
-        one, two = bits_of(keys)
-        b = self.blooms[level]
-        return ((b[one >> 6] >> (one & 63)) & (b[two >> 6] >> (two & 63)) & 1).astype(bool)
+    """What all tasks hold: the most frequent keys, what each adds to the base and beyond it, and a filter of all other keys."""
+
+    keys: np.ndarray
+    base: np.ndarray
+    gain: np.ndarray
+    others: np.ndarray
 
 
 def summed(picked: DataFrame, counted) -> DataFrame:
-    """(key, n): what counted(batch) yields, summed within tasks as far as a bounded memory allows, then over all."""
+    """(s, b, n): what counted(batch) yields with a key for each (s, b), summed within tasks as far as a bounded memory allows, then over all."""
 
-    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        key, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    def merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        key, s, b, n = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(key)
-        key, n = key[order], n[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        return key[first], np.add.reduceat(n, first)
+        key = key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        return key[first], s[order[first]], b[order[first]], np.add.reduceat(n[order], first) if len(key) else n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             for b in slices(batch, 0):
-                held.append(counted(b))
+                key, s, last = counted(b)
+                held.append(merged([(key, s, last, np.ones(len(key), np.int64))]))
                 if len(held) >= 8:
                     held = [merged(held)]
                     if len(held[0][0]) > 1_500_000:
-                        yield pa.RecordBatch.from_arrays([*map(pa.array, held.pop())], ["key", "n"])
-        if held and sum(len(k) for k, _ in held):
-            yield pa.RecordBatch.from_arrays([*map(pa.array, merged(held))], ["key", "n"])
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, held.pop()[1:])], ["s", "b", "n"])
+        if held and sum(len(x[0]) for x in held):
+            yield pa.RecordBatch.from_arrays([*map(pa.array, merged(held)[1:])], ["s", "b", "n"])
 
-    return picked.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return picked.mapInArrow(run, "s long, b long, n long").groupBy("s", "b").agg(F.sum("n").alias("n"))
 
 
 def count_words(train: DataFrame) -> DataFrame:
     """(key, n): the words by hash, and the ends."""
 
-    def counted(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        words, _ = word_hashes(*text_bytes(b.column(0)))
-        key, n = np.unique(words.view(np.int64), return_counts=True)
-        return np.append(key, END_KEY), np.append(n, b.num_rows)
+    def counted(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        _, key, *_ = symbols(b.column(0))
+        return key, np.zeros(len(key), np.int64), key
 
-    return summed(train, counted)
+    return summed(train, counted).select(F.col("b").alias("key"), "n")
 
 
-def count_level(train: DataFrame, tree: Tree, level: int) -> DataFrame:
-    """(key, n): the entries among the pairs (level 1) or triples (2), those that start with a context of LEAST occurrences."""
-    shared = train.sparkSession.sparkContext.broadcast(tree)
+def count_level(train: DataFrame, filters: tuple[np.ndarray, np.ndarray], level: int) -> DataFrame:
+    """(s, b, n): the pairs (level 1: two words) or triples (2: two pairs) seen ENTRY times or more. filters: of the contexts s, and of all b that may be an entry's."""
+    shared = train.sparkSession.sparkContext.broadcast(filters)
 
-    def counted(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        t = shared.value
-        data, off = text_bytes(b.column(0))
-        words, row = word_hashes(data, off)
-        _, number, pair, _ = t.numbered(off, words, row)
-        if level == 1:
-            enough = np.append(t.counts >= LEAST[1], t.texts >= LEAST[1])
-            keys = pair[(pair >= 0) & enough[pair >> SHIFT]]
-        else:
-            _, state, key = t.triple(number, pair)
-            keys = key[(key >= 0) & (np.append(t.pair_counts, 0)[state] >= LEAST[2]) & (np.append(t.bow1, 0)[np.append(t.pairs, 0)[state] & MASK] != 0)]
-        return np.unique(keys, return_counts=True)
+    def counted(x: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        contexts, last = shared.value
+        _, key, before, pair, third = symbols(x.column(0))
+        s, b = (before, key) if level == 1 else (np.concatenate([[0], pair[:-1]])[third], pair[third])
+        at = np.flatnonzero(maybe(contexts, s))
+        at = at[maybe(last, b[at])]
+        return key_of(level, s[at], b[at]), s[at], b[at]
 
     return summed(train, counted).where(F.col("n") >= ENTRY)
 
@@ -186,53 +164,34 @@ def by_key(df: DataFrame, *columns: str) -> list[np.ndarray]:
     return [got[c].to_numpy()[order] for c in ("key", *columns)]
 
 
-def learn(tree: Tree, counts: DataFrame, level: int, contexts: np.ndarray, z: int, joined: DataFrame | None) -> tuple[np.ndarray, DataFrame]:
-    """(log10 bow by context, 0 where none stays; (key, n, delta) of all entries). contexts: occurrences of each; z: the base's denominator."""
+def learn(counts: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+    """((s, bow, m) of the contexts that stay, (key, b, n, law, delta) of all entries): log10. counts: s, b, n, m (occurrences of s), low (the parent's law of b)."""
     spark = counts.sparkSession
-    state = F.shiftright("key", SHIFT)
-    seen, kinds, sums = by_key(counts.groupBy(state.alias("key")).agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n")), "kinds", "n")
-    k = np.ones(len(contexts))
-    k[seen] = np.maximum(1, kinds + contexts[seen] - sums)  # all that is no entry is taken for different words
-    shared = spark.sparkContext.broadcast((tree, contexts.astype(np.float64), k))
-
-    def lower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each entry's numbers: occurrences of its context, k, the parent's log10 law, and at level 2 its shorter key (-1: its delta is known)."""
-        t, of, kk = shared.value
-        for b in batches:
-            key = b.column(0).to_numpy()
-            s, w = key >> SHIFT, key & MASK
-            low = np.log10(np.append(t.counts, t.texts)[w] + 1.0) - np.log10(z)
-            short = np.full(len(key), -1, np.int64)
-            if level == 2:
-                last = t.pairs[s] & MASK
-                pair = last << SHIFT | w
-                at = position(t.pairs, pair)
-                low += t.bow1[last] + np.append(t.delta1, 0)[at]
-                short[at < 0] = pair[at < 0]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, (of[s], kk[s], low, short))], ["key", "n", "m", "k", "low", "short"])
-
-    e = counts.select("key", "n").mapInArrow(lower, "key long, n long, m double, k double, low double, short long")
-    if joined is not None:
-        e = e.join(joined.select(F.col("key").alias("short"), F.col("delta").alias("more")), "short", "left").withColumn("low", F.col("low") + F.coalesce("more", F.lit(0.0)))
-    law = (F.col("n") + F.col("k") * F.pow(F.lit(10.0), "low")) / (F.col("m") + F.col("k"))
-    e = materialise(e.select("key", "n", F.log10(law).alias("p"), "low"), "entries")
-    per = e.groupBy(state.alias("key")).agg(
-        F.sum(F.pow(F.lit(10.0), "p")).alias("a"), F.sum(F.pow(F.lit(10.0), "low")).alias("b"), F.sum(F.col("n") * (F.col("p") - F.col("low"))).alias("g"), F.sum("n").alias("n")
-    )
-    own, a, b, g, n = by_key(per, "a", "b", "g", "n")
-    bow = np.log10(np.maximum(1 - a, 1e-9) / np.maximum(1 - b, 1e-9))
-    stays = np.log(10) * (g + (contexts[own] - n) * bow) > GAIN
-    bows = np.zeros(len(contexts), np.float32)
-    bows[own[stays]] = bow[stays]
-    told = spark.sparkContext.broadcast(bows)
-
-    def deltas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            of = told.value[x.column(0).to_numpy() >> SHIFT]
-            delta = np.where(of != 0, x.column(2).to_numpy() - x.column(3).to_numpy() - of, 0.0)
-            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(delta)], ["key", "n", "delta"])
+            yield pa.RecordBatch.from_arrays([pa.array(key_of(level, x.column(0).to_numpy(), x.column(1).to_numpy())), *x.columns], ["key", *x.schema.names])
 
-    return bows, materialise(e.mapInArrow(deltas, "key long, n long, delta double"), "deltas")
+    counts = materialise(counts.select("s", "b", "n", "m", "low").mapInArrow(keyed, "key long, s long, b long, n long, m long, low double"), "counts")
+    release(spark)
+    # all that is no entry is taken for different words
+    k = counts.groupBy("s").agg(F.greatest(F.lit(1), F.count(F.lit(1)) + F.first("m") - F.sum("n")).alias("k"))
+    law = (F.col("n") + F.col("k") * F.pow(F.lit(10.0), "low")) / (F.col("m") + F.col("k"))
+    e = materialise(counts.join(k, "s").select("key", "s", "b", "n", "m", "low", F.log10(law).alias("p")), "entries")
+    release(spark, counts)
+    per = e.groupBy("s").agg(
+        F.sum(F.pow(F.lit(10.0), "p")).alias("a"), F.sum(F.pow(F.lit(10.0), "low")).alias("l"), F.sum(F.col("n") * (F.col("p") - F.col("low"))).alias("g"), F.sum("n").alias("n"), F.first("m").alias("m")
+    )
+    bow = F.log10(F.greatest(1 - F.col("a"), F.lit(1e-9)) / F.greatest(1 - F.col("l"), F.lit(1e-9)))
+    per = per.withColumn("bow", bow).where(F.lit(float(np.log(10))) * (F.col("g") + (F.col("m") - F.col("n")) * F.col("bow")) > GAIN)
+    contexts = materialise(per.select("s", "bow", "m"), "contexts")
+    stays = F.col("bow").isNotNull()
+    laws = e.join(contexts.select("s", "bow"), "s", "left").select(
+        "key", "b", "n", F.when(stays, F.col("p")).otherwise(F.col("low")).alias("law"), F.when(stays, F.col("p") - F.col("low") - F.col("bow")).otherwise(F.lit(0.0)).alias("delta")
+    )
+    laws = materialise(laws, "laws")
+    release(spark, e)
+    return contexts, laws
 
 
 def bloom(entries: DataFrame) -> np.ndarray:
@@ -249,39 +208,27 @@ def bloom(entries: DataFrame) -> np.ndarray:
     return out
 
 
-def grow(train: DataFrame, words: DataFrame, z: int, texts: int) -> tuple[Tree, int, DataFrame | None]:
-    """(the tree's shared part, the least count of a shared word, (level, key, delta) of the entries that are joined)."""
+def grow(train: DataFrame, words: DataFrame, z: int) -> DataFrame:
+    """(key, n, known, base, gain) of all words, pairs and triples that add something. z: the base's denominator."""
     spark = train.sparkSession
-    w = words.where(F.col("key") != END_KEY)
-    limit = top(w, "n", SHARED_WORDS)
-    keys, counts = by_key(w.where(F.col("n") >= limit), "n")
-    tree = Tree(keys, counts, texts)
-    if not texts:
-        tree.bow1 = np.zeros(len(keys) + 1, np.float32)
-        return tree, limit, None
-    tree.blooms[0] = bloom(w.where(F.col("n") < limit))
-    rest: list[DataFrame] = []
-
-    def split(entries: DataFrame, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        least = top(entries, "n", SHARED_PAIRS)
-        others = entries.where((F.col("n") < least) & (F.col("delta") != 0))
-        if least > ENTRY:
-            tree.blooms[level] = bloom(others)
-            rest.append(others.select(F.lit(level).alias("level"), "key", "delta"))
-        key, n, delta = by_key(entries.where(F.col("n") >= least), "n", "delta")
-        return key, n, delta.astype(np.float32)
-
-    pairs = materialise(count_level(train, tree, 1), "pairs")
-    release(spark)
-    tree.bow1, entries = learn(tree, pairs, 1, np.append(counts, texts), z, None)
-    release(spark, pairs)
-    tree.pairs, tree.pair_counts, tree.delta1 = split(entries, 1)
-    triples = materialise(count_level(train, tree, 2), "triples")
-    release(spark)
-    tree.bow2, entries = learn(tree, triples, 2, tree.pair_counts, z, rest[0] if rest else None)
-    release(spark, triples)
-    tree.triples, _, tree.delta2 = split(entries, 2)
-    return tree, limit, rest[0].union(rest[1]) if len(rest) > 1 else rest[0] if rest else None
+    filters = bloom(words.where(F.col("n") >= LEAST[1])), bloom(words.where(F.col("n") >= ENTRY))
+    contexts = words.where(F.col("n") >= LEAST[1]).select(F.col("key").alias("s"), F.col("n").alias("m"))
+    root = words.select(F.col("key").alias("b"), (F.log10(F.col("n") + 1.0) - float(np.log10(z))).alias("low"))
+    one, pairs = learn(count_level(train, filters, 1).join(contexts, "s").join(root, "b"), 1)
+    states = pairs.where(F.col("n") >= LEAST[2]).join(one.select(F.col("s").alias("b")), "b", "left_semi")
+    states = materialise(states.select("key", "n"), "states")
+    filters = bloom(states), bloom(pairs)
+    contexts = states.select(F.col("key").alias("s"), F.col("n").alias("m"))
+    # a triple's last two words follow one another as often as it occurs, so they are among the pairs
+    lower = pairs.select(F.col("key").alias("b"), F.col("law").alias("low"))
+    two, triples = learn(count_level(train, filters, 2).join(contexts, "s").join(lower, "b"), 2)
+    none, zero = F.lit(0), F.lit(0.0)
+    level0 = words.join(one.select(F.col("s").alias("key"), "bow"), "key", "left").select("key", "n", F.lit(1).alias("known"), F.log10(F.col("n") + 1.0).alias("base"), F.coalesce("bow", zero).alias("gain"))
+    level1 = pairs.join(two.select(F.col("s").alias("key"), "bow"), "key", "left").select("key", "n", none.alias("known"), zero.alias("base"), (F.col("delta") + F.coalesce("bow", zero)).alias("gain"))
+    level2 = triples.select("key", "n", none.alias("known"), zero.alias("base"), F.col("delta").alias("gain"))
+    out = materialise(level0.union(level1.where("gain != 0")).union(level2.where("gain != 0")), "values")
+    release(spark, one, pairs, states, two, triples)
+    return out
 
 
 # --- scores --------------------------------------------------------------------
@@ -291,13 +238,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = docs.sparkSession
     train = docs.where(trains(id_col)).select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    counts = materialise(count_words(train), "counts")
+    counts = materialise(count_words(train), "words")
     release(spark)
-    f = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.max(F.when(F.col("key") == END_KEY, F.col("n"))), F.lit(0)).alias("texts")).first()
-    total, distinct, texts = f["n"], f["v"], f["texts"]
-    z = total + distinct + 1
-    tree, limit, joined = grow(train, counts, z, texts)
-    shared = spark.sparkContext.broadcast(tree)
+    f = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+    total, z = f["n"], f["n"] + f["v"] + 1
+    values = grow(train, counts, z)
+    release(spark, counts)
+    least = top(values, "n", SHARED_PAIRS)
+    rest = values.where(F.col("n") < least).select("key", "known", "base", "gain")
+    shared = spark.sparkContext.broadcast(Tree(*by_key(values.where(F.col("n") >= least), "base", "gain"), bloom(rest)))
     picked = docs.select(F.col(f"`{id_col}`").alias("id"), (~trains(id_col)).alias("held_out"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     kind = picked.schema["id"]
 
@@ -308,48 +257,38 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def per_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
+        base_of, gain_of = np.append(t.base, 0.0), np.append(t.gain, 0.0)
         task, done = TaskContext.get().partitionId(), 0
-        logs = np.append(np.log10(t.counts + 1.0), np.log10(t.texts + 1.0))
         for batch in batches:
             for b in slices(batch, 2):
-                data, off = text_bytes(b.column(2))
-                words, row = word_hashes(data, off)
                 rows = b.num_rows
-                of, number, pair, at = t.numbered(off, words, row)
-                known = np.bincount(row, at >= 0, rows).astype(np.int64)
-                base = np.bincount(of, np.where(number >= 0, logs[number], 0.0), rows)
-                pair_at, state, key = t.triple(number, pair)
-                triple_at = position(t.triples, key)
-                before = np.concatenate([[len(t.words)], number[:-1]])
-                gain = np.where(before >= 0, t.bow1[before], 0.0) + np.append(t.delta1, 0)[pair_at] + np.append(t.bow2, 0)[state] + np.append(t.delta2, 0)[triple_at]
-                left = np.flatnonzero(at < 0)
-                left = left[t.maybe(0, words[left].view(np.int64))]
-                ask1 = np.flatnonzero((pair_at < 0) & (pair >= 0))
-                ask2 = np.flatnonzero((triple_at < 0) & (key >= 0))
-                ask1, ask2 = ask1[t.maybe(1, pair[ask1])], ask2[t.maybe(2, key[ask2])]
+                of, key, _, pair, third = symbols(b.column(2))
+                n_tokens, words = np.bincount(of, minlength=rows).astype(np.int64), len(key)
+                key = np.concatenate([key, pair, key_of(2, np.concatenate([[0], pair[:-1]])[third], pair[third])])
+                of = np.concatenate([of, of, of[third]])
+                at = position(t.keys, key)
+                known = np.bincount(of[:words], at[:words] >= 0, rows).astype(np.int64)
+                ask = np.flatnonzero(at < 0)
+                ask = ask[maybe(t.others, key[ask])]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(1), pa.array((np.int64(task) << 40) + done + np.arange(rows)), pa.array(np.bincount(of, minlength=rows).astype(np.int64)), pa.array(known), pa.array(base),
-                     pa.array(np.bincount(of, gain, rows)), lists(rows, row[left], words[left].view(np.int64)), lists(rows, of[ask1], pair[ask1]), lists(rows, of[ask2], key[ask2])],
-                    ["id", "held_out", "row", "n_tokens", "known", "base", "gain", "rest", "ask1", "ask2"],
+                    [b.column(0), b.column(1), pa.array((np.int64(task) << 40) + done + np.arange(rows)), pa.array(n_tokens), pa.array(known),
+                     pa.array(np.bincount(of, base_of[at], rows)), pa.array(np.bincount(of, gain_of[at], rows)), lists(rows, of[ask], key[ask])],
+                    ["id", "held_out", "row", "n_tokens", "known", "base", "gain", "ask"],
                 )
                 done += rows
 
-    schema = T.StructType([kind, *T.StructType.fromDDL("held_out boolean, row long, n_tokens long, known long, base double, gain double, rest array<long>, ask1 array<long>, ask2 array<long>").fields])
+    schema = T.StructType([kind, *T.StructType.fromDDL("held_out boolean, row long, n_tokens long, known long, base double, gain double, ask array<long>").fields])
     rows = materialise(picked.mapInArrow(per_row, schema), "rows")
     release(spark)
-    rare = counts.where((F.col("key") != END_KEY) & (F.col("n") < limit)).select(F.col("key"), F.col("n"))
-    met = rows.select("row", F.explode("rest").alias("key")).join(rare, "key").select("row", F.lit(1).alias("more"), F.log10(F.col("n") + 1.0).alias("add"), F.lit(0.0).alias("delta"))
-    if joined is not None:
-        asked = rows.select("row", F.lit(1).alias("level"), F.explode("ask1").alias("key")).union(rows.select("row", F.lit(2).alias("level"), F.explode("ask2").alias("key")))
-        met = met.union(asked.join(joined, ["level", "key"]).select("row", F.lit(0).alias("more"), F.lit(0.0).alias("add"), "delta"))
-    sums = met.groupBy("row").agg(F.sum("more").alias("more"), F.sum("add").alias("add"), F.sum("delta").alias("delta"))
-    out = rows.drop("rest", "ask1", "ask2").join(sums, "row", "left")
+    met = rows.select("row", F.explode("ask").alias("key")).join(rest, "key")
+    sums = met.groupBy("row").agg(F.sum("known").alias("more"), F.sum("base").alias("add"), F.sum("gain").alias("delta"))
+    out = rows.drop("ask").join(sums, "row", "left")
     base = F.col("base") + F.coalesce("add", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(z))
     return out.select(
         F.col("id").alias(id_col),
         "held_out",
         "n_tokens",
-        (F.col("known") + F.coalesce("more", F.lit(0)) + int(texts > 0)).alias("n_known"),
+        (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         base.alias("base_score"),
         (base + F.col("gain") + F.coalesce("delta", F.lit(0.0))).alias("score"),
