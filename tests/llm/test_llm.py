@@ -292,3 +292,11 @@ def test_tree_contexts_beyond_shared(spark, monkeypatch):
         monkeypatch.setattr(op8_lm_scoring, "SHARED_PAIRS", shared)
         few = {r.doc_id: (r.score, r.base_score, r.n_known) for r in op8_lm_scoring.score(docs(spark, texts)).collect()}
         assert len(few) == len(texts) and all(few[i] == pytest.approx(whole[i], abs=1e-3) for i in whole)
+
+
+def test_tree_small_contexts(spark):
+    """A context of 10 occurrences whose follower is always the same has a law of its own."""
+    texts = [f"x{i} y{i} z{i}" for i in range(60)] + ["alpha beta gamma"] * 12
+    got = [r for r in op8_lm_scoring.score(docs(spark, texts)).collect() if r.doc_id >= 60]
+    trained = sum(zlib.crc32(str(i).encode()) % 7 != 2 for i in range(60, 72))
+    assert 8 <= trained < 16 and all(r.score > r.base_score + 2 for r in got)

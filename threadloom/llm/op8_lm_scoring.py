@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from .common import materialise, mix, release, slices, table, text_bytes, word_hashes
 
-LEAST, ENTRY, GAIN = (0, 16, 32), 3, 30.0
+LEAST, ENTRY, GAIN = (0, 8, 8), 2, 10.0
 SHARED_PAIRS, BLOOM = 1 << 21, 1 << 27
 #: The key of a text's end among the words' hashes.
 END_KEY = 0
