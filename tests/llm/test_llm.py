@@ -300,3 +300,22 @@ def test_tree_small_contexts(spark):
     got = [r for r in op8_lm_scoring.score(docs(spark, texts)).collect() if r.doc_id >= 60]
     trained = sum(zlib.crc32(str(i).encode()) % 7 != 2 for i in range(60, 72))
     assert 8 <= trained < 16 and all(r.score > r.base_score + 2 for r in got)
+
+
+def test_secrets_members_and_long_blobs():
+    import bz2
+    import lzma
+
+    secret = b"password=abcdef123"
+    filler = b"".join(b"line %d, of prose \xc3\xa9\n" % i for i in range(40_000))
+    binary = bytes(random.Random(1).randbytes(1 << 17))
+    for pack in (gzip.compress, bz2.compress, lzma.compress):
+        for blob in (pack(b"first, ") + pack(secret), pack(filler + secret), pack(binary + b"\n" * 70_000 + secret), pack(pack(b"a, ") + pack(secret)), pack(b"first, ") + b", " + secret):
+            run = base64.b64encode(blob).decode()
+            _, spans, _ = op2_secret_scans.scan(f"see {run} end", 1 << 18)
+            assert any(s[1] == 0 and s[0] == 4 and s[2] == 4 + len(run) for s in spans)
+    plain = (filler + secret).decode()
+    parts = list(op2_secret_scans.blobs(gzip.compress(plain.encode()), 1 << 17))
+    assert "".join(parts) == plain and len(parts) > 2 and max(map(len, parts)) < 1 << 18
+    quine_like = gzip.compress(b"x" * 10)
+    assert list(op2_secret_scans.blobs(quine_like[:-9], 1 << 18)) in ([], ["x" * 10])

@@ -7,7 +7,10 @@ on a worklist until none is new. A layer already seen at the same place is not t
 compressed data that contains itself) end. Spans found in deeper layers are mapped to the original: what a run
 was decoded from counts as a whole.
 
-Bounds: decompression stops at ``most`` bytes a blob (64 MiB), so that a bomb can't fill an executor; what lies beyond is not scanned.
+Compressed bytes are read as a stream, member after member, in memory of about ``most`` bytes (64 MiB): longer content is scanned in parts that end at a
+character which no rule and no encoding has, so that nothing spans two parts; a run without such a character is held as a whole. What follows
+the last member is scanned as it stands, as is what could be read of a broken blob. Of content longer than 64 KiB, stretches of that size
+that are no text are left out.
 Null is empty. An empty text has no spans and the digest of "". Repeated rows give a row each.
 """
 
@@ -21,7 +24,9 @@ import lzma
 import re
 import zlib
 from bisect import bisect_right
+from codecs import getincrementaldecoder
 from collections.abc import Iterator
+from itertools import chain
 from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
@@ -44,7 +49,9 @@ PERCENT = re.compile("(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&(?:quot|amp|lt|gt|apos);)+")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 LONG_HEX = re.compile("[0-9A-Fa-f]{36,}")
-MOST = 64 << 20
+#: No rule's or encoding's match has it.
+GAP = re.compile(r"""[^A-Za-z0-9+/_.=%\\&#;:"'\x20-]""")
+MOST, STRETCH = 64 << 20, 1 << 16
 
 
 def found(text: str) -> list[tuple[int, int, int]]:
@@ -135,41 +142,143 @@ def _escape(m: re.Match) -> list[tuple[int, int, str]]:
     return out
 
 
-def unpacked(data: bytes, most: int = MOST) -> bytes | None:
-    """The content of a compressed blob, as far as it can be read."""
-    makers = []
-    if data[:2] == b"\x1f\x8b":
-        makers = [lambda: zlib.decompressobj(31)]
-    elif data[:1] == b"\x78" and len(data) > 2 and (data[0] << 8 | data[1]) % 31 == 0:
-        makers = [lambda: zlib.decompressobj(15)]
-    elif data[:3] == b"BZh":
-        makers = [bz2.BZ2Decompressor]
-    elif data[:6] == b"\xfd7zXZ\x00":
-        makers = [lambda: lzma.LZMADecompressor(memlimit=256 << 20)]
-    for make in makers:
+def maker(head: bytes):
+    """What makes a decompressor for data that starts so, None if it isn't compressed."""
+    if head[:2] == b"\x1f\x8b":
+        return lambda: zlib.decompressobj(31)
+    if head[:1] == b"\x78" and len(head) > 2 and (head[0] << 8 | head[1]) % 31 == 0:
+        return lambda: zlib.decompressobj(15)
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor
+    if head[:6] == b"\xfd7zXZ\x00":
+        return lambda: lzma.LZMADecompressor(memlimit=256 << 20)
+    return None
+
+
+def unpacked(pieces: Iterator[bytes]) -> Iterator[bytes | None]:
+    """The contents of a compressed blob's members, as far as they can be read, in pieces of STRETCH bytes at most; None after each member."""
+    rest, first = b"", True
+    while True:
+        while len(rest) < 6 and (more := next(pieces, b"")):
+            rest = (rest + more).lstrip(b"\0") if not first else rest + more
+        if not rest:
+            return
+        if (make := maker(rest)) is None:
+            yield rest
+            yield from pieces
+            yield None
+            return
+        d, first = make(), False
         try:
-            return make().decompress(data, most) or None
+            while not d.eof:
+                out = d.decompress(rest, STRETCH)
+                if out:
+                    yield out
+                rest = getattr(d, "unconsumed_tail", b"")
+                if not d.eof and not rest and len(out) < STRETCH and getattr(d, "needs_input", True) and not (rest := next(pieces, b"")):
+                    break
         except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-            return None
-    return None
+            yield None
+            return
+        yield None
+        rest = d.unused_data.lstrip(b"\0")
+
+
+def one(events: Iterator[bytes | None]) -> Iterator[bytes]:
+    """The pieces of the next content."""
+    for piece in events:
+        if piece is None:
+            return
+        yield piece
+
+
+def contents(events: Iterator[bytes | None], above: frozenset[bytes]) -> Iterator[bytes | None]:
+    """The same, contents that are compressed again unpacked. above: the whole blobs that this one is in, so that cycles end."""
+    while (piece := next(events, b"")) != b"":
+        if piece is None:
+            continue
+        head, mine = piece, one(events)
+        while len(head) < STRETCH and (more := next(mine, b"")):
+            head += more
+        if readable(head) is None and maker(head) and head not in above:
+            inner = contents(unpacked(chain([head], mine)), above | {head})
+            yield from inner
+        else:
+            yield head
+            yield from mine
+            yield None
+        for _ in mine:
+            pass
+
+
+def plain(data: bytes) -> bool:
+    """Nearly all is printable."""
+    odd = sum(c < 32 and c not in (9, 10, 13) or c == 127 for c in data)
+    return odd * 20 <= len(data)
+
+
+def stretches(pieces: Iterator[bytes]) -> Iterator[str | None]:
+    """Each stretch of STRETCH bytes as text, None if it is not UTF-8 of which nearly all is printable."""
+    held, decoder, fresh = b"", getincrementaldecoder("utf-8")(), False
+    for last, piece in chain(((False, p) for p in pieces), [(True, b"")]):
+        held += piece
+        while len(held) >= STRETCH or (last and held):
+            data, held = held[:STRETCH], held[STRETCH:]
+            if fresh:  # after a stretch that is no text this one may start within a character
+                data = data[next((k for k in range(min(4, len(data))) if data[k] & 0xC0 != 0x80), 0) :]
+            try:
+                s = decoder.decode(data, last and not held)
+                fresh = False
+            except UnicodeDecodeError:
+                decoder.reset()
+                s, fresh = None, True
+            yield s if s is not None and plain(data) else None
+
+
+def texts(pieces: Iterator[bytes], most: int) -> Iterator[str]:
+    """The text of one content, in parts of about ``most`` characters that end at a GAP."""
+    held: list[str] = []
+    size, limit, some = 0, most, False
+    for s in stretches(pieces):
+        some |= s is not None
+        held.append("\ufffd" if s is None else s)
+        size += len(held[-1])
+        if size < limit:
+            continue
+        text = "".join(held)
+        if cut := last_gap(text):
+            if some:
+                yield text[:cut]
+            held, limit, some = [text[cut:]], most, cut < len(text)
+            size = len(held[0])
+        else:
+            held, limit = [text], 2 * size
+    if some and (text := "".join(held)):
+        yield text
+
+
+def last_gap(text: str) -> int:
+    """The end of the last GAP, 0 if there is none."""
+    for end in range(len(text), 0, -STRETCH):
+        start = max(0, end - STRETCH)
+        for m in reversed(list(GAP.finditer(text, start, end))):
+            return m.end()
+    return 0
 
 
 def readable(data: bytes) -> str | None:
-    """Bytes as text: UTF-8 of which nearly all is printable."""
-    try:
-        s = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    odd = sum(c < 32 and c not in (9, 10, 13) or c == 127 for c in data[: 1 << 16])
-    return s if s and odd * 20 <= min(len(data), 1 << 16) else None
+    """Bytes as text: UTF-8 of which nearly all is printable, of long ones the stretches that are."""
+    return next(texts(iter([data]), len(data) + 1), None) or None
 
 
-def _blob(data: bytes, most: int) -> str | None:
-    if (more := unpacked(data, most)) is not None:
-        if (s := readable(more)) is not None:
-            return s
-        return _blob(more, most) if len(more) < most and more != data else None
-    return readable(data)
+def blobs(data: bytes, most: int) -> Iterator[str]:
+    """The texts in compressed bytes."""
+    if maker(data) is not None:
+        events = contents(unpacked(iter([data])), frozenset([data]))
+        while (piece := next(events, b"")) != b"":
+            if piece is not None:
+                mine = one(events)
+                yield from texts(chain([piece], mine), most)
 
 
 def children(layer: Layer, most: int = MOST) -> Iterator[Layer]:
@@ -184,12 +293,16 @@ def children(layer: Layer, most: int = MOST) -> Iterator[Layer]:
             data = base64.b64decode(body + "=" * (-len(body) % 4))
         except ValueError:
             continue
-        if (s := _blob(data, most)) is not None:
+        some = False
+        for s in blobs(data, most):
+            some = True
+            yield Layer(s, [(0, *layer.origin(m.start(), m.end()))])
+        if not some and (s := readable(data)) is not None:
             yield Layer(s, [(0, *layer.origin(m.start(), m.end()))])
     for m in LONG_HEX.finditer(t):
         body = m[0]
         data = bytes.fromhex(body[: len(body) // 2 * 2])
-        if (more := unpacked(data, most)) is not None and (s := _blob(more, most) if readable(more) is None else readable(more)) is not None:
+        for s in blobs(data, most):
             yield Layer(s, [(0, *layer.origin(m.start(), m.end()))])
 
 
