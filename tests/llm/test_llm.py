@@ -319,3 +319,25 @@ def test_secrets_members_and_long_blobs():
     assert "".join(parts) == plain and len(parts) > 2 and max(map(len, parts)) < 1 << 18
     quine_like = gzip.compress(b"x" * 10)
     assert list(op2_secret_scans.blobs(quine_like[:-9], 1 << 18)) in ([], ["x" * 10])
+
+
+def test_reply_order(spark):
+    """Positions are the pre-order of the reply tree: a late answer to an early message stands below it."""
+    rng = random.Random(6)
+    m, want = [], {}
+    for conv in range(8):
+        turns = sorted(rng.sample(range(60), rng.randint(1, 30)))
+        parent = {}
+        for k, t in enumerate(turns):
+            quoted = rng.choice(turns[:k]) if k and rng.random() < 0.5 else None
+            parent[t] = quoted if quoted is not None else turns[k - 1] if k else None
+            m.append((conv, t, "u", f"message {t}" if quoted is None else f"> message {quoted}\nmessage {t}"))
+        order, stack = [], [turns[0]]
+        while stack:
+            t = stack.pop()
+            order.append(t)
+            stack += sorted((c for c, p in parent.items() if p == t), reverse=True)
+        want |= {(conv, t): (k, parent[t]) for k, t in enumerate(order)}
+    got = op4_chat_formatting.linked(spark.createDataFrame(m, "conv_id long, turn int, role string, text string")).collect()
+    assert {(r.conv_id, r.turn): (r.position, r.reply_to) for r in got} == want
+    assert any(sorted(k for k in want if k[0] == c) != sorted((k for k in want if k[0] == c), key=lambda k: want[k][0]) for c in range(8))

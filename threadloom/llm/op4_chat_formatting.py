@@ -5,8 +5,9 @@ lines of equal depth are passages. A quoted passage is normalised (marks, case,
 own passages, as a whole and line by line, in the same conversation. A join by (conversation, hash) links a quotation to the original: the latest
 earlier message that has it. A message replies to what its shallowest linked quotation quotes, or, without one, to the message before it.
 The result is one row per message with its own text, without quotes, its reply and its place in the
-reply tree (depth; ``thread``: the first message of its chain). The order of a conversation is (thread, turn); a row per message keeps
-conversations of any length out of a single task's memory.
+reply tree: depth, ``thread`` (the first message of its chain) and ``position``, the place in pre-order, a message before its replies and replies by turn.
+The conversation is its rows by position; a row per message keeps conversations of any length out of a single task's memory. "The latest
+before" is found in one pass over rows sorted by range (``behind``), so that no quotation meets more than one original.
 
 Rows with null conv_id or turn are kept, linked with nothing. Null and empty texts have no passages. Of rows that repeat (conv_id, turn)
 each is a row of the result; links name turns. A text of quotes alone has an empty own text.
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, release, table
 
 MARK = re.compile(r"^[ \t]*((?:>[ \t]?)+)")
 BLANK = re.compile(r"\s+")
@@ -79,28 +80,92 @@ def parse(messages: DataFrame) -> DataFrame:
     return picked.mapInArrow(run, "conv_id long, turn long, role string, own string, keys array<string>, quotes array<struct<depth: int, hash: string>>")
 
 
+def behind(rows: DataFrame) -> DataFrame:
+    """The same rows with ``last``: the value of the last row before it, in the order (at, kind), of the same conv_id and grp that has one.
+
+    rows: conv_id long, grp string, at long, kind int, value long. Sorted by range, not by group, so a group of any size is shared by many tasks;
+    what a partition's first group has before it is told by the partitions before.
+    """
+    spark = rows.sparkSession
+    sort = ["conv_id", "grp", "at", "kind"]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select(*sort, "value").repartitionByRange(n, *sort).sortWithinPartitions(*sort).withColumn("part", F.spark_partition_id())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = group = value = part = None
+        for b in batches:
+            last, unknown = [], []
+            conv, grp, _, _, given, parts = (c.to_pylist() for c in b.columns)
+            for g, v in zip(zip(conv, grp, strict=True), given, strict=True):
+                if g != group:
+                    group, value, first = g, None, first or g
+                last.append(value)
+                unknown.append(value is None and g == first)
+                value = value if v is None else v
+            part = parts[-1] if parts else part
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(last, pa.int64()), pa.array(unknown, pa.bool_())], [*b.schema.names, "last", "open"])
+        if group is not None:  # the partition's end: what the next one has before it
+            end = [[group[0]], [group[1]], [None], [None], [value], [part], [None], [None]]
+            types = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(end, types, strict=True)], [*b.schema.names, "last", "open"])
+
+    got = materialise(dealt.mapInArrow(run, "conv_id long, grp string, at long, kind int, value long, part int, last long, open boolean"), "behind")
+    state, told = None, []
+    for r in got.where("open IS NULL").orderBy("part").collect():
+        told.append((r.part, *state) if state else (r.part, None, None, None))
+        group = (r.conv_id, r.grp)
+        state = (*group, state[2] if r.value is None and state and state[:2] == group else r.value)
+    told = F.broadcast(spark.createDataFrame(told, "part int, t_conv long, t_grp string, more long"))
+    out = got.where("open IS NOT NULL").join(told, "part", "left")
+    same = F.col("open") & (F.col("t_conv") == F.col("conv_id")) & (F.col("t_grp") == F.col("grp"))
+    return out.select(*sort, F.coalesce("last", F.when(same, F.col("more"))).alias("last"))
+
+
+def positions(reply: DataFrame) -> DataFrame:
+    """conv_id, turn, position (0, 1, ...) in the pre-order of each conversation's tree. reply: conv_id, turn, reply_to; one root a conversation.
+
+    An Euler tour, ranked by pointer jumping: each message is entered (step 2 * turn) and left (2 * turn + 1); a step is followed by the first reply's
+    or the next sibling's entry, or by the leaving of the message or its parent. Entries that follow a step give the rank.
+    """
+    kids = reply.where("reply_to IS NOT NULL")
+    # the next sibling is the last one before in the order of falling turns
+    later = behind(kids.select("conv_id", F.col("reply_to").cast("string").alias("grp"), F.negative("turn").alias("at"), F.lit(0).alias("kind"), F.col("turn").alias("value")))
+    later = later.select("conv_id", F.negative("at").alias("turn"), F.col("last").alias("sibling"))
+    child = kids.groupBy("conv_id", F.col("reply_to").alias("turn")).agg(F.min("turn").alias("child"))
+    node = reply.join(child, ["conv_id", "turn"], "left").join(later, ["conv_id", "turn"], "left")
+    enter, leave = F.col("turn") * 2, F.col("turn") * 2 + 1
+    steps = node.select("conv_id", F.explode(F.array(
+        F.struct(enter.alias("step"), F.coalesce(F.col("child") * 2, leave).alias("to"), F.when(F.col("child").isNull(), 0).otherwise(1).cast("long").alias("n")),
+        F.struct(leave.alias("step"), F.coalesce(F.col("sibling") * 2, F.col("reply_to") * 2 + 1).alias("to"), F.when(F.col("sibling").isNull(), 0).otherwise(1).cast("long").alias("n")),
+    )).alias("s")).select("conv_id", "s.*")
+    steps = materialise(steps, "steps")
+    while steps.where("to IS NOT NULL").limit(1).count():
+        up = steps.select("conv_id", F.col("step").alias("to"), F.col("to").alias("far"), F.col("n").alias("more"))
+        new = materialise(steps.join(up, ["conv_id", "to"], "left").select("conv_id", "step", F.col("far").alias("to"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")), "steps")
+        release(steps.sparkSession, steps)
+        steps = new
+    entered = steps.where("step % 2 = 0").select("conv_id", F.expr("step div 2").alias("turn"), "n")
+    return entered.join(entered.groupBy("conv_id").agg(F.max("n").alias("most")), "conv_id").select("conv_id", "turn", (F.col("most") - F.col("n")).alias("position"))
+
+
 def linked(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text (own words), n_quotes, n_linked, reply_to, depth, thread of every message."""
+    """conv_id, turn, role, text (own words), n_quotes, n_linked, reply_to, depth, thread, position of every message."""
     base = materialise(parse(messages), "messages")
     turns = base.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn").distinct()
     quoted = base.where("size(quotes) > 0").select("conv_id", "turn", F.explode("quotes").alias("q"))
     quoted = quoted.select("conv_id", "turn", F.col("q.depth").alias("level"), F.col("q.hash").alias("hash")).distinct()
     wanted = quoted.select("conv_id", "hash").distinct()
     given = base.select("conv_id", F.col("turn").alias("source"), F.explode("keys").alias("hash")).join(wanted, ["conv_id", "hash"], "left_semi")
-    met = quoted.join(given.distinct(), ["conv_id", "hash"]).where("source < turn")
-    met = met.groupBy("conv_id", "turn", "level", "hash").agg(F.max("source").alias("source"))
+    # a quotation comes before what its own turn gives, so that it meets earlier turns only
+    asked = quoted.select("conv_id", "turn", "hash").distinct().select("conv_id", F.col("hash").alias("grp"), F.col("turn").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("value"))
+    offered = given.where("source IS NOT NULL").distinct().select("conv_id", F.col("hash").alias("grp"), F.col("source").alias("at"), F.lit(1).alias("kind"), F.col("source").alias("value"))
+    met = behind(asked.union(offered)).where("kind = 0 AND last IS NOT NULL").select("conv_id", F.col("at").alias("turn"), F.col("grp").alias("hash"), F.col("last").alias("source"))
+    met = quoted.join(met, ["conv_id", "turn", "hash"])
     best = met.groupBy("conv_id", "turn").agg(F.min(F.struct("level", F.negative("source").alias("m"))).alias("b"), F.count_distinct("hash").alias("n_linked"))
     best = best.select("conv_id", "turn", F.negative("b.m").alias("quoted"), "n_linked")
-    # the message before: turns ranked without a window over a conversation - the greatest smaller turn; contiguous turns are met by an
-    # equality join, the rest by a second join on the gaps alone
-    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("before"))
-    reply = turns.join(best, ["conv_id", "turn"], "left").join(before, ["conv_id", "turn"], "left")
-    gaps = reply.where("before IS NULL").select("conv_id", "turn")
-    heads = gaps.select("conv_id", F.col("turn").alias("head"))
-    # a run of contiguous turns ends before a gap; the greatest end below a head is the message before it
-    tails = turns.join(turns.select("conv_id", (F.col("turn") - 1).alias("turn")), ["conv_id", "turn"], "left_anti").withColumnRenamed("turn", "tail")
-    jumps = heads.join(tails, "conv_id").where("tail < head").groupBy("conv_id", F.col("head").alias("turn")).agg(F.max("tail").alias("jump"))
-    reply = reply.join(jumps, ["conv_id", "turn"], "left").select("conv_id", "turn", "n_linked", F.coalesce("quoted", "before", "jump").alias("reply_to"))
+    before = behind(turns.select("conv_id", F.lit("").alias("grp"), F.col("turn").alias("at"), F.lit(0).alias("kind"), F.col("turn").alias("value")))
+    before = before.select("conv_id", F.col("at").alias("turn"), F.col("last").alias("before"))
+    reply = before.join(best, ["conv_id", "turn"], "left").select("conv_id", "turn", "n_linked", F.coalesce("quoted", "before").alias("reply_to"))
     reply = materialise(reply, "replies")
     # depth and thread by pointer jumping: only branch heads (turns that do not answer the turn before) matter, but the rule is the same for all
     tree = materialise(reply.select("conv_id", "turn", F.col("reply_to").alias("at"), F.when(F.col("reply_to").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.coalesce("reply_to", "turn").alias("thread")), "tree")
@@ -108,11 +173,11 @@ def linked(messages: DataFrame) -> DataFrame:
         up = tree.select("conv_id", F.col("turn").alias("at"), F.col("at").alias("up"), F.col("depth").alias("more"), F.col("thread").alias("far"))
         tree = tree.join(up, ["conv_id", "at"], "left").select("conv_id", "turn", F.col("up").alias("at"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.coalesce("far", "thread").alias("thread"))
         tree = materialise(tree, "tree")
-    place = tree.join(reply, ["conv_id", "turn"]).select("conv_id", "turn", "n_linked", "reply_to", "depth", "thread")
+    place = tree.join(reply, ["conv_id", "turn"]).join(positions(reply), ["conv_id", "turn"]).select("conv_id", "turn", "n_linked", "reply_to", "depth", "thread", "position")
     out = base.join(place, ["conv_id", "turn"], "left")
     return out.select(
         "conv_id", "turn", "role", F.col("own").alias("text"), F.size("quotes").cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
-        "reply_to", F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), F.coalesce("thread", "turn").alias("thread"),
+        "reply_to", F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), F.coalesce("thread", "turn").alias("thread"), "position",
     )
 
 
