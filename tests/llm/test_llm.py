@@ -341,3 +341,14 @@ def test_reply_order(spark):
     got = op4_chat_formatting.linked(spark.createDataFrame(m, "conv_id long, turn int, role string, text string")).collect()
     assert {(r.conv_id, r.turn): (r.position, r.reply_to) for r in got} == want
     assert any(sorted(k for k in want if k[0] == c) != sorted((k for k in want if k[0] == c), key=lambda k: want[k][0]) for c in range(8))
+
+
+def test_decontaminate_both_branches(spark):
+    """Null and repeated ids, and a benchmark of mostly blank rows: the same rows stay, however large the benchmark counts."""
+    item = " ".join(f"q{i}" for i in range(20))
+    rows = [(None, f"a {item} b"), (None, "clean text"), (1, f"{item} c"), (1, "clean too"), (2, None), (3, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(0, " ")] * 60 + [(7, item)], "item_id long, text string").coalesce(1)
+    for most in (op6_decontamination.BROADCAST_WORDS, 30, 1):
+        kept = op6_decontamination.decontaminate(d, bench, broadcast_words=most)
+        assert kept.columns == d.columns and sorted(map(str, kept.collect())) == sorted(str(r) for r in d.collect() if item not in (r.text or ""))

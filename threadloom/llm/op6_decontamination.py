@@ -190,11 +190,18 @@ def leaks(
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that no item leaks into, with their own columns; rows with a null id stay if their text is clean too."""
     spark = docs.sparkSession
-    items = [w for r in benchmark.select("text").where("text IS NOT NULL").limit(options.get("broadcast_words", BROADCAST_WORDS) + 1).collect() if (w := words_of(r[0]))]
+    most = options.get("broadcast_words", BROADCAST_WORDS)
     least, share, seed = options.get("least", LEAST), options.get("share", SHARE), options.get("seed", SEED)
-    if sum(map(len, items)) > options.get("broadcast_words", BROADCAST_WORDS):
-        found = leaks(docs, benchmark, id_col, text_col, **options).select(id_col).distinct()
-        return docs.join(found, id_col, "left_anti")
+    words = F.filter(F.split(ascii_lower(F.col("text")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    given = benchmark.select("text").where(F.col("text").isNotNull() & (F.size(words) > 0))
+    size = given.select(F.sum(F.size(words)), F.sum(F.octet_length("text"))).first()
+    if (size[0] or 0) > most or (size[1] or 0) > 20 * most:
+        # what leaks into a row depends on its text alone, so rows are flagged by their texts' digests, whatever their ids
+        keyed = docs.withColumn("__key", F.sha2(F.col(f"`{text_col}`").cast("binary"), 256))
+        texts = keyed.select("__key", F.col(f"`{text_col}`").alias("text")).where("__key IS NOT NULL").dropDuplicates(["__key"])
+        found = leaks(texts, benchmark, "__key", "text", **options).select("__key").distinct()
+        return keyed.join(found, "__key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    items = [w for r in given.collect() if (w := words_of(r[0]))]
     shared = spark.sparkContext.broadcast(([(n, w) for n, w in enumerate(items)], min(seed, least)))
     cache: dict = {}
 
