@@ -6,9 +6,12 @@ import duckdb
 import pytest
 from conftest import SF
 
+from pyspark.sql import functions as F
+
 from threadloom.functions import text as ft
-from threadloom.operators import stability, threads
+from threadloom.operators import checks, reports, stability, threads
 from threadloom.plans import registry
+from threadloom.sources import adapters as ad
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -32,37 +35,56 @@ def db():
 def test_matches_sql(spark, db, name):
     df = registry.queries()[name](spark, SF)
     got = rows(df.columns, [tuple(r) for r in df.collect()])
+    if name not in registry.oracle_sql():  # no SQL: tests/test_operators.py has these
+        assert got[1]
+        return
     r = db.sql(registry.oracle_sql()[name])
     assert got == rows(list(r.columns), r.fetchall())
 
 
-FIXTURE = [
-    ("t3_a", "submission", "u1", "t3_a", None, 1, "A "),
-    ("t3_b", "submission", "[deleted]", "t3_b", None, 2, "B [removed]"),
-    ("t1_c1", "comment", "u2", "t3_a", "t3_a", 3, "hello\nworld"),
-    ("t1_c2", "comment", "u1", "t3_a", "t1_c1", 4, ""),
-    ("t1_c3", "comment", "[deleted]", "t3_b", "t1_zz", 5, "[deleted]"),
-    ("t1_c4", "comment", "u3", "t3_q", "t3_q", 6, "Trump’s https://x.co/a O'Brien 12"),
-    ("t1_c5", "comment", "u3", "t3_a", "t1_c1", 4, "Hello world"),
-]
+def fixture(spark):
+    """The fixture's records alone, without the supplied conversations."""
+    return threads.canonical(ad.comments(spark, SF).where("source_file = 'fixture'"), ad.submissions(spark, SF).where("source_file = 'fixture'"))
 
 
 def test_threads_fixture(spark):
-    m = spark.createDataFrame(FIXTURE, "doc_key string, record_type string, author string, thread_id string, parent_id string, created long, text string")
-    e = threads.canonical(m)
-    flags = {r.doc_key: (r.thread_root_in_dataset, r.parent_in_dataset) for r in e.collect()}
-    assert len(flags) == 7 and flags["t1_c4"] == (False, False) and flags["t1_c3"] == (True, False) and flags["t3_a"] == (True, None)
+    e = fixture(spark)
+    assert e.columns == threads.COLUMNS and len(threads.COLUMNS) == 29
+    flags = {r.doc_key: (r.thread_root_in_dataset, r.parent_in_dataset, r.parent_kind) for r in e.collect()}
+    assert len(flags) == 14 and flags["t1_fxc4"] == (False, False, "submission") and flags["t1_fxc3"] == (True, False, "comment") and flags["t3_fxa"] == (True, None, None)
+    assert flags["t1_fxc7"] == (True, False, "other") and flags["t1_fxc8"] == (True, None, None)
+    texts = {r.doc_key: r.text for r in e.collect()}
+    assert texts["t3_fxa"] == "A " and texts["t3_fxb"] == "B [removed]" and texts["t1_fxc2"] == ""
     s = {r.thread_id: r for r in threads.thread_summary(e).collect()}
-    assert (s["t3_a"].n_comments, s["t3_a"].n_authors, s["t3_a"].n_to_root) == (3, 3, 1)
-    assert s["t3_q"].root_present is False and s["t3_q"].n_events == 1
+    assert (s["t3_fxa"].n_comments, s["t3_fxa"].n_comment_authors, s["t3_fxa"].n_comments_replying_to_root) == (7, 5, 2)  # five: a null author is a value
+    assert s["t3_fxq"].root_in_dataset is False and s["t3_fxq"].n_events == 1 and s["t3_fxq"].root_author is None
+    classes = {r.parent_class: r.n for r in e.where("NOT is_thread_root").groupBy(threads.parent_class().alias("parent_class")).count().withColumnRenamed("count", "n").collect()}
+    assert classes == {"malformed": 2, "own submission": 2, "other submission": 1, "comment in sample": 4, "not in sample": 1}
 
 
-def test_letter_runs_fixture(spark):
-    df = spark.createDataFrame([(FIXTURE[5][6],), ("a b \U0001f600",)], "t string")
-    from pyspark.sql import functions as F
+def test_source_errors(spark):
+    c, s = ad.comments(spark, SF).where("source_file = 'fixture'"), ad.submissions(spark, SF).where("source_file = 'fixture'")
+    with pytest.raises(Exception, match="without an id"):
+        threads.canonical(c.withColumn("id", F.lit(None).cast("string")), s).collect()
+    assert threads.duplicate_ids(c.union(c)).count() == c.count() and threads.duplicate_ids(c).count() == 0
+    failed = checks.discrepancies(checks.event_checks(threads.canonical(c, s), c.limit(3), s)).collect()
+    assert [r.check for r in failed] == ["events equal source rows"]
+
 
+def test_chains(spark):
+    n = 300
+    rows = [(f"t1_{i}", f"t1_{i - 1}" if i else "t3_r", True, False) for i in range(n)] + [("t3_r", None, None, True), ("t1_x", "t1_gone", False, False)]
+    got = {r.doc_key: r for r in reports.chain_to_root(spark.createDataFrame(rows, "doc_key string, parent_id string, parent_in_dataset boolean, is_thread_root boolean")).collect()}
+    assert got["t1_299"].steps == 300 and got["t1_299"].top == "t3_r" and got["t1_299"].reached_root and got["t1_x"].absent_parent == "t1_gone" and got["t1_x"].steps == 0
+    loop = [("t1_a", "t1_b", True, False), ("t1_b", "t1_a", True, False)]
+    with pytest.raises(ValueError, match="cycle"):
+        reports.chain_to_root(spark.createDataFrame(loop, "doc_key string, parent_id string, parent_in_dataset boolean, is_thread_root boolean"))
+
+
+def test_letter_runs_fixture(spark):
+    df = spark.createDataFrame([(ad.COMMENT_ROWS[3][4],), ("a b \U0001f600",)], "t string")
     got = df.select(ft.letter_runs(F.col("t")).alias("x"), ft.whitespace_tokens(F.col("t")).alias("w"), F.length("t").alias("n")).collect()
-    assert got[0].x == ["trump", "o'brien"] and got[1].w == ["a", "b", "\U0001f600"] and got[1].n == 5
+    assert got[0].x == ["anna", "o'brien"] and got[1].w == ["a", "b", "\U0001f600"] and got[1].n == 5
 
 
 def test_constant_labelling(spark):

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .reports import digest
+
 
 def field_coverage(df: DataFrame) -> DataFrame:
     """Per column: rows, missing, empty, usable, distinct usable values; one pass."""
     aggs = []
     for c in df.columns:
         s = F.col(f"`{c}`").cast("string")
-        aggs += [F.count_if(s.isNull()).alias(f"{c}__missing"), F.count_if(s == "").alias(f"{c}__empty"), F.count_distinct(F.when(s != "", s)).alias(f"{c}__distinct")]
+        aggs += [F.count_if(s.isNull()).alias(f"{c}__missing"), F.count_if(s == "").alias(f"{c}__empty"), F.count_distinct(digest(F.when(s != "", s))).alias(f"{c}__distinct")]
     row = df.agg(F.count(F.lit(1)).alias("__rows"), *aggs)
     parts = F.array(*[
         F.struct(F.lit(c).alias("field"), F.col("__rows").alias("records"), *[F.col(f"`{c}__{k}`").alias(k) for k in ("missing", "empty", "distinct")]) for c in df.columns

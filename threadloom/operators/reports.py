@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import cut
+
 #: Texts that stand for a removed one.
-MARKERS = ["[deleted]", "[removed]"]
+MARKERS = ["[deleted]", "[removed]", "[ Removed by Reddit ]"]
 #: Left edges of the geometric bins, between integers.
 EDGES = sorted({round(10 ** (k / 20)) - 0.5 for k in range(131)})
 
@@ -15,6 +17,11 @@ def rows() -> Column:
     return F.count(F.lit(1))
 
 
+def digest(value: Column) -> Column:
+    """16 bytes for a value of any length, so that texts need not travel to be told apart."""
+    return F.unhex(F.md5(value.cast("string")))
+
+
 def preview(text: Column, most: int) -> Column:
     """One line of at most ``most`` code points, an ellipsis where it was cut."""
     t = F.regexp_replace(text, r"[\n\r\t]", " ")
@@ -28,25 +35,94 @@ def fractional_days(df: DataFrame, key: str, time: str) -> DataFrame:
     return df.crossJoin(F.broadcast(origin)).select(key, F.round((at / 1000000 - F.col("o") / 1000000) / 86400, 6).alias("day"))  # one row
 
 
-def with_origin(messages: DataFrame) -> DataFrame:
+def marker_only(text: Column) -> Column:
+    """Whether a text is a marker, white space around it aside."""
+    return F.coalesce(F.regexp_replace(text, r"(?U)^\s+|\s+$", "").isin(*MARKERS), F.lit(False))
+
+
+def with_origin(events: DataFrame) -> DataFrame:
     """Comments with their submission's and their parent comment's fields, null where absent."""
-    s = messages.where("record_type = 'submission'").select(F.col("doc_key").alias("thread_id"), F.col("author").alias("submission_author"), F.length("text").cast("long").alias("submission_n_chars"))
-    p = messages.where("record_type = 'comment'").select(F.col("doc_key").alias("parent_id"), F.col("author").alias("parent_author"), F.col("created").alias("parent_created"))
-    c = messages.where("record_type = 'comment'").select("doc_key", "thread_id", "parent_id")
-    return c.join(s, "thread_id", "left").join(p, "parent_id", "left").select("doc_key", "submission_author", "submission_n_chars", "parent_author", "parent_created")
+    e = events.select("doc_key", "thread_id", "parent_id", "author", "text_n_chars", "created_utc", "is_thread_root")
+    s = e.where("is_thread_root").select(F.col("doc_key").alias("thread_id"), F.col("author").alias("submission_author"), F.col("text_n_chars").alias("submission_n_chars"))
+    c = e.where("NOT is_thread_root")
+    p = c.select(F.col("doc_key").alias("parent_id"), F.col("author").alias("parent_author"), F.col("created_utc").alias("parent_created"))
+    return c.select("doc_key", "thread_id", "parent_id").join(s, "thread_id", "left").join(p, "parent_id", "left").select("doc_key", "submission_author", "submission_n_chars", "parent_author", "parent_created")
+
+
+def chain_to_root(events: DataFrame) -> DataFrame:
+    """Per comment: steps up to the last ancestor that exists, that ancestor, whether it is a root, and the absent parent above it.
+
+    Pointer jumping, so chains of any length take about log2 of it rounds; a chain that has no end is an error.
+    """
+    node = cut(events.select("doc_key", "parent_id", "parent_in_dataset", "is_thread_root"))
+    there = F.coalesce("parent_in_dataset", F.lit(False))
+    walk = node.select("doc_key", F.when(there, F.col("parent_id")).alias("at"), there.cast("long").alias("steps"), F.when(there, F.col("parent_id")).otherwise(F.col("doc_key")).alias("top"))
+    for _ in range(node.count().bit_length() + 1):
+        if walk.where("at IS NOT NULL").limit(1).count() == 0:
+            break
+        up = walk.select(F.col("doc_key").alias("at"), F.col("at").alias("far"), F.col("steps").alias("more"), F.col("top").alias("higher"))
+        walk = cut(walk.join(up, "at", "left").select("doc_key", F.col("far").alias("at"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.coalesce("higher", "top").alias("top")))
+    else:
+        raise ValueError("parents form a cycle")
+    end = node.select(F.col("doc_key").alias("top"), F.col("is_thread_root").alias("reached_root"), F.col("parent_id").alias("absent_parent"))
+    comments = node.where("NOT is_thread_root").select("doc_key")
+    return walk.select("doc_key", "steps", "top").join(comments, "doc_key", "left_semi").join(end, "top").select("doc_key", "steps", "top", "reached_root", "absent_parent")
+
+
+def numbered(df: DataFrame, order: list[str], width: int = 3600) -> DataFrame:
+    """``row``, from 0, in a global order whose first column is a number: rows are ranked within ranges of it, ranges by their counts."""
+    ranged = df.withColumn("__range", F.floor(F.col(order[0]) / width))
+    n = ranged.groupBy("__range").agg(rows().alias("__n"))
+    start = n.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))  # a row a range
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return ranged.join(start, "__range").withColumn("row", F.col("__start") + inside - 1).drop("__range", "__start")
+
+
+def by_count(counts: DataFrame, n: str) -> DataFrame:
+    """Distinct counts from the largest: how many rows have each (k), rows and mass above it, both totals."""
+    g = counts.groupBy(n).agg(rows().alias("k"))
+    above, every = Window.orderBy(F.desc(n)).rowsBetween(Window.unboundedPreceding, -1), Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    size = F.col(n) * F.col("k")
+    return g.select(
+        n, "k", F.coalesce(F.sum("k").over(above), F.lit(0)).alias("above"), F.coalesce(F.sum(size).over(above), F.lit(0)).alias("run"), F.sum("k").over(every).alias("rows"), F.sum(size).over(every).alias("total")
+    )
+
+
+def share_of_top(counts: DataFrame, n: str, most: list[int]) -> DataFrame:
+    """Share of the mass that the k largest hold."""
+    g = by_count(counts, n)
+    held = [F.struct(F.lit(m).alias("k"), F.round(F.sum(F.col(n) * F.greatest(F.lit(0), F.least("k", F.lit(m) - F.col("above")))) / F.max("total"), 9).alias("share")) for m in most]
+    return g.agg(F.array(*held).alias("x")).select(F.inline("x"))
 
 
-def chain_to_root(messages: DataFrame, most: int) -> DataFrame:
-    """Steps up from each comment until a root, an absent parent or ``most`` steps (which also ends cycles)."""
-    up = messages.select(F.col("doc_key").alias("at"), F.col("parent_id").alias("next"), F.lit(True).alias("found"))
-    walk = messages.where("record_type = 'comment'").select("doc_key", F.col("parent_id").alias("at"), F.lit(0).cast("long").alias("steps"), F.lit(False).alias("reached_root"))
-    for _ in range(most):
-        met = walk.join(up, "at", "left")
-        went = F.col("found").isNotNull()
-        walk = met.select(
-            "doc_key", F.when(went, F.col("next")).alias("at"), (F.col("steps") + went.cast("long")).alias("steps"), (F.col("reached_root") | (went & F.col("next").isNull())).alias("reached_root")
-        )
-    return walk.select("doc_key", "steps", "reached_root")
+def rank_share(counts: DataFrame, key: str, n: str) -> DataFrame:
+    """Minimum rank by falling count, and its share of all rows."""
+    g = by_count(counts, n).select(n, (F.col("above") + 1).alias("min_rank"), F.round((F.col("above") + 1) / F.col("rows"), 9).alias("rank_share"))
+    return counts.select(key, n).join(g, n).select(key, n, "min_rank", "rank_share")
+
+
+def trace(df: DataFrame, step: str, value: str, last: int) -> DataFrame:
+    """A series of few steps: relative change, running sum, gain over the last steps, whether it falls."""
+    w = Window.orderBy(step)
+    before = F.lag(value).over(w)
+    return df.select(
+        step, value, F.round((F.col(value) - before) / before, 9).alias("relative_change"), F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cumulative"),
+        (F.col(value) - F.lag(value, last).over(w)).alias(f"over_last_{last}"), F.coalesce(F.col(value) < before, F.lit(False)).alias("falls"),
+    )
+
+
+def boundary(counts: DataFrame, key: str, n: str, cut_at: int, around: int) -> DataFrame:
+    """The rows around a rank cut, by falling count, ties by key."""
+    best = counts.orderBy(F.desc(n), key).limit(cut_at + around)
+    ranked = best.select(key, n, F.row_number().over(Window.orderBy(F.desc(n), key)).cast("long").alias("rank")).where(F.col("rank") > cut_at - around)
+    return ranked.withColumn("side", F.when(F.col("rank") <= cut_at, "above").otherwise("below"))
+
+
+def tied_at(counts: DataFrame, key: str, n: str, threshold: int) -> DataFrame:
+    """Rows whose count is the smallest at or above a threshold, or the largest below it."""
+    edge = counts.agg(F.min(F.when(F.col(n) >= threshold, F.col(n))).alias("at"), F.max(F.when(F.col(n) < threshold, F.col(n))).alias("below"))
+    near = counts.crossJoin(F.broadcast(edge)).where((F.col(n) == F.col("at")) | (F.col(n) == F.col("below")))  # one row
+    return near.select(key, n, F.when(F.col(n) == F.col("at"), "at threshold").otherwise("next below").alias("tied_group"))
 
 
 def completed_days(df: DataFrame, time: str, kind: str) -> DataFrame:
@@ -106,7 +182,7 @@ def text_profile(df: DataFrame, text: str) -> DataFrame:
 
 
 def cardinality_classes(df: DataFrame) -> DataFrame:
-    n = df.agg(*[F.count_distinct(F.col(f"`{c}`")).alias(c) for c in df.columns]).unpivot([], df.columns, "field", "n_distinct")
+    n = df.agg(*[F.count_distinct(digest(F.col(f"`{c}`"))).alias(c) for c in df.columns]).unpivot([], df.columns, "field", "n_distinct")
     size = F.col("n_distinct")
     return n.withColumn("cardinality", F.when(size == 0, "none").when(size == 1, "constant").when(size <= 20, "low").otherwise("high"))
 
@@ -177,9 +253,7 @@ def peaks(df: DataFrame, by: str, day: str, n: str) -> DataFrame:
 
 def mass(counts: DataFrame, n: str) -> DataFrame:
     """Shares of the commonest 10, 50, 200 and how many hold half. Equal counts are one row, so the window runs over distinct counts only."""
-    g = counts.groupBy(n).agg(rows().alias("k"))
-    w, every = Window.orderBy(F.desc(n)).rowsBetween(Window.unboundedPreceding, -1), Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    g = g.select(n, "k", F.coalesce(F.sum("k").over(w), F.lit(0)).alias("above"), F.coalesce(F.sum(F.col(n) * F.col("k")).over(w), F.lit(0)).alias("run"), F.sum(F.col(n) * F.col("k")).over(every).alias("total"))
+    g = by_count(counts, n)
     top = lambda m: F.round(F.sum(F.col(n) * F.greatest(F.lit(0), F.least("k", F.lit(m) - F.col("above")))) / F.max("total"), 9).alias(f"top{m}")
     need = F.ceil((F.col("total") / 2 - F.col("run")) / F.col(n))
     half = F.min(F.when((need >= 1) & (need <= F.col("k")), F.col("above") + need))

@@ -5,22 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import letter_runs
+from ..sources.scratch import cut
+
+
+def counted(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, term, tf) and (term, df, n, n_docs): both from one shuffle of tokens by document and term, which Spark reuses."""
+    tf = tokens.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    docs = tf.agg(F.count_distinct("doc_id").alias("n_docs"))
+    return tf, tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n")).crossJoin(F.broadcast(docs))  # one row
+
 
 def vocabulary(tokens: DataFrame, floor: int = 5, ceiling: float = 0.5) -> DataFrame:
     """Terms with document frequency, count and why they are kept or not."""
-    docs = tokens.agg(F.count_distinct("doc_id").alias("n_docs"))
-    t = tokens.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("c")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("c").alias("n"))
-    t = t.crossJoin(F.broadcast(docs))  # one row
     reason = F.when(F.col("df") < floor, "rare").when(F.col("df") > ceiling * F.col("n_docs"), "common").otherwise("kept")
-    return t.select("term", "df", "n", reason.alias("reason"))
+    return counted(tokens)[1].select("term", "df", "n", reason.alias("reason"))
 
 
 def tf_idf(tokens: DataFrame) -> DataFrame:
     """(doc_id, term, weight): count * ln(N / df), no smoothing."""
-    docs = tokens.agg(F.count_distinct("doc_id").alias("n_docs"))
-    tf = tokens.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(docs))
-    return tf.join(df, "term").select("doc_id", "term", (F.col("tf") * F.ln(F.col("n_docs") / F.col("df"))).alias("weight"))
+    tf, df = counted(tokens)
+    return cut(tf.join(df, "term").select("doc_id", "term", (F.col("tf") * F.ln(F.col("n_docs") / F.col("df"))).alias("weight")))
 
 
 def cosine_with(weights: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -36,6 +41,8 @@ def cosine_with(weights: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.select("doc_id", "other", cosine.alias("cosine"), F.when(both > 0, "scored").otherwise("no weight").alias("status"))
 
 
-def token_counters(tokens_all: DataFrame) -> DataFrame:
-    """Per document: letter tokens, distinct terms, type-token ratio."""
-    return tokens_all.groupBy("doc_id").agg(F.count("term").alias("n_tokens"), F.count_distinct("term").alias("n_terms")).withColumn("ttr", F.round(F.col("n_terms") / F.greatest("n_tokens", F.lit(1)), 9))
+def token_counters(docs: DataFrame) -> DataFrame:
+    """Per document: letter tokens, distinct ones, type-token ratio; within rows, without a shuffle."""
+    kept = F.filter(letter_runs(F.col("text")), lambda w: F.length(w) >= 2)
+    n = docs.select("doc_id", F.coalesce(kept, F.array().cast("array<string>")).alias("w")).select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.size(F.array_distinct("w")).cast("long").alias("n_terms"))
+    return n.withColumn("ttr", F.round(F.col("n_terms") / F.greatest("n_tokens", F.lit(1)), 9))

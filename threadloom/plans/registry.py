@@ -10,59 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import text as ft
 from ..operators import lists, profile, stability, text, threads
 from ..sources import adapters as ad
-from . import reports  # noqa: F401  registers its queries
+from . import corpus, events, ordering, provenance, reports, runs, wordlists  # noqa: F401  register their queries
 from .base import QUERIES, SQL, query
 
-EVENTS = ad.MESSAGES + """, events_ AS (
-  SELECT m.*, CASE WHEN parent_id LIKE 't1!_%' ESCAPE '!' THEN 'comment' WHEN parent_id LIKE 't3!_%' ESCAPE '!' THEN 'submission' WHEN parent_id IS NOT NULL THEN 'other' END AS parent_kind,
-    record_type = 'submission' AS is_thread_root, r.doc_key IS NOT NULL AS thread_root_in_dataset,
-    CASE WHEN parent_id IS NOT NULL THEN p.doc_key IS NOT NULL END AS parent_in_dataset, length(text)::INTEGER AS text_n_chars
-  FROM messages m LEFT JOIN (SELECT DISTINCT doc_key FROM messages WHERE record_type = 'submission') r ON r.doc_key = thread_id
-    LEFT JOIN (SELECT DISTINCT doc_key FROM messages) p ON p.doc_key = parent_id
-)"""
-
-
-def _events(spark, sf):
-    return threads.canonical(ad.messages(spark, sf))
-
-
-@query(f"""WITH {EVENTS} SELECT doc_key, record_type, author, thread_id, parent_id, created, text, parent_kind, is_thread_root, thread_root_in_dataset,
-  parent_in_dataset, text_n_chars FROM events_""")
-def p02_canonical_events(spark, sf):
-    return _events(spark, sf)
-
-
-@query(f"""WITH {EVENTS}, r AS (SELECT thread_id, author AS root_author FROM events_ WHERE is_thread_root),
-c AS (SELECT thread_id, count(*) AS n_comments, count(DISTINCT author) AS n_authors, count(*) FILTER (parent_kind = 'submission') AS n_to_root,
-  count(*) FILTER (parent_in_dataset) AS n_parents_present, min(created) AS first_created, max(created) AS last_created FROM events_ WHERE NOT is_thread_root GROUP BY 1)
-SELECT coalesce(r.thread_id, c.thread_id) AS thread_id, root_author, r.thread_id IS NOT NULL AS root_present, coalesce(n_comments, 0) AS n_comments,
-  coalesce(n_authors, 0) AS n_authors, coalesce(n_to_root, 0) AS n_to_root, coalesce(n_parents_present, 0) AS n_parents_present, first_created, last_created,
-  coalesce(n_comments, 0) + (r.thread_id IS NOT NULL)::BIGINT AS n_events
-FROM r FULL JOIN c ON r.thread_id = c.thread_id""")
-def a01_thread_summary(spark, sf):
-    return threads.thread_summary(_events(spark, sf))
-
-
-@query(f"""WITH {EVENTS} SELECT CASE WHEN NOT regexp_matches(parent_id, '^t[13]_[0-9a-z_]+$') THEN 'malformed' WHEN parent_id = thread_id THEN 'own submission'
-  WHEN parent_id LIKE 't3!_%' ESCAPE '!' THEN 'other submission' WHEN parent_in_dataset THEN 'comment in sample' ELSE 'not in sample' END AS parent_class, count(*) AS n
-FROM events_ WHERE NOT is_thread_root GROUP BY 1""")
-def p05_parent_classes(spark, sf):
-    return threads.parent_classes(_events(spark, sf))
-
-
-@query(f"""WITH {EVENTS}, f AS (SELECT count(*) AS "events", count(*) FILTER (is_thread_root) AS "submissions", count(*) FILTER (NOT is_thread_root) AS "comments",
-  count(DISTINCT thread_id) AS "threads", count(*) FILTER (NOT thread_root_in_dataset) AS "root absent", count(*) FILTER (NOT parent_in_dataset) AS "parent absent",
-  count(*) FILTER (parent_kind = 'submission') AS "replies to submissions", count(*) FILTER (parent_kind = 'comment') AS "replies to comments" FROM events_)
-SELECT item, value FROM (UNPIVOT f ON COLUMNS(*) INTO NAME item VALUE value)""")
-def a03_linkage_summary(spark, sf):
-    return threads.linkage(_events(spark, sf))
-
-
-@query("""SELECT user_id AS author, count(*) AS n_events, count(DISTINCT event_type) AS n_kinds, count(DISTINCT ts::DATE) AS n_days, min(ts) AS first_at, max(ts) AS last_at FROM events GROUP BY 1""")
-def a02_author_summary(spark, sf):
-    return threads.author_summary(ad.read(spark, sf, "events"), "user_id", "event_type", "ts")
-
-
 def _coverage_sql(table: str, columns: list[str]) -> str:
     return " UNION ALL ".join(
         f"SELECT '{c}' AS field, count(*) AS records, count(*) FILTER ({c} IS NULL) AS missing, count(*) FILTER ({c}::VARCHAR = '') AS empty, "
@@ -173,10 +123,10 @@ def w03_concentration(spark, sf):
     return threads.concentration(ad.read(spark, sf, "documents").select(F.md5("text").alias("t")), "t")
 
 
-@query("""SELECT md5(text) AS text_md5, count(*) AS occurrences, length(text) AS n_chars FROM documents GROUP BY text ORDER BY occurrences DESC, text LIMIT 300""")
+@query("""SELECT md5(text) AS text_md5, count(*) AS occurrences, length(text) AS n_chars, CASE WHEN length(any_value(p)) > 60 THEN left(any_value(p), 60) || '...' ELSE any_value(p) END AS preview
+FROM (SELECT text, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS p FROM documents) GROUP BY text ORDER BY occurrences DESC, text LIMIT 300""")
 def w05_top_texts(spark, sf):
-    d = ad.read(spark, sf, "documents").groupBy("text").agg(F.count(F.lit(1)).alias("occurrences")).orderBy(F.desc("occurrences"), "text").limit(300)
-    return d.select(F.md5("text").alias("text_md5"), "occurrences", F.length("text").cast("long").alias("n_chars"))
+    return threads.top_texts(ad.read(spark, sf, "documents"), "text", 300)
 
 
 @query("SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[\\s\\x0B\\x{85}\\x{A0}\\x{2028}\\x{2029}]+'), lambda x: x <> '')) AS n FROM documents")
@@ -184,9 +134,9 @@ def t01_whitespace_tokens(spark, sf):
     return ad.read(spark, sf, "documents").select("doc_id", F.size(ft.whitespace_tokens(F.col("text"))).cast("long").alias("n"))
 
 
-@query(f"WITH {ad.TOKENS} SELECT doc_id, count(*) AS n_tokens, count(DISTINCT term) AS n_terms, round(count(DISTINCT term) / greatest(count(*), 1), 9) AS ttr FROM tokens GROUP BY 1")
-def t10_token_counters(spark, sf):
-    return text.token_counters(ad.tokens(spark, sf))
+@query(f"WITH {ad.TOKENS}, c AS (SELECT doc_id, count(*) AS n, count(DISTINCT term) AS k FROM tokens GROUP BY 1) SELECT doc_id, coalesce(n, 0) AS n_tokens, coalesce(k, 0) AS n_terms, round(coalesce(k, 0) / greatest(coalesce(n, 0), 1), 9) AS ttr FROM documents LEFT JOIN c USING (doc_id)")
+def t24_type_token_ratio(spark, sf):
+    return text.token_counters(ad.read(spark, sf, "documents"))
 
 
 @query(f"""WITH {ad.TOKENS}, d AS (SELECT count(DISTINCT doc_id) AS n_docs FROM tokens) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS n,
@@ -195,16 +145,6 @@ def t12_vocabulary(spark, sf):
     return text.vocabulary(ad.tokens(spark, sf))
 
 
-@query(f"""WITH {ad.TOKENS}, d AS (SELECT count(DISTINCT doc_id) AS n FROM tokens), tf AS (SELECT doc_id, term, count(*) AS tf FROM tokens GROUP BY 1, 2),
-df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), w AS (SELECT doc_id, term, tf * ln(n / df) AS w FROM tf JOIN df USING (term), d), m AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1),
-p AS (SELECT doc_id, doc_id // 10 * 10 AS other FROM documents WHERE doc_id % 10 <> 0), x AS (SELECT p.doc_id, p.other, sum(a.w * b.w) AS dot FROM p JOIN w a USING (doc_id) JOIN w b ON b.doc_id = p.other AND b.term = a.term GROUP BY 1, 2)
-SELECT p.doc_id, p.other, CASE WHEN a.norm * b.norm > 0 THEN round(coalesce(dot, 0) / (a.norm * b.norm), 6) END AS cosine, CASE WHEN a.norm * b.norm > 0 THEN 'scored' ELSE 'no weight' END AS status
-FROM p LEFT JOIN x USING (doc_id, other) LEFT JOIN m a ON a.doc_id = p.doc_id LEFT JOIN m b ON b.doc_id = p.other""")
-def t15_cosine_with_root(spark, sf):
-    pairs = ad.read(spark, sf, "documents").where("doc_id % 10 <> 0").select("doc_id", (F.col("doc_id") - F.col("doc_id") % 10).alias("other"))
-    return text.cosine_with(text.tf_idf(ad.tokens(spark, sf)), pairs)
-
-
 @query(r"""SELECT md5(trim(regexp_replace(regexp_replace(lower(text), '(https?://|www\.)\S+', ' ', 'gi'), '[^\p{L}]+', ' ', 'g'))) AS form, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1""")
 def t21_letters_only_copies(spark, sf):
     return ad.read(spark, sf, "documents").groupBy(F.md5(ft.letters_only(F.col("text"))).alias("form")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -20,44 +20,12 @@ def p09_fractional_days(spark, sf):
     return reports.fractional_days(ad.read(spark, sf, "events"), "event_id", "ts")
 
 
-@query(f"WITH {ad.MESSAGES} SELECT doc_key, substr(doc_key, 4) AS bare_id, regexp_replace(thread_id, '^t3_', '') AS bare_thread FROM messages")
-def p10_bare_ids(spark, sf):
-    return ad.messages(spark, sf).select("doc_key", F.substring("doc_key", 4, 1000).alias("bare_id"), F.regexp_replace("thread_id", "^t3_", "").alias("bare_thread"))
-
-
-@query("""SELECT CASE WHEN text IS NULL THEN 'missing' WHEN text = '' THEN 'empty' WHEN text IN ('[deleted]', '[removed]') THEN text ELSE 'text' END AS state, count(*) AS n
-FROM conversations GROUP BY 1""")
-def p11_text_states(spark, sf):
-    t = F.col("text")
-    state = F.when(t.isNull(), "missing").when(t == "", "empty").when(t.isin(*reports.MARKERS), t).otherwise("text")
-    return ad.read(spark, sf, "conversations").groupBy(state.alias("state")).agg(rows().alias("n"))
-
-
-@query("SELECT text AS value, count(*) AS n FROM documents WHERE starts_with(text, '[') AND ends_with(text, ']') GROUP BY 1 HAVING count(*) >= 2")
-def p16_bracketed_values(spark, sf):
-    t = F.col("text")
-    return ad.read(spark, sf, "documents").where(t.startswith("[") & t.endswith("]")).groupBy(t.alias("value")).agg(rows().alias("n")).where("n >= 2")
-
-
 @query("""SELECT count(*) AS n, count(*) FILTER (quality IS NOT DISTINCT FROM toxic) AS agree, count(*) FILTER (quality IS NULL) AS unlabelled FROM documents LEFT JOIN labels USING (doc_id)""")
 def p14_null_safe_agreement(spark, sf):
     d = ad.read(spark, sf, "documents").select("doc_id").join(ad.read(spark, sf, "labels"), "doc_id", "left")
     return d.agg(rows().alias("n"), F.count_if(F.col("quality").eqNullSafe(F.col("toxic"))).alias("agree"), F.count_if(F.col("quality").isNull()).alias("unlabelled"))
 
 
-@query(f"""WITH {ad.MESSAGES} SELECT m.doc_key, s.author AS submission_author, length(s.text) AS submission_n_chars, p.author AS parent_author, p.created AS parent_created
-FROM messages m LEFT JOIN messages s ON s.doc_key = m.thread_id AND s.record_type = 'submission' LEFT JOIN messages p ON p.doc_key = m.parent_id AND p.record_type = 'comment' WHERE m.record_type = 'comment'""")
-def j10_prefixed_attributes(spark, sf):
-    return reports.with_origin(ad.messages(spark, sf))
-
-
-@query(f"""WITH RECURSIVE {ad.MESSAGES}, chain(doc_key, up, steps) AS (SELECT doc_key, parent_id, 0 FROM messages WHERE record_type = 'comment' UNION ALL
-SELECT c.doc_key, m.parent_id, steps + 1 FROM chain c JOIN messages m ON m.doc_key = c.up WHERE steps < 10)
-SELECT doc_key, max(steps)::BIGINT AS steps, bool_or(up IS NULL) AS reached_root FROM chain GROUP BY 1""")
-def j18_chain_to_root(spark, sf):
-    return reports.chain_to_root(ad.messages(spark, sf), 10)
-
-
 @query("""SELECT d.day::VARCHAR AS day, k.kind, count(event_id) AS n FROM (SELECT unnest(generate_series(min(ts)::DATE, max(ts)::DATE, INTERVAL 1 DAY))::DATE AS day FROM events) d
 CROSS JOIN (SELECT DISTINCT event_type AS kind FROM events) k LEFT JOIN events e ON e.ts::DATE = d.day AND e.event_type = k.kind GROUP BY 1, 2""")
 def j17_completed_days(spark, sf):
