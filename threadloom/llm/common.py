@@ -6,7 +6,6 @@ Words are always ``[^\\x20\\x09-\\x0D]+`` and only A-Z are lower-cased.
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -15,16 +14,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import shared_folder
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _own_scratch: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder of the cluster (spark.checkpoint.dir); a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new path in the shared folder of the cluster (spark.checkpoint.dir); where that is unset, a temporary one if all runs on this machine, else an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own_scratch.get(spark.sparkContext.applicationId)
     if not base:
-        app = spark.sparkContext.applicationId
-        base = _own_scratch.setdefault(app, "file://" + tempfile.mkdtemp(prefix="threadloom-"))
+        base = _own_scratch[spark.sparkContext.applicationId] = shared_folder(spark)
     return f"{base.rstrip('/')}/threadloom/{tag}-{uuid.uuid4().hex}"
 
 

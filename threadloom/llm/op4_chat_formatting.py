@@ -9,8 +9,10 @@ reply tree: depth, ``thread`` (the first message of its chain) and ``position``,
 The conversation is its rows by position; a row per message keeps conversations of any length out of a single task's memory. "The latest
 before" is found in one pass over rows sorted by range (``behind``), so that no quotation meets more than one original.
 
-Rows with null conv_id or turn are kept, linked with nothing. Null and empty texts have no passages. Of rows that repeat (conv_id, turn)
-each is a row of the result; links name turns. A text of quotes alone has an empty own text.
+Rows with null conv_id or turn are kept, linked with nothing, and have no position. Null and empty texts have no passages. Of rows that repeat (conv_id, turn)
+each is a row of the result; links name turns. Equal passages at several earlier turns: the latest counts. A text of quotes alone has an empty own text. An empty
+table gives no rows. Texts are read whole, one at a time. conv_id may be of any type with an order, turn is a whole number. Only conv_id, turn, role and text are read
+and returned; other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -65,7 +68,8 @@ def keys_of(text: str | None) -> tuple[str, list[str], list[tuple[int, str]]]:
 
 
 def parse(messages: DataFrame) -> DataFrame:
-    picked = messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
+    picked = messages.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    conv = messages.schema["conv_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -77,24 +81,24 @@ def parse(messages: DataFrame) -> DataFrame:
                 ["conv_id", "turn", "role", "own", "keys", "quotes"],
             )
 
-    return picked.mapInArrow(run, "conv_id long, turn long, role string, own string, keys array<string>, quotes array<struct<depth: int, hash: string>>")
+    return picked.mapInArrow(run, f"conv_id {conv}, turn long, role string, own string, keys array<string>, quotes array<struct<depth: int, hash: string>>")
 
 
 def behind(rows: DataFrame) -> DataFrame:
     """The same rows with ``last``: the value of the last row before it, in the order (at, kind), of the same conv_id and grp that has one.
 
-    rows: conv_id long, grp string, at long, kind int, value long. Sorted by range, not by group, so a group of any size is shared by many tasks;
+    rows: conv_id, grp string, at long, kind int, value long. Sorted by range, not by group, so a group of any size is shared by many tasks;
     what a partition's first group has before it is told by the partitions before.
     """
     spark = rows.sparkSession
     sort = ["conv_id", "grp", "at", "kind"]
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n, conv_type = int(spark.conf.get("spark.sql.shuffle.partitions")), rows.schema["conv_id"].dataType.simpleString()
     dealt = rows.select(*sort, "value").repartitionByRange(n, *sort).sortWithinPartitions(*sort).withColumn("part", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = group = value = part = None
+        first = group = value = part = kind = None
         for b in batches:
-            last, unknown = [], []
+            last, unknown, kind = [], [], b.column(0).type
             conv, grp, _, _, given, parts = (c.to_pylist() for c in b.columns)
             for g, v in zip(zip(conv, grp, strict=True), given, strict=True):
                 if g != group:
@@ -106,21 +110,39 @@ def behind(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(last, pa.int64()), pa.array(unknown, pa.bool_())], [*b.schema.names, "last", "open"])
         if group is not None:  # the partition's end: what the next one has before it
             end = [[group[0]], [group[1]], [None], [None], [value], [part], [None], [None]]
-            types = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.bool_()]
+            types = [kind, pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(end, types, strict=True)], [*b.schema.names, "last", "open"])
 
-    got = materialise(dealt.mapInArrow(run, "conv_id long, grp string, at long, kind int, value long, part int, last long, open boolean"), "behind")
+    got = materialise(dealt.mapInArrow(run, f"conv_id {conv_type}, grp string, at long, kind int, value long, part int, last long, open boolean"), "behind")
     state, told = None, []
     for r in got.where("open IS NULL").orderBy("part").collect():
         told.append((r.part, *state) if state else (r.part, None, None, None))
         group = (r.conv_id, r.grp)
         state = (*group, state[2] if r.value is None and state and state[:2] == group else r.value)
-    told = F.broadcast(spark.createDataFrame(told, "part int, t_conv long, t_grp string, more long"))
+    told = F.broadcast(spark.createDataFrame(told, f"part int, t_conv {conv_type}, t_grp string, more long"))
     out = got.where("open IS NOT NULL").join(told, "part", "left")
     same = F.col("open") & (F.col("t_conv") == F.col("conv_id")) & (F.col("t_grp") == F.col("grp"))
     return out.select(*sort, F.coalesce("last", F.when(same, F.col("more"))).alias("last"))
 
 
+def ends(nodes: DataFrame) -> DataFrame:
+    """(conv_id, at, n, top): n summed along each node's chain of pointers, top of its end. nodes: conv_id, at, to, n, top.
+
+    Pointer jumping: a round doubles how far pointers reach, and only those that have not met their end go on to the next.
+    """
+    spark = nodes.sparkSession
+    settled, going = [], materialise(nodes, "nodes")
+    while going.where("to IS NOT NULL").limit(1).count():
+        every = reduce(DataFrame.union, settled, going)
+        up = every.select("conv_id", F.col("at").alias("to"), F.col("to").alias("far"), F.col("n").alias("more"), F.col("top").alias("higher"))
+        on = going.where("to IS NOT NULL").join(up, ["conv_id", "to"], "left")
+        new = materialise(on.select("conv_id", "at", F.col("far").alias("to"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), F.coalesce("higher", "top").alias("top")), "nodes")
+        release(spark)
+        settled.append(going.where("to IS NULL"))
+        going = new
+    return reduce(DataFrame.union, settled, going).select("conv_id", "at", "n", "top")
+
+
 def positions(reply: DataFrame) -> DataFrame:
     """conv_id, turn, position (0, 1, ...) in the pre-order of each conversation's tree. reply: conv_id, turn, reply_to; one root a conversation.
 
@@ -137,14 +159,9 @@ def positions(reply: DataFrame) -> DataFrame:
     steps = node.select("conv_id", F.explode(F.array(
         F.struct(enter.alias("step"), F.coalesce(F.col("child") * 2, leave).alias("to"), F.when(F.col("child").isNull(), 0).otherwise(1).cast("long").alias("n")),
         F.struct(leave.alias("step"), F.coalesce(F.col("sibling") * 2, F.col("reply_to") * 2 + 1).alias("to"), F.when(F.col("sibling").isNull(), 0).otherwise(1).cast("long").alias("n")),
-    )).alias("s")).select("conv_id", "s.*")
-    steps = materialise(steps, "steps")
-    while steps.where("to IS NOT NULL").limit(1).count():
-        up = steps.select("conv_id", F.col("step").alias("to"), F.col("to").alias("far"), F.col("n").alias("more"))
-        new = materialise(steps.join(up, ["conv_id", "to"], "left").select("conv_id", "step", F.col("far").alias("to"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")), "steps")
-        release(steps.sparkSession, steps)
-        steps = new
-    entered = steps.where("step % 2 = 0").select("conv_id", F.expr("step div 2").alias("turn"), "n")
+    )).alias("s")).select("conv_id", F.col("s.step").alias("at"), "s.to", "s.n", F.lit(0).cast("long").alias("top"))
+    steps = ends(steps)
+    entered = steps.where("at % 2 = 0").select("conv_id", F.expr("at div 2").alias("turn"), "n")
     return entered.join(entered.groupBy("conv_id").agg(F.max("n").alias("most")), "conv_id").select("conv_id", "turn", (F.col("most") - F.col("n")).alias("position"))
 
 
@@ -167,12 +184,9 @@ def linked(messages: DataFrame) -> DataFrame:
     before = before.select("conv_id", F.col("at").alias("turn"), F.col("last").alias("before"))
     reply = before.join(best, ["conv_id", "turn"], "left").select("conv_id", "turn", "n_linked", F.coalesce("quoted", "before").alias("reply_to"))
     reply = materialise(reply, "replies")
-    # depth and thread by pointer jumping: only branch heads (turns that do not answer the turn before) matter, but the rule is the same for all
-    tree = materialise(reply.select("conv_id", "turn", F.col("reply_to").alias("at"), F.when(F.col("reply_to").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.coalesce("reply_to", "turn").alias("thread")), "tree")
-    while tree.where("at IS NOT NULL").limit(1).count():
-        up = tree.select("conv_id", F.col("turn").alias("at"), F.col("at").alias("up"), F.col("depth").alias("more"), F.col("thread").alias("far"))
-        tree = tree.join(up, ["conv_id", "at"], "left").select("conv_id", "turn", F.col("up").alias("at"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.coalesce("far", "thread").alias("thread"))
-        tree = materialise(tree, "tree")
+    up = F.col("reply_to")
+    tree = ends(reply.select("conv_id", F.col("turn").alias("at"), up.alias("to"), up.isNotNull().cast("long").alias("n"), F.coalesce(up, "turn").alias("top")))
+    tree = tree.select("conv_id", F.col("at").alias("turn"), F.col("n").alias("depth"), F.col("top").alias("thread"))
     place = tree.join(reply, ["conv_id", "turn"]).join(positions(reply), ["conv_id", "turn"]).select("conv_id", "turn", "n_linked", "reply_to", "depth", "thread", "position")
     out = base.join(place, ["conv_id", "turn"], "left")
     return out.select(
