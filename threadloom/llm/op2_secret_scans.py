@@ -7,11 +7,16 @@ on a worklist until none is new. A layer already seen at the same place is not t
 compressed data that contains itself) end. Spans found in deeper layers are mapped to the original: what a run
 was decoded from counts as a whole.
 
+Base64 runs may go on over lines. A run that as a whole is neither text nor compressed may have something else glued to it, as a path: it is then
+decoded from each of its four alignments, and stretches of text and members of compressed blobs in the results are layers, spans of the characters they come from.
+Bytes of a percent run that are no UTF-8 stay as they are, the others are decoded.
+
 Compressed bytes are read as a stream, member after member, in memory of about ``most`` bytes (64 MiB): longer content is scanned in parts that end at a
 character which no rule and no encoding has, so that nothing spans two parts; a run without such a character is held as a whole. What follows
 the last member is scanned as it stands, as is what could be read of a broken blob. Of content longer than 64 KiB, stretches of that size
 that are no text are left out.
-Null is empty. An empty text has no spans and the digest of "". Repeated rows give a row each.
+Null is empty. An empty text has no spans and the digest of "". Repeated rows, and rows without an id, give a row each. Spans of different kinds at one place are all told,
+in the order of the kinds. An empty table gives no rows. Long texts are scanned whole. Columns other than id and text are not read; ``redact`` keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -48,6 +53,13 @@ HINTS = ("password", "passwd", "secret", "token", "api")
 PERCENT = re.compile("(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&(?:quot|amp|lt|gt|apos);)+")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: The same over lines: each but the last fills its line.
+WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]{16,})*\r?\n[ \t]*[A-Za-z0-9+/_-]{2,}={0,2}")
+LINE_END = re.compile(r"\r?\n[ \t]*")
+#: A stretch of text in decoded bytes, long enough for the shortest secret.
+PRINTABLE = re.compile(rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){12,}")
+#: How gzip, zlib, bzip2 and xz data begin.
+MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]1AY&SY|\xfd7zXZ\x00")
 LONG_HEX = re.compile("[0-9A-Fa-f]{36,}")
 #: No rule's or encoding's match has it.
 GAP = re.compile(r"""[^A-Za-z0-9+/_.=%\\&#;:"'\x20-]""")
@@ -114,13 +126,12 @@ class Layer:
 
 
 def _percent(m: re.Match) -> list[tuple[int, int, str]]:
-    try:
-        raw = unquote_to_bytes(m[0])
-        raw.decode()
-    except UnicodeDecodeError:
-        return []
+    raw = unquote_to_bytes(m[0])
     out, at = [], m.start()
-    for c in raw.decode():  # character by character, so that spans map closely
+    for c in raw.decode("utf-8", "surrogateescape"):  # character by character, so that spans map closely
+        if 0xDC80 <= ord(c) <= 0xDCFF:  # a byte that is part of no character
+            at += 3
+            continue
         n = 3 * len(c.encode())
         out.append((at, at + n, c))
         at += n
@@ -281,6 +292,41 @@ def blobs(data: bytes, most: int) -> Iterator[str]:
                 yield from texts(chain([piece], mine), most)
 
 
+def _bytes(run: str) -> bytes | None:
+    body = run.rstrip("=").translate({45: "+", 95: "/"})
+    body = body[: len(body) - 1] if len(body) % 4 == 1 else body
+    try:
+        return base64.b64decode(body + "=" * (-len(body) % 4))
+    except ValueError:
+        return None
+
+
+def _decoded(layer: Layer, run: str, start: int, end: int, most: int, glued: bool = True) -> Iterator[Layer]:
+    """The layers in a base64 run from start to end: its text, or what its compressed bytes hold; else stretches of text and compressed members in any of its alignments."""
+    data, some = _bytes(run), False
+    if data is None:
+        return
+    for s in blobs(data, most):
+        some = True
+        yield Layer(s, [(0, *layer.origin(start, end))])
+    if not some and (s := readable(data)) is not None:
+        some = True
+        yield Layer(s, [(0, *layer.origin(start, end))])
+    if some or not glued:
+        return
+    for shift in range(4):
+        data = _bytes(run[shift:])
+        if not data:
+            continue
+        place = lambda k, s=shift: min(start + s + k * 4 // 3, end)
+        for m in PRINTABLE.finditer(data):
+            s = m[0].decode("utf-8", "ignore")  # the pattern lets some bytes pass that are no characters
+            yield Layer(s, [(0, *layer.origin(place(m.start()), min(end, place(m.end()) + 1)))])
+        for m in MAGIC.finditer(data):
+            for s in blobs(data[m.start() :], most):
+                yield Layer(s, [(0, *layer.origin(place(m.start()), end))])
+
+
 def children(layer: Layer, most: int = MOST) -> Iterator[Layer]:
     t = layer.text
     if "%" in t and (new := layer.replaced(PERCENT, _percent)) is not None:
@@ -288,17 +334,17 @@ def children(layer: Layer, most: int = MOST) -> Iterator[Layer]:
     if ("\\" in t or "&" in t) and (new := layer.replaced(ESCAPE, _escape)) is not None:
         yield new
     for m in BASE64.finditer(t):
-        body = m[0].rstrip("=").translate({45: "+", 95: "/"})
-        try:
-            data = base64.b64decode(body + "=" * (-len(body) % 4))
-        except ValueError:
-            continue
-        some = False
-        for s in blobs(data, most):
-            some = True
-            yield Layer(s, [(0, *layer.origin(m.start(), m.end()))])
-        if not some and (s := readable(data)) is not None:
-            yield Layer(s, [(0, *layer.origin(m.start(), m.end()))])
+        yield from _decoded(layer, m[0], m.start(), m.end(), most)
+    if "\n" in t:
+        for m in WRAPPED.finditer(t):
+            lines = LINE_END.split(m[0])
+            body, whole = "".join(lines), LINE_END.sub("", m[0])
+            some = False
+            for new in _decoded(layer, body, m.start(), m.end(), most, glued=False):
+                some = True
+                yield new
+            if not some and len(whole) > len(lines[-1]):  # the last line may be the next word
+                yield from _decoded(layer, "".join(lines[:-1]), m.start(), m.end() - len(lines[-1]), most, glued=False)
     for m in LONG_HEX.finditer(t):
         body = m[0]
         data = bytes.fromhex(body[: len(body) // 2 * 2])
