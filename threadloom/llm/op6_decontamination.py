@@ -10,7 +10,8 @@ Finding candidates: the benchmark's words and seeds go to all tasks if the bench
 could flag is missed.
 
 Null and empty texts leak nothing; null, empty or wordless items are in no text. Rows that repeat an id give a row each, as do
-repeated items. Ties between equally long matches go to the first in the item, then in the text.
+repeated items; ids may be null. Ties between equally long matches go to the first in the item, then in the text. Without items, or without texts, nothing leaks.
+Texts are tiled whole, however long. ``leaks`` reads the id and text columns alone, ``decontaminate`` returns its rows' own columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, UPPER, ascii_lower, table
+from .common import LOWER, UPPER, ascii_lower, materialise, table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOWN = str.maketrans(UPPER, LOWER)
@@ -165,14 +166,17 @@ def leaks(
         run_of = f"transform(sequence(0, greatest(0, size(ws) - {k})), i -> xxhash64(slice(ws, i + 1, {k})))"
         text_words = F.filter(F.split(ascii_lower(F.col("text")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
         own = items.select("item", "item_text", words.alias("ws")).where("size(ws) > 0").withColumn("no", F.monotonically_increasing_id())
+        own = materialise(own, "items")  # so that the numbers stay
         # items under k words have runs of their own length; texts are asked for all lengths up to k
         by = own.select("no", F.least(F.size("ws"), F.lit(k)).alias("k"), F.explode(F.array_distinct(F.expr(run_of))).alias("h")).where("k > 0")
         asked = None
-        numbered = picked.withColumn("row", F.monotonically_increasing_id())
-        for n in range(1, k + 1):
+        numbered = picked.withColumn("row", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))  # what leaks into a row depends on its text alone
+        for n in [r[0] for r in by.select("k").distinct().collect()]:  # at most k lengths
             grams = F.expr(f"CASE WHEN size(ws) < {n} THEN cast(array() AS array<bigint>) ELSE array_distinct(transform(sequence(0, size(ws) - {n}), i -> xxhash64(slice(ws, i + 1, {n})))) END")
             part = numbered.select("row", text_words.alias("ws")).select("row", F.lit(n).alias("k"), F.explode(grams).alias("h"))
             asked = part if asked is None else asked.unionByName(part)
+        if asked is None:
+            return spark.createDataFrame([], schema).withColumn("coverage", F.lit(0.0)).withColumnRenamed("id", id_col)
         pairs = asked.join(by, ["k", "h"]).select("row", "no").distinct()
         met = pairs.join(numbered, "row").join(own.select("no", "item", "item_text"), "no").select("id", "text", "item", "item_text")
 
@@ -193,7 +197,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     most = options.get("broadcast_words", BROADCAST_WORDS)
     least, share, seed = options.get("least", LEAST), options.get("share", SHARE), options.get("seed", SEED)
     words = F.filter(F.split(ascii_lower(F.col("text")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    given = benchmark.select("text").where(F.col("text").isNotNull() & (F.size(words) > 0))
+    given = benchmark.select(F.col(f"`{options.get('item_text_col', 'text')}`").alias("text")).where(F.col("text").isNotNull() & (F.size(words) > 0))
     size = given.select(F.sum(F.size(words)), F.sum(F.octet_length("text"))).first()
     if (size[0] or 0) > most or (size[1] or 0) > 20 * most:
         # what leaks into a row depends on its text alone, so rows are flagged by their texts' digests, whatever their ids
