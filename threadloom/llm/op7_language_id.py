@@ -6,9 +6,10 @@ whose codeword has the least sum of log(1 + exp(-bit * margin)) wins, and its sh
 the two best are close the row is flagged ambiguous. Up to 7 languages get the exhaustive code
 (2^(k-1) - 1 bits), more get random codewords that differ in many bits.
 
-Fitting uses a bounded sample of labelled rows: about ``per_language`` of each language, whole texts, chosen by a hash
+Fitting uses a bounded sample of labelled rows: about ``per_language`` of each language and about ``most`` in all (32 KB each on the driver), whole texts, chosen by a hash
 of the id. Everything else runs over all rows. Null texts and texts without a letter are ``und``, score 0. Rows
-whose lang is null are never learned from. Ties between languages go to the first by name. Without any labelled row all is ``und``.
+whose lang is null are never learned from. Ties between languages go to the first by name. Without any labelled row, as in an empty table, all is ``und``.
+Rows that repeat an id, and rows without one (never held out), give a row each. Long texts are read whole. Columns other than id, text and lang are not read.
 """
 
 from __future__ import annotations
@@ -117,14 +118,15 @@ class Model:
         return share.argmax(1), ranked[:, -1], ranked[:, -1] - second < self.close
 
 
-def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = 300, close: float = 0.2) -> Model | None:
-    """Fitted on the driver: per_language texts' n-gram counts (2^13 numbers each), whatever the corpus."""
+def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = 300, most: int = 8000, close: float = 0.2) -> Model | None:
+    """Fitted on the driver: the n-gram counts (2^13 numbers each) of per_language texts, or of fewer so that all languages' are about ``most``, whatever the corpus."""
     known = docs.where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull() & ~held_out(id_col))
     known = known.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"), (F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(1 << 30)) / (1 << 30)).alias("place"))
     counts = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
     if not counts:
         return None
     languages = sorted(counts)
+    per_language = max(1, min(per_language, most // len(languages)))
     rate = F.create_map(*[F.lit(x) for k, v in counts.items() for x in (k, min(1.0, per_language / v))])
     sample = known.where(F.col("place") < rate[F.col("lang")]).select("lang", "text")
 
