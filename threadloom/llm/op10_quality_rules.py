@@ -51,7 +51,6 @@ RULES = (
 def measures(text: Column) -> dict[str, Column]:
     """The counts that rules may use, as expressions over names bound by ``project``."""
     words, lines = F.col("__words"), F.col("__lines")
-    grams = F.col("__grams")
     # words covered by a window that occurs again: sort windows with their places, keep those equal to a
     # neighbour, and count the union of the places they cover
     covered = F.expr(
@@ -65,7 +64,7 @@ def measures(text: Column) -> dict[str, Column]:
         "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
         "n_lines": F.size(lines).cast("long"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-        "n_repeat_words": F.when(F.size(F.array_distinct(grams)) == F.size(grams), F.lit(0)).otherwise(covered).cast("long"),
+        "n_repeat_words": F.when(F.col("__different") == F.size("__grams"), F.lit(0)).otherwise(covered).cast("long"),
         "n_stop": F.size(F.filter(words, lambda w: ascii_lower(w).isin(*STOP_WORDS))).cast("long"),
         "n_bullets": F.size(F.filter(lines, lambda x: x.rlike(r"^[\x20\x09-\x0D]*[-*•]"))).cast("long"),
         "n_ellipses": F.size(F.filter(lines, lambda x: x.rlike(r"(\.\.\.|…)[\x20\x09-\x0D]*$"))).cast("long"),
@@ -104,10 +103,11 @@ def project(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = R
             " (w, i) -> concat(w, ' ', __words[i + 1], ' ', __words[i + 2])) END"
         ).alias("__grams"),
     )
+    df = df.select("*", F.size(F.array_distinct("__grams")).alias("__different"))
     df = df.select(
         "*",
         F.expr(
-            "CASE WHEN size(array_distinct(__grams)) = size(__grams) THEN cast(array() AS array<struct<g: string, i: int>>)"
+            "CASE WHEN __different = size(__grams) THEN cast(array() AS array<struct<g: string, i: int>>)"
             " ELSE sort_array(transform(__grams, (g, i) -> struct(g AS g, i AS i))) END"
         ).alias("__sorted"),
     )
@@ -139,6 +139,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _broken(r: Rule) -> str:
+    """SQL of a rule's name where a text breaks it."""
+    ratio = r.numerator if r.denominator is None else f"{r.numerator} / {r.denominator}"
+    bounds = [f"{ratio} < {r.low}"] * (r.low > 0) + [f"{ratio} > {r.high}"] * (r.high < float("inf"))
+    given = "true" if r.denominator is None else f"{r.denominator} > 0"
+    return f"CASE WHEN {given} AND ({' OR '.join(bounds)}) THEN '{r.name}' END"
+
+
 _STOPS = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
 SQL = rf"""
 WITH d AS (
@@ -171,16 +179,7 @@ WITH d AS (
   FROM g LEFT JOIN cover USING (doc_id)
 ), v AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-    list_filter([
-      CASE WHEN n_words < 50 THEN 'words' END,
-      CASE WHEN n_words > 0 AND NOT (word_chars / n_words BETWEEN 2.0 AND 14.0) THEN 'word_length' END,
-      CASE WHEN n_words > 0 AND n_symbols / n_words > 0.20 THEN 'symbol_words' END,
-      CASE WHEN n_words > 0 AND n_stop / n_words < 0.02 THEN 'stop_words' END,
-      CASE WHEN n_lines > 0 AND n_bullets / n_lines > 0.90 THEN 'bullet_lines' END,
-      CASE WHEN n_lines > 0 AND n_ellipses / n_lines > 0.30 THEN 'ellipsis_lines' END,
-      CASE WHEN n_lines > 0 AND n_dup_lines / n_lines > 0.50 THEN 'duplicate_lines' END,
-      CASE WHEN n_words > 0 AND n_repeat_words / n_words > 0.50 THEN 'repeated_words' END
-    ], lambda x: x IS NOT NULL) AS broken
+    list_filter([{', '.join(map(_broken, RULES))}], lambda x: x IS NOT NULL) AS broken
   FROM m
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
