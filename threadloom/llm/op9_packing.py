@@ -8,7 +8,11 @@ through the bitsets gives the counts of the lengths that make it. A pattern is r
 its counts allow. A window whose total is a power of two needs no padding. Items are then dealt to the plan's places by
 their rank within their length: ranks come from counts per (task, length), never from a sort of one length.
 
-Null or empty text is a document of the end id alone. Repeated rows are documents of their own.
+Where nothing fills the window exactly, the largest total that is a power of two and can be made is taken before the closest one. The ranks' sums over
+tasks are Spark's; the driver gets one number a length.
+
+Null or empty text is a document of the end id alone. Rows that repeat an id, or lack one, are documents of their own. Long texts are encoded whole.
+An empty table gives no pieces. Columns other than id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,11 +87,13 @@ def word_ids(path: str) -> WordIds:
 
 
 def padding(total: int, window: int) -> int:
+    """A sequence's padding: none at a power of two."""
     return 0 if total & (total - 1) == 0 else window - total
 
 
-def best_fill(counts: dict[int, int], first: int, room: int) -> tuple[int, list[tuple[int, int]]]:
-    """(total, [(length, number)]): the multiset of lengths with the largest total up to room."""
+def best_fill(counts: dict[int, int], first: int, window: int) -> tuple[int, list[tuple[int, int]]]:
+    """(total, [(length, number)]): the multiset of lengths up to ``first`` that, with an item of that length, makes the sequence of least padding, of equal ones the longest."""
+    room = window - first
     reach, full = 1, (1 << (room + 1)) - 1
     trail: list[tuple[int, int, int]] = []  # length, copies of this entry, bitset before it
     for n in sorted((k for k in counts if k <= min(first, room)), reverse=True):
@@ -102,7 +108,9 @@ def best_fill(counts: dict[int, int], first: int, room: int) -> tuple[int, list[
             part *= 2
         if reach >> room & 1:
             break
-    total = at = reach.bit_length() - 1
+    powers = [(1 << k) - first for k in range(window.bit_length()) if first <= 1 << k <= window]
+    ends = [t for t in (*powers, room, reach.bit_length() - 1) if reach >> t & 1]
+    total = at = min(ends, key=lambda t: (padding(first + t, window), -t))
     used: dict[int, int] = {}
     for n, take, before in reversed(trail):
         if not before >> at & 1:  # the total needs this entry
@@ -119,7 +127,7 @@ def plan(histogram: dict[int, int], window: int) -> list[tuple[int, int, list[tu
         counts[n] -= 1
         if not counts[n]:
             del counts[n]
-        _, rest = best_fill(counts, n, window - n)
+        _, rest = best_fill(counts, n, window)
         pattern: dict[int, int] = {n: 1}
         for k, v in rest:
             pattern[k] = pattern.get(k, 0) + v
@@ -205,36 +213,26 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     # tasks and ranks must stay as they are once counted, so the pieces (numbers only) are written
     made = materialise(pieces(docs, vocabulary, id_col, text_col, window, end_id), "pieces")
-    counted = made.groupBy("task", "length").agg(F.max("rank").alias("most"))
-    # at most window rows for each task; summed up to offsets by numpy on the driver: window x tasks numbers
-    table_ = counted.toArrow()
-    task, length, most = (table_[c].to_numpy() for c in ("task", "length", "most"))
-    order = np.lexsort((task, length))
-    task, length, number = task[order], length[order], most[order] + 1
-    run = np.cumsum(number) - number
-    new = np.concatenate([[True], length[1:] != length[:-1]]) if len(length) else np.zeros(0, bool)
-    before = run - np.repeat(run[new], np.diff(np.concatenate([np.flatnonzero(new), [len(length)]]))) if len(length) else run
-    sums = np.bincount(length, number, window + 1).astype(np.int64)
-    whole = int(sums[window])
-    places = Places(plan({int(n): int(sums[n]) for n in np.flatnonzero(sums[:window])}, window))
-    shared = spark.sparkContext.broadcast((task, length, before, places))
+    counted = made.groupBy("task", "length").agg((F.max("rank") + 1).alias("number"))
+    before = F.coalesce(F.sum("number").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a task
+    ranked = made.join(counted.select("task", "length", before.alias("before")), ["task", "length"])
+    ranked = ranked.select("id", *PIECE_NAMES, (F.col("rank") + F.col("before")).alias("rank"))
+    sums = {r["length"]: r["number"] for r in counted.groupBy("length").agg(F.sum("number").alias("number")).collect()}  # at most window rows
+    whole = sums.pop(window, 0)
+    shared = spark.sparkContext.broadcast(Places(plan(sums, window)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t_, n_, before_, places_ = shared.value
-        key = n_.astype(np.int64) << 32 | t_
+        places = shared.value
         for b in batches:
-            own, rank, task_of = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("length", "rank", "task"))
-            at = rank + before_[np.searchsorted(key, own.astype(np.int64) << 32 | task_of)]
-            sequence, offset = at.copy(), np.zeros(len(at), np.int64)
+            own, rank = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("length", "rank"))
+            sequence, offset = rank.copy(), np.zeros(len(rank), np.int64)
             part = own < window
-            sequence[part], offset[part] = places_.of(own[part], at[part])
+            sequence[part], offset[part] = places.of(own[part], rank[part])
             sequence[part] += whole
-            yield pa.RecordBatch.from_arrays(
-                [b.column(i) for i in range(5)] + [pa.array(sequence), pa.array(offset)], ["id", *PIECE_NAMES, "sequence_id", "offset"]
-            )
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(5)] + [pa.array(sequence), pa.array(offset)], ["id", *PIECE_NAMES, "sequence_id", "offset"])
 
     schema = T.StructType([*made.schema.fields[:5], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return made.mapInArrow(deal, schema).withColumnRenamed("id", id_col)
+    return ranked.mapInArrow(deal, schema).withColumnRenamed("id", id_col)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
