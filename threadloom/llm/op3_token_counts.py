@@ -13,7 +13,8 @@ Three finite-state layers, each exact:
   Closed segments are memoised as macro transitions (bounded, then emptied).
 
 A text is a cell and so in one task: its chunks' maps are reduced there by a prefix scan (a tree of
-compositions), with no shuffle. Null and empty texts have 0 bytes and 0 tokens. Repeated rows give a row each.
+compositions), with no shuffle. Null and empty texts have 0 bytes and 0 tokens. Rows that repeat an id, or lack one, give a row each; an empty table gives none.
+Long texts are counted whole, chunk by chunk. Columns other than id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
