@@ -47,18 +47,23 @@ class WordIds:
         self.memo: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
+        # the vocabulary folds case; A-Z are folded first, so that fewer words are new. Not where a special string may be, which has a case of its own
+        if "<|" not in text:
+            text = text.encode().lower().decode()
         odd = any(c in text for c in ODD)
         words = text.translate(BORDER).split(" ") if odd else text.split()
         memo = self.memo
-        try:
+        fresh = set(words).difference(memo)
+        if not fresh:
             return b"".join(map(memo.__getitem__, words))
-        except KeyError:
-            pass
         if len(memo) > MEMO:
             memo.clear()
-        fresh = self.encode([w for w in dict.fromkeys(words) if w not in memo])
-        out = b"".join([fresh[w] if w in fresh else memo[w] for w in words])
-        memo.update((w, v) for w, v in fresh.items() if len(w) <= 64)
+            fresh = set(words)
+        memo |= self.encode(list(fresh))
+        out = b"".join(map(memo.__getitem__, words))
+        for w in fresh:
+            if len(w) > 64:
+                del memo[w]
         return out
 
     def encode(self, words: list[str]) -> dict[str, bytes]:
