@@ -5,6 +5,8 @@ Words are always ``[^\\x20\\x09-\\x0D]+`` and only A-Z are lower-cased.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import uuid
 from collections.abc import Iterator
@@ -48,6 +50,13 @@ def release(spark: SparkSession, *done: DataFrame) -> None:
     spark._jvm.System.gc()
 
 
+def trim() -> None:
+    """Gives the memory that a task has freed back to the machine: workers are used again, and what they keep adds up."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

@@ -14,18 +14,25 @@ its end included.
 
 In logs everything adds up: base + bow of the kept contexts + delta of the entries met, delta = log P(b|s) - log bow(s) - log P(b|parent).
 So a text's score is a sum over keys, 64-bit hashes of its words, pairs and triples: a word adds its base and its bow, a pair its delta and its bow as a
-context, a triple its delta. The keys' numbers are in distributed tables, whatever their count, and contexts meet their entries in joins.
-The ``SHARED_PAIRS`` most frequent keys are broadcast as well (24 bytes each); a text asks for the others that a Bloom filter
-of ``BLOOM`` bits lets pass, and they are joined by key. Both save time and do not change results, as do the filters before counting.
+context, a triple its delta. The keys' numbers are in distributed tables, whatever their count. The ``SHARED_WORDS`` most frequent words, the
+``SHARED_STATES`` most frequent pairs that may be contexts and, for scoring, the ``SHARED_PAIRS`` most frequent pairs and triples are broadcast as well (at most 24 bytes each). Pairs of shared words are counted under one
+packed number and get their words' counts from the broadcast; pairs with another word are counted by hash and joined with the words. Texts ask for the
+keys that are not shared and that a Bloom filter of ``BLOOM`` bits lets pass, a task's in one block for each bucket of keys; a bucket's values and the blocks
+that ask for them meet in one task. All this saves time and disk and does not change results.
 
-Null texts are empty; an empty text is its end alone. Rows that repeat an id are scored each for itself. Without training
-rows N and V are 0 and the tree is its root.
+A context's entries, its different followers, are learned together in one task.
+
+Null texts are empty; an empty text is its end alone. Rows that repeat an id are scored each for itself; rows without one train. Without training
+rows N and V are 0 and the tree is its root; an empty table gives no rows. Long texts are scored whole. Columns other than id and text are not read.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +41,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, mix, release, slices, table, text_bytes, word_hashes
+from .common import materialise, mix, release, slices, table, text_bytes, trim, word_hashes
+
+if TYPE_CHECKING:  # tasks without it are smaller
+    import pandas as pd
 
 LEAST, ENTRY, GAIN = (0, 8, 8), 2, 10.0
-SHARED_PAIRS, BLOOM = 1 << 21, 1 << 27
+SHARED_WORDS, SHARED_STATES, SHARED_PAIRS, BLOOM = 1 << 21, 1 << 20, 1 << 20, 1 << 27
+#: About how many values and asked keys a bucket has.
+BUCKET = 1_000_000
+#: A pair of shared words is one number, the first's place shifted by so many bits.
+PLACE = 21
 #: The key of a text's end among the words' hashes.
 END_KEY = 0
 
@@ -46,18 +60,46 @@ def trains(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 7 != 2, F.lit(True))
 
 
+_INDEX: dict[int, tuple[np.ndarray, np.ndarray, int, int]] = {}
+
+
 def position(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
-    """Where each asked number stands in sorted keys, -1 where it does not."""
+    """Where each asked number stands in sorted keys, -1 where it does not.
+
+    Keys are hashes, so the first bits tell nearly where a key is; an index by them is kept for the arrays in use.
+    """
     if not len(keys) or not len(asked):
         return np.full(len(asked), -1, np.int64)
-    order = np.argsort(asked)
-    sorted_ = asked[order]
-    at = np.minimum(np.searchsorted(keys, sorted_), len(keys) - 1)
-    out = np.empty(len(asked), np.int64)
-    out[order] = np.where(keys[at] == sorted_, at, -1)
+    held = _INDEX.get(id(keys))
+    if held is None or held[0] is not keys:
+        bits = max(1, len(keys).bit_length() - 2)
+        prefix = (keys >> (64 - bits)) + (1 << (bits - 1))
+        start = np.searchsorted(prefix, np.arange((1 << bits) + 1)).astype(np.int32)
+        while len(_INDEX) >= 2:
+            _INDEX.pop(next(iter(_INDEX)))
+        held = _INDEX[id(keys)] = keys, start, bits, int(np.diff(start).max())
+    _, start, bits, most = held
+    group = (asked >> (64 - bits)) + (1 << (bits - 1))
+    at, end = start[group], start[group + 1]
+    out = np.full(len(asked), -1, np.int64)
+    left = np.flatnonzero(at < end)
+    at, end, want = at[left], end[left], asked[left]
+    for _ in range(most):
+        if not len(left):
+            break
+        k = keys[at]
+        hit = k == want
+        out[left[hit]] = at[hit]
+        on = np.flatnonzero((k < want) & (at + 1 < end))
+        left, at, end, want = left[on], at[on] + 1, end[on], want[on]
     return out
 
 
+def value_at(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The values at these places, 0 at -1."""
+    return np.where(at >= 0, values[at], 0) if len(values) else np.zeros(len(at), values.dtype)
+
+
 def key_of(level: int, context: np.ndarray, last: np.ndarray) -> np.ndarray:
     """The keys of pairs (level 1: a word and the next) or triples (2: a pair and the pair of its last two words)."""
     x, y = context.astype(np.int64).view(np.uint64), last.astype(np.int64).view(np.uint64)
@@ -81,24 +123,47 @@ def bits_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h % np.uint64(BLOOM)).astype(np.int64), ((h >> np.uint64(32)) % np.uint64(BLOOM)).astype(np.int64)
 
 
-def maybe(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Which keys may be in the filter."""
+def maybe(filter_: np.ndarray | None, keys: np.ndarray) -> np.ndarray:
+    """Which keys may be in the filter; none without one."""
+    if filter_ is None:
+        return np.zeros(len(keys), bool)
     one, two = bits_of(keys)
     return ((filter_[one >> 6] >> (one & 63)) & (filter_[two >> 6] >> (two & 63)) & 1).astype(bool)
 
 
 @dataclass
-class Tree:
-    """What all tasks hold: the most frequent keys, what each adds to the base and beyond it, and a filter of all other keys."""
+class Words:
+    """The most frequent words: sorted keys and counts; filters of the others that may be contexts and entries."""
 
     keys: np.ndarray
+    n: np.ndarray
+    contexts: np.ndarray | None
+    entries: np.ndarray | None
+    z: int
+
+    def entry(self, place: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """s, its count and b (meaningless where the word is not held) of places of contexts and words."""
+        return self.keys[place], self.n[place], np.append(self.keys, 0)[np.minimum(word, len(self.keys))]
+
+    def law(self, word: np.ndarray) -> np.ndarray:
+        """The base's log10 law of the words at these places."""
+        return np.log10(np.append(self.n, 0)[np.minimum(word, len(self.n))] + 1.0) - np.log10(self.z)
+
+
+@dataclass
+class Tree:
+    """What all tasks hold for scoring: of the most frequent words what each adds to the base and beyond it, of pairs and triples the latter; a filter of all other keys."""
+
+    words: np.ndarray
     base: np.ndarray
+    bow: np.ndarray
+    keys: np.ndarray
     gain: np.ndarray
-    others: np.ndarray
+    others: np.ndarray | None
 
 
-def summed(picked: DataFrame, counted) -> DataFrame:
-    """(s, b, n): what counted(batch) yields with a key for each (s, b), summed within tasks as far as a bounded memory allows, then over all."""
+def summed(picked: DataFrame, counted, every: bool = False) -> DataFrame:
+    """(s, b, n) of those seen ENTRY times or more, or of all (every): what counted(batch) yields with a key for each (s, b), summed within tasks as far as a bounded memory allows, then over all, a partition at a time."""
 
     def merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
         key, s, b, n = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -110,17 +175,39 @@ def summed(picked: DataFrame, counted) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            for b in slices(batch, 0):
+            for b in slices(batch, 0, 1 << 20):
                 key, s, last = counted(b)
                 held.append(merged([(key, s, last, np.ones(len(key), np.int64))]))
                 if len(held) >= 8:
                     held = [merged(held)]
-                    if len(held[0][0]) > 1_500_000:
+                    if len(held[0][0]) > 1_000_000:
                         yield pa.RecordBatch.from_arrays([*map(pa.array, held.pop()[1:])], ["s", "b", "n"])
         if held and sum(len(x[0]) for x in held):
             yield pa.RecordBatch.from_arrays([*map(pa.array, merged(held)[1:])], ["s", "b", "n"])
+        held.clear()
+        trim()
 
-    return picked.mapInArrow(run, "s long, b long, n long").groupBy("s", "b").agg(F.sum("n").alias("n"))
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of a partition: equal (s, b) are in one."""
+        s, b, n = ([] for _ in range(3))
+        for batch in batches:
+            for held, column in zip((s, b, n), batch.columns, strict=True):
+                held.append(column.to_numpy())
+        if not s:
+            return
+        s, b, n = np.concatenate(s), np.concatenate(b), np.concatenate(n)
+        order = np.lexsort((b, s)) if (b != b[0]).any() else np.argsort(s)
+        s, b, n = s[order], b[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (b[1:] != b[:-1])]))
+        n = np.add.reduceat(n, first)
+        keep = slice(None) if every else np.flatnonzero(n >= ENTRY)
+        yield pa.RecordBatch.from_arrays([pa.array(s[first][keep]), pa.array(b[first][keep]), pa.array(n[keep])], ["s", "b", "n"])
+        del s, b, n, order, first, keep
+        trim()
+
+    kind = "s long, b long, n long"
+    parts = 4 * int(picked.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a partition is held by a worker, so it is kept small
+    return picked.mapInArrow(run, kind).repartition(parts, "s", "b").mapInArrow(total, kind)
 
 
 def count_words(train: DataFrame) -> DataFrame:
@@ -130,22 +217,178 @@ def count_words(train: DataFrame) -> DataFrame:
         _, key, *_ = symbols(b.column(0))
         return key, np.zeros(len(key), np.int64), key
 
-    return summed(train, counted).select(F.col("b").alias("key"), "n")
+    return summed(train, counted, every=True).select(F.col("b").alias("key"), "n")
 
 
-def count_level(train: DataFrame, filters: tuple[np.ndarray, np.ndarray], level: int) -> DataFrame:
-    """(s, b, n): the pairs (level 1: two words) or triples (2: two pairs) seen ENTRY times or more. filters: of the contexts s, and of all b that may be an entry's."""
-    shared = train.sparkSession.sparkContext.broadcast(filters)
+def count_pairs(train: DataFrame, shared) -> DataFrame:
+    """(s, b, n): the pairs seen ENTRY times or more whose words may be context and entry. Of two shared words s is their packed number and b is -1."""
 
     def counted(x: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-        contexts, last = shared.value
-        _, key, before, pair, third = symbols(x.column(0))
-        s, b = (before, key) if level == 1 else (np.concatenate([[0], pair[:-1]])[third], pair[third])
-        at = np.flatnonzero(maybe(contexts, s))
-        at = at[maybe(last, b[at])]
-        return key_of(level, s[at], b[at]), s[at], b[at]
+        w = shared.value
+        _, key, before, pair, _ = symbols(x.column(0))
+        at = position(w.keys, key)
+        first = np.concatenate([position(w.keys, np.array([END_KEY])), at[:-1]]) if len(at) else at
+        context = value_at(w.n, first) >= LEAST[1]
+        entry = value_at(w.n, at) >= ENTRY
+        far = np.flatnonzero(first < 0)
+        context[far] = maybe(w.contexts, before[far])
+        far = np.flatnonzero(at < 0)
+        entry[far] = maybe(w.entries, key[far])
+        keep = np.flatnonzero(context & entry)
+        packed = (first[keep] >= 0) & (at[keep] >= 0)
+        s = np.where(packed, first[keep] << PLACE | at[keep], before[keep])
+        return pair[keep], s, np.where(packed, -1, key[keep])
+
+    return summed(train, counted)
+
+
+def law_rows(s: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, low: np.ndarray, level: int) -> pa.RecordBatch:
+    """What ``learn`` returns for whole contexts; s is in runs."""
+    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    size = np.diff(np.append(first, len(s)))
+    each = lambda x: np.repeat(x, size)
+    total = np.add.reduceat(n, first)
+    # all that is no entry is taken for different words
+    k = np.maximum(1, size + m[first] - total)
+    law = np.power(10.0, low)
+    p = np.log10((n + each(k) * law) / (m + each(k)))
+    left, lower = (1 - np.add.reduceat(x, first) for x in (np.power(10.0, p), law))
+    bow = np.log10(np.maximum(left, 1e-9) / np.maximum(lower, 1e-9))
+    stays = np.log(10) * (np.add.reduceat(n * (p - low), first) + (m[first] - total) * bow) > GAIN
+    kept, bows = each(stays), each(bow)
+    columns = [key_of(level, s, b), s, b, n, np.where(kept, p, low), np.where(kept, p - low - bows, 0.0)]
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(bows, mask=~kept)], ["key", "s", "b", "n", "law", "delta", "bow"])
+
+
+LAWS = "key long, s long, b long, n long, law double, delta double, bow double"
+
+
+def learn(counts: DataFrame, shared, level: int) -> tuple[DataFrame, DataFrame]:
+    """((s, bow) of the contexts that stay, (key, s, b, n, law, delta, bow) of all entries): log10.
+
+    counts: g, y, n, low (the parent's law of b), m. A context that all tasks hold is a place: g is that place, shifted, and the last word's, or y is b
+    where that word is not held (y is -1 else); m is null then. Any other context is a hash: g is -1, y is b, and s is a column.
+    """
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = shared.value, []
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                at.append([batch.column(i).to_numpy() for i in range(4)])
+            if not at or (batch is not None and sum(len(x[0]) for x in at) < 200_000):
+                continue
+            g, y, n, low = (np.concatenate(x) for x in zip(*at, strict=True))
+            place = g >> PLACE
+            cut = len(g) if batch is None else int(np.searchsorted(place, place[-1]))  # the last context may go on
+            at = [[x[cut:] for x in (g, y, n, low)]] if cut < len(g) else []
+            if cut:
+                place, word = place[:cut], g[:cut] & ((1 << PLACE) - 1)
+                s, m, b = held.entry(place, word)
+                b = np.where(y[:cut] == -1, b, y[:cut])
+                law = np.where(y[:cut] == -1, held.law(word), low[:cut]) if level == 1 else low[:cut]
+                yield law_rows(s, b, n[:cut], m, law, level)
+        trim()
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = []
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                at.append([batch.column(i).to_numpy() for i in range(5)])
+            if not at or (batch is not None and sum(len(x[0]) for x in at) < 200_000):
+                continue
+            s, b, n, m, low = (np.concatenate(x) for x in zip(*at, strict=True))
+            cut = len(s) if batch is None else int(np.searchsorted(s, s[-1]))
+            at = [[x[cut:] for x in (s, b, n, m, low)]] if cut < len(s) else []
+            if cut:
+                yield law_rows(s[:cut], b[:cut], n[:cut], m[:cut], low[:cut], level)
+
+    held = counts.where("g >= 0").select("g", "y", "n", "low")
+    held = held.repartition(F.shiftright("g", PLACE)).sortWithinPartitions("g", "y").mapInArrow(packed, LAWS)
+    rest = counts.where("g < 0").select("s", F.col("y").alias("b"), "n", "m", "low")
+    rest = rest.repartition("s").sortWithinPartitions("s").mapInArrow(hashed, LAWS)
+    laws = materialise(held.unionByName(rest), "laws")
+    contexts = materialise(laws.where("bow IS NOT NULL").groupBy("s").agg(F.first("bow").alias("bow")), "contexts")
+    release(counts.sparkSession)
+    return contexts, laws
+
+
+def places(keys: np.ndarray, s: pa.Array) -> pa.Array:
+    """The place of each context that all tasks hold, shifted, with that of no word; -1 of others."""
+    at = position(keys, s.to_numpy())
+    return pa.array(np.where(at >= 0, (at << PLACE) | ((1 << PLACE) - 1), -1))
+
+
+def pair_counts(pairs: DataFrame, table_: DataFrame, shared, z: int) -> DataFrame:
+    """What ``learn`` takes, of counted pairs."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            s, b, n, m, low = x.columns
+            yield pa.RecordBatch.from_arrays([places(shared.value.keys, s), b, n, low, m, s], ["g", "y", "n", "low", "m", "s"])
+
+    contexts = table_.where(F.col("n") >= LEAST[1]).select(F.col("key").alias("s"), F.col("n").alias("m"))
+    root = table_.select(F.col("key").alias("b"), (F.log10(F.col("n") + 1.0) - float(np.log10(z))).alias("low"))
+    others = pairs.where("b <> -1").join(contexts, "s").join(root, "b").select("s", "b", "n", "m", "low")
+    none = F.lit(None).cast("long")
+    inside = pairs.where("b = -1").select(F.col("s").alias("g"), F.col("b").alias("y"), "n", F.lit(0.0).alias("low"), none.alias("m"), none.alias("s"))
+    return inside.unionByName(others.mapInArrow(place, "g long, y long, n long, low double, m long, s long"))
+
+
+@dataclass
+class States:
+    """The pairs that may be contexts: the most frequent ones (sorted keys, their last words and counts), a filter of the others; a filter of all pairs; the shared words."""
+
+    keys: np.ndarray
+    last: np.ndarray
+    n: np.ndarray
+    others: np.ndarray | None
+    pairs: np.ndarray | None
+    words: np.ndarray
 
-    return summed(train, counted).where(F.col("n") >= ENTRY)
+    def entry(self, place: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """s, its count and b (meaningless where the word is not held) of places of contexts and words."""
+        b = np.append(self.words, 0)[np.minimum(word, len(self.words))]
+        return self.keys[place], self.n[place], key_of(1, self.last[place], b)
+
+
+def count_level(train: DataFrame, states, level: int) -> DataFrame:
+    """(s, b, n): the triples (s a pair, b the pair of its last two words) seen ENTRY times or more. Of a shared state and a shared word s is their packed number and b is -1."""
+
+    def counted(x: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        t = states.value
+        _, key, _, pair, third = symbols(x.column(0))
+        end = np.flatnonzero(third)
+        s, b = pair[end - 1], pair[end]
+        at = position(t.keys, s)
+        keep = np.flatnonzero(((at >= 0) | maybe(t.others, s)) & maybe(t.pairs, b))
+        s, b, at = s[keep], b[keep], at[keep]
+        word = position(t.words, key[end[keep]])
+        packed = (at >= 0) & (word >= 0)
+        return key_of(level, s, b), np.where(packed, at << PLACE | word, s), np.where(packed, -1, b)
+
+    return summed(train, counted)
+
+
+def triple_counts(triples: DataFrame, table_: DataFrame, laws: DataFrame, shared) -> DataFrame:
+    """What ``learn`` takes, of counted triples. A triple's last two words follow one another as often as it occurs, so they are among the pairs: the parent's law is theirs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            code = x.column(0).to_numpy()
+            _, _, b = shared.value.entry(code >> PLACE, code & ((1 << PLACE) - 1))
+            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(b), x.column(1)], ["g", "b", "n"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            s, b, n, m = x.columns
+            yield pa.RecordBatch.from_arrays([places(shared.value.keys, s), b, b, n, m, s], ["g", "b", "y", "n", "m", "s"])
+
+    lower = laws.select(F.col("key").alias("b"), F.col("law").alias("low"))
+    none = F.lit(None).cast("long")
+    inside = triples.where("b = -1").select("s", "n").mapInArrow(run, "g long, b long, n long").select("g", "b", F.lit(-1).cast("long").alias("y"), "n", none.alias("m"), none.alias("s"))
+    contexts = table_.select(F.col("key").alias("s"), F.col("n").alias("m"))
+    others = triples.where("b <> -1").join(contexts, "s").mapInArrow(place, "g long, b long, y long, n long, m long, s long")
+    return inside.unionByName(others).join(lower, "b").select("g", "y", "n", "low", "m", "s")
 
 
 def top(entries: DataFrame, by: str, most: int) -> int:
@@ -164,75 +407,134 @@ def by_key(df: DataFrame, *columns: str) -> list[np.ndarray]:
     return [got[c].to_numpy()[order] for c in ("key", *columns)]
 
 
-def learn(counts: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
-    """((s, bow, m) of the contexts that stay, (key, b, n, law, delta) of all entries): log10. counts: s, b, n, m (occurrences of s), low (the parent's law of b)."""
-    spark = counts.sparkSession
+def bloom(entries: DataFrame) -> np.ndarray | None:
+    """The filter's bits, None if there are no entries: tasks send the places of theirs, sorted and compressed, by chunks of the filter; the chunks' bits come back, BLOOM of them in all."""
+    chunk = BLOOM // 64
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(key_of(level, x.column(0).to_numpy(), x.column(1).to_numpy())), *x.columns], ["key", *x.schema.names])
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
 
-    counts = materialise(counts.select("s", "b", "n", "m", "low").mapInArrow(keyed, "key long, s long, b long, n long, m long, low double"), "counts")
-    release(spark)
-    # all that is no entry is taken for different words
-    k = counts.groupBy("s").agg(F.greatest(F.lit(1), F.count(F.lit(1)) + F.first("m") - F.sum("n")).alias("k"))
-    law = (F.col("n") + F.col("k") * F.pow(F.lit(10.0), "low")) / (F.col("m") + F.col("k"))
-    e = materialise(counts.join(k, "s").select("key", "s", "b", "n", "m", "low", F.log10(law).alias("p")), "entries")
-    release(spark, counts)
-    per = e.groupBy("s").agg(
-        F.sum(F.pow(F.lit(10.0), "p")).alias("a"), F.sum(F.pow(F.lit(10.0), "low")).alias("l"), F.sum(F.col("n") * (F.col("p") - F.col("low"))).alias("g"), F.sum("n").alias("n"), F.first("m").alias("m")
-    )
-    bow = F.log10(F.greatest(1 - F.col("a"), F.lit(1e-9)) / F.greatest(1 - F.col("l"), F.lit(1e-9)))
-    per = per.withColumn("bow", bow).where(F.lit(float(np.log(10))) * (F.col("g") + (F.col("m") - F.col("n")) * F.col("bow")) > GAIN)
-    contexts = materialise(per.select("s", "bow", "m"), "contexts")
-    stays = F.col("bow").isNotNull()
-    laws = e.join(contexts.select("s", "bow"), "s", "left").select(
-        "key", "b", "n", F.when(stays, F.col("p")).otherwise(F.col("low")).alias("law"), F.when(stays, F.col("p") - F.col("low") - F.col("bow")).otherwise(F.lit(0.0)).alias("delta")
-    )
-    laws = materialise(laws, "laws")
-    release(spark, e)
-    return contexts, laws
+        def flushed() -> pa.RecordBatch:
+            at = np.unique(np.concatenate(held))
+            held.clear()
+            parts = np.split(at, np.searchsorted(at, np.arange(1, 64) * chunk))
+            found = [(i, zlib.compress(np.diff(x, prepend=i * chunk).astype("<u4").tobytes(), 1)) for i, x in enumerate(parts) if len(x)]
+            return pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int32()), pa.array([d for _, d in found], pa.binary())], ["chunk", "data"])
 
+        for b in batches:
+            held += bits_of(b.column(0).to_numpy())
+            if sum(map(len, held)) > 4_000_000:
+                yield flushed()
+        if held:
+            yield flushed()
 
-def bloom(entries: DataFrame) -> np.ndarray:
-    """The filter's bits, set in a distributed way: at most BLOOM / 64 words come back."""
+    def merged(part: pd.DataFrame) -> pd.DataFrame:
+        import pandas as pd
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = np.concatenate(bits_of(b.column(0).to_numpy()))
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.left_shift(np.int64(1), at & 63))], ["key", "bits"])
+        bits = np.zeros(chunk, bool)
+        for data in part["data"]:
+            bits[np.cumsum(np.frombuffer(zlib.decompress(data), "<u4").astype(np.int64))] = True
+        return pd.DataFrame({"chunk": part["chunk"][:1], "data": [np.packbits(bits, bitorder="little").tobytes()]})
 
-    key, bits = by_key(entries.select("key").mapInArrow(run, "key long, bits long").groupBy("key").agg(F.bit_or("bits").alias("bits")), "bits")
-    out = np.zeros(BLOOM >> 6, np.int64)
-    out[key] = bits
-    return out
+    got, out = 0, np.zeros(BLOOM >> 6, np.int64)
+    for r in entries.select("key").mapInArrow(places, "chunk int, data binary").groupBy("chunk").applyInPandas(merged, "chunk int, data binary").collect():
+        out[r.chunk * chunk >> 6 : (r.chunk + 1) * chunk >> 6] = np.frombuffer(r.data, "<i8")
+        got += 1
+    return out if got else None
 
 
-def grow(train: DataFrame, words: DataFrame, z: int) -> DataFrame:
-    """(key, n, known, base, gain) of all words, pairs and triples that add something. z: the base's denominator."""
+def grow(train: DataFrame, table_: DataFrame, words: Words, z: int) -> tuple[DataFrame, DataFrame]:
+    """((key, n, base, gain) of all words, (key, n, gain) of all pairs and triples that add something). z: the base's denominator."""
     spark = train.sparkSession
-    filters = bloom(words.where(F.col("n") >= LEAST[1])), bloom(words.where(F.col("n") >= ENTRY))
-    contexts = words.where(F.col("n") >= LEAST[1]).select(F.col("key").alias("s"), F.col("n").alias("m"))
-    root = words.select(F.col("key").alias("b"), (F.log10(F.col("n") + 1.0) - float(np.log10(z))).alias("low"))
-    one, pairs = learn(count_level(train, filters, 1).join(contexts, "s").join(root, "b"), 1)
-    states = pairs.where(F.col("n") >= LEAST[2]).join(one.select(F.col("s").alias("b")), "b", "left_semi")
-    states = materialise(states.select("key", "n"), "states")
-    filters = bloom(states), bloom(pairs)
-    contexts = states.select(F.col("key").alias("s"), F.col("n").alias("m"))
-    # a triple's last two words follow one another as often as it occurs, so they are among the pairs
-    lower = pairs.select(F.col("key").alias("b"), F.col("law").alias("low"))
-    two, triples = learn(count_level(train, filters, 2).join(contexts, "s").join(lower, "b"), 2)
-    none, zero = F.lit(0), F.lit(0.0)
-    level0 = words.join(one.select(F.col("s").alias("key"), "bow"), "key", "left").select("key", "n", F.lit(1).alias("known"), F.log10(F.col("n") + 1.0).alias("base"), F.coalesce("bow", zero).alias("gain"))
-    level1 = pairs.join(two.select(F.col("s").alias("key"), "bow"), "key", "left").select("key", "n", none.alias("known"), zero.alias("base"), (F.col("delta") + F.coalesce("bow", zero)).alias("gain"))
-    level2 = triples.select("key", "n", none.alias("known"), zero.alias("base"), F.col("delta").alias("gain"))
-    out = materialise(level0.union(level1.where("gain != 0")).union(level2.where("gain != 0")), "values")
-    release(spark, one, pairs, states, two, triples)
-    return out
+    held = spark.sparkContext.broadcast(words)
+    pairs = materialise(count_pairs(train, held), "pairs")
+    release(spark)
+    one, laws = learn(pair_counts(pairs, table_, held, z), held, 1)
+    held.destroy()
+    release(spark, pairs)
+    states = laws.where(F.col("n") >= LEAST[2]).join(one.select(F.col("s").alias("b")), "b", "left_semi")
+    states = materialise(states.select("key", "b", "n"), "states")
+    least = top(states, "n", SHARED_STATES)
+    held = States(*by_key(states.where(F.col("n") >= least), "b", "n"), bloom(states.where(F.col("n") < least)), bloom(laws), words.keys)
+    held = spark.sparkContext.broadcast(held)
+    triples = materialise(count_level(train, held, 2), "triples")
+    release(spark)
+    two, longer = learn(triple_counts(triples, states, laws, held), held, 2)
+    held.destroy()
+    release(spark, triples)
+    triples = longer
+    # only what occurs often enough can be a context
+    often = table_.where(F.col("n") >= LEAST[1]).join(one.select(F.col("s").alias("key"), F.col("bow").alias("gain")), "key", "left").select("key", "n", F.coalesce("gain", F.lit(0.0)).alias("gain"))
+    every = often.unionByName(table_.where(F.col("n") < LEAST[1]).select("key", "n", F.lit(0.0).alias("gain")))
+    values0 = materialise(every.select("key", "n", F.log10(F.col("n") + 1.0).alias("base"), "gain"), "words")
+    often = laws.where(F.col("n") >= LEAST[2]).join(two.select(F.col("s").alias("key"), F.col("bow").alias("own")), "key", "left").select("key", "n", (F.col("delta") + F.coalesce("own", F.lit(0.0))).alias("gain"))
+    every = often.union(laws.where(F.col("n") < LEAST[2]).select("key", "n", F.col("delta").alias("gain"))).union(triples.select("key", "n", F.col("delta").alias("gain")))
+    values = materialise(every.where("gain != 0"), "values")
+    release(spark, one, laws, states, two, triples)
+    return values0, values
 
 
 # --- scores --------------------------------------------------------------------
 
+ROWS = [
+    ("held_out", "boolean"), ("row", "long"), ("n_tokens", "long"), ("known", "long"), ("base", "double"), ("gain", "double"),
+    ("bucket", "long"), ("keys", "binary"), ("rows", "binary"), ("width", "int"),
+]
+NAMES = ["id", *[n for n, _ in ROWS]]
+
+
+VALUES = np.dtype([("key", "<i8"), ("gain", "<f8")])
+
+
+def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[np.ndarray]]:
+    """The columns of batches, put together until they have ``most`` rows."""
+    held: list[list[np.ndarray]] = []
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            held.append([c.to_numpy() for c in batch.columns])
+        if held and (batch is None or sum(len(x[0]) for x in held) >= most):
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+            held = []
+
+
+def answered(asks: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+    """What a bucket's values add to the rows that ask for them, summed by row: a block for each block of asked keys. given: blocks of values, those of words with their base."""
+    import pandas as pd
+
+    held = [np.frombuffer(d, VALUES) for d in given["data"]]
+    base = [np.frombuffer(d, "<f8") for d in given["base"]]
+    known = np.concatenate([np.full(len(h), len(x) > 0) for h, x in zip(held, base, strict=True)]) if held else np.zeros(0, bool)
+    base = np.concatenate([x if len(x) else np.zeros(len(h)) for h, x in zip(held, base, strict=True)]) if held else np.zeros(0)
+    held = np.concatenate(held) if held else np.zeros(0, VALUES)
+    order = np.argsort(held["key"])
+    keys, gain, base, known = np.ascontiguousarray(held["key"][order]), held["gain"][order], base[order], known[order]
+    out = []
+    for first, ask, rows, size in zip(asks["row"], asks["keys"], asks["rows"], asks["width"], strict=True):
+        at = position(keys, np.frombuffer(ask, "<i8"))
+        row = np.frombuffer(rows, f"<u{size}").astype(np.int64)[at >= 0]
+        at = at[at >= 0]
+        if not len(row):
+            continue
+        some, of = np.unique(row, return_inverse=True)
+        n = np.bincount(of, known[at])
+        words = n.any()
+        out.append((first, some.astype("<u4").tobytes(), np.bincount(of, gain[at]).tobytes(), n.astype("<u4").tobytes() if words else b"", np.bincount(of, base[at]).tobytes() if words else b""))
+    _INDEX.pop(id(keys), None)
+    trim()
+    return pd.DataFrame(out, columns=["first", "rows", "gain", "known", "base"])
+
+
+def summed_up(blocks: pd.DataFrame) -> pd.DataFrame:
+    """The answers to the rows that asked in one go, summed by row."""
+    import pandas as pd
+
+    parts = list(blocks.itertuples(index=False))
+    rows = np.concatenate([np.frombuffer(x.rows, "<u4") for x in parts])
+    some, of = np.unique(rows, return_inverse=True)
+    column = lambda name, kind: np.concatenate([np.frombuffer(d, kind) if len(d := getattr(x, name)) else np.zeros(len(x.rows) // 4) for x in parts])
+    known, base, gain = (np.bincount(of, column(n, k)) for n, k in (("known", "<u4"), ("base", "<f8"), ("gain", "<f8")))
+    return pd.DataFrame({"row": parts[0].first + some.astype(np.int64), "more": known.astype(np.int64), "add": base, "delta": gain})
+
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
@@ -242,47 +544,90 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     release(spark)
     f = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, z = f["n"], f["n"] + f["v"] + 1
-    values = grow(train, counts, z)
+    least = top(counts, "n", SHARED_WORDS)
+    far = counts.where(F.col("n") < least)
+    words = Words(*by_key(counts.where(F.col("n") >= least), "n"), bloom(far.where(F.col("n") >= LEAST[1])), bloom(far.where(F.col("n") >= ENTRY)), z)
+    values0, values = grow(train, counts, words, z)
     release(spark, counts)
-    least = top(values, "n", SHARED_PAIRS)
-    rest = values.where(F.col("n") < least).select("key", "known", "base", "gain")
-    shared = spark.sparkContext.broadcast(Tree(*by_key(values.where(F.col("n") >= least), "base", "gain"), bloom(rest)))
+    often = top(values, "n", SHARED_PAIRS)
+    rest = values0.where(F.col("n") < least).select("key", F.lit(1).alias("known"), "base", "gain")
+    rest = rest.unionByName(values.where(F.col("n") < often).select("key", F.lit(0).alias("known"), F.lit(0.0).alias("base"), "gain"))
+    tree = Tree(*by_key(values0.where(F.col("n") >= least), "base", "gain"), *by_key(values.where(F.col("n") >= often), "gain"), bloom(rest))
+    shared = spark.sparkContext.broadcast(tree)
     picked = docs.select(F.col(f"`{id_col}`").alias("id"), (~trains(id_col)).alias("held_out"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     kind = picked.schema["id"]
-
-    def lists(rows: int, row: np.ndarray, keys: np.ndarray) -> pa.ListArray:
-        """The keys of each row."""
-        order = np.argsort(row, kind="stable")
-        return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[order], np.arange(rows + 1)), pa.int32()), pa.array(keys[order]))
+    buckets = 1 + (rest.count() + total) // BUCKET
 
     def per_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
-        base_of, gain_of = np.append(t.base, 0.0), np.append(t.gain, 0.0)
-        task, done = TaskContext.get().partitionId(), 0
+        task, done = np.int64(TaskContext.get().partitionId()) << 40, 0
+        asked: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def blocks(ids: pa.DataType) -> pa.RecordBatch:
+            """The keys asked for so far and the rows they are for, a block a bucket."""
+            key, row = (np.concatenate(x) for x in zip(*asked, strict=True))
+            asked.clear()
+            bucket = np.mod(key, buckets)
+            order = np.argsort(bucket, kind="stable")
+            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            some = np.flatnonzero(np.diff(cut))
+            n = len(some)
+            first = row.min()
+            rows = row[order] - first
+            width = 2 if rows.max() < 1 << 16 else 4
+            keys, rows = key[order], rows.astype(f"<u{width}")
+            part = lambda x: pa.array([x[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary())
+            none = [pa.nulls(n, x) for x in (ids, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+            return pa.RecordBatch.from_arrays([*none[:2], pa.array(np.full(n, first)), *none[2:], pa.array(some, pa.int64()), part(keys), part(rows), pa.array([width] * n, pa.int32())], NAMES)
+
         for batch in batches:
-            for b in slices(batch, 2):
-                rows = b.num_rows
+            for b in slices(batch, 2, 1 << 20):
+                n = b.num_rows
                 of, key, _, pair, third = symbols(b.column(2))
-                n_tokens, words = np.bincount(of, minlength=rows).astype(np.int64), len(key)
-                key = np.concatenate([key, pair, key_of(2, np.concatenate([[0], pair[:-1]])[third], pair[third])])
-                of = np.concatenate([of, of, of[third]])
-                at = position(t.keys, key)
-                known = np.bincount(of[:words], at[:words] >= 0, rows).astype(np.int64)
-                ask = np.flatnonzero(at < 0)
-                ask = ask[maybe(t.others, key[ask])]
+                at = position(t.words, key)
+                long, of2 = np.concatenate([pair, key_of(2, np.concatenate([[0], pair[:-1]])[third], pair[third])]), np.concatenate([of, of[third]])
+                at2 = position(t.keys, long)
+                ask, owner = np.concatenate([key[at < 0], long[at2 < 0]]), np.concatenate([of[at < 0], of2[at2 < 0]])
+                wanted = maybe(t.others, ask)
+                asked.append((ask[wanted], task + done + owner[wanted]))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(1), pa.array((np.int64(task) << 40) + done + np.arange(rows)), pa.array(n_tokens), pa.array(known),
-                     pa.array(np.bincount(of, base_of[at], rows)), pa.array(np.bincount(of, gain_of[at], rows)), lists(rows, of[ask], key[ask])],
-                    ["id", "held_out", "row", "n_tokens", "known", "base", "gain", "ask"],
+                    [b.column(0), b.column(1), pa.array(task + done + np.arange(n)), pa.array(np.bincount(of, minlength=n).astype(np.int64)), pa.array(np.bincount(of, at >= 0, n).astype(np.int64)),
+                     pa.array(np.bincount(of, value_at(t.base, at), n)), pa.array(np.bincount(of, value_at(t.bow, at), n) + np.bincount(of2, value_at(t.gain, at2), n)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32())],
+                    NAMES,
                 )
-                done += rows
-
-    schema = T.StructType([kind, *T.StructType.fromDDL("held_out boolean, row long, n_tokens long, known long, base double, gain double, ask array<long>").fields])
+                done += n
+                if sum(len(k) for k, _ in asked) > 500_000:
+                    yield blocks(b.column(0).type)
+        if sum(len(k) for k, _ in asked):
+            yield blocks(b.column(0).type)
+        trim()
+
+    schema = T.StructType([kind, *T.StructType.fromDDL(", ".join(f"{n} {t}" for n, t in ROWS)).fields])
     rows = materialise(picked.mapInArrow(per_row, schema), "rows")
+    shared.destroy()
     release(spark)
-    met = rows.select("row", F.explode("ask").alias("key")).join(rest, "key")
-    sums = met.groupBy("row").agg(F.sum("known").alias("more"), F.sum("base").alias("add"), F.sum("gain").alias("delta"))
-    out = rows.drop("ask").join(sums, "row", "left")
+    asks = rows.where("bucket IS NOT NULL").select("bucket", "row", "keys", "rows", "width")
+
+    def in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The values, a block for each bucket, of words and of pairs and triples apart."""
+        for held in gathered(batches, 500_000):
+            key, known, base, gain = held
+            bucket = np.mod(key, buckets)
+            for words in (0, 1):
+                at = np.flatnonzero(known == words)
+                at = at[np.argsort(bucket[at], kind="stable")]
+                cut = np.searchsorted(bucket[at], np.arange(buckets + 1))
+                some = np.flatnonzero(np.diff(cut))
+                data = np.zeros(len(at), VALUES)
+                data["key"], data["gain"] = key[at], gain[at]
+                part = lambda x, cut=cut, some=some: pa.array([x[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary())
+                bases = part(base[at]) if words else pa.array([b""] * len(some), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), part(data), bases], ["bucket", "data", "base"])
+
+    given = rest.select("key", "known", "base", "gain").mapInArrow(in_blocks, "bucket long, data binary, base binary")
+    found = asks.groupBy("bucket").cogroup(given.groupBy("bucket")).applyInPandas(answered, "first long, rows binary, gain binary, known binary, base binary")
+    sums = found.groupBy("first").applyInPandas(summed_up, "row long, more long, add double, delta double")
+    out = rows.where("bucket IS NULL").join(sums, "row", "left")
     base = F.col("base") + F.coalesce("add", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(z))
     return out.select(
         F.col("id").alias(id_col),
