@@ -59,6 +59,22 @@ def test_warc_round_trip(spark):
         assert (got[i].payload_bytes, got[i].payload_digest, got[i].record_type, got[i].refers_to) == want and got[i].digest_ok
 
 
+def test_warc_records_without_python(spark):
+    payloads = [None, "", "hello", "hello", "hello", "é\x00\x7f%", "é\x00\x7f%", "x" * 5000, "z", "z"]
+    ids = [0, 1, 2, None, 3, -5, 4, 6, None, None]
+    urls = [None, "".join(map(chr, range(0x82))), "http://a\r\nb", "é 日\x7f", "", "%41", "a b", "c", "d", "e"]
+    df = spark.createDataFrame([*zip(ids, urls, payloads, strict=True)], "page_id long, url string, html string").repartition(3)
+    for least in (0, 6):
+        made = op1_warc.records(df, least=least)
+        assert "Arrow" not in (plan := made._jdf.queryExecution().executedPlan().toString()) and "Python" not in plan
+        want = []
+        for i, u, p in zip(ids, urls, payloads, strict=True):
+            d = (p or "").encode()
+            keeper = max((k for k, q in zip(ids, payloads, strict=True) if (q or "") == (p or "") and k is not None), default=None)
+            want.append(op1_warc.record(i, u, d, op1_warc.digest_of(d), keeper if keeper != i and len(d) >= least else None))
+        assert sorted(bytes(r.value) for r in made.collect()) == sorted(want)
+
+
 def test_secrets_layers():
     secret = "password=abcdef123"
     assert op2_secret_scans.joined(op2_secret_scans.scan(f"x {secret}")[1]) == "assign:2:20"

@@ -26,10 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, table
+from .common import scratch, table, trim
 
 MAGIC = b"WARC/1.0\r\n"
 EMPTY = hashlib.sha1(b"").digest()
@@ -58,8 +58,14 @@ def record(page: int | None, url: str | None, payload: bytes, digest: str, refer
     return MAGIC + "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r"
 
 
-def write(pages: DataFrame, path: str, id_col: str = "page_id", payload_col: str = "html", url_col: str | None = "url", least: int = 0, per_file: int = 200_000) -> None:
-    """Archives of all rows at path. least: smaller payloads are always responses."""
+def base32(sha: Column) -> Column:
+    """The bare upper-case base32 of a SHA-1 in hexadecimal digits: ten of them are eight of base 32."""
+    parts = [F.lpad(F.conv(F.substring(sha, 1 + 10 * i, 10), 16, 32), 8, "0") for i in range(4)]
+    return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+
+
+def records(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", url_col: str | None = "url", least: int = 0) -> DataFrame:
+    """The ``record`` of every row (value), made by built-ins: no payload goes to a Python worker, whatever its size."""
     url = F.col(f"`{url_col}`") if url_col else F.lit(None).cast("string")
     rows = pages.select(
         F.col(f"`{id_col}`").cast("long").alias("page"),
@@ -74,18 +80,32 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", payload_col: str
         .where("n > 1")
         .select("sha", "keeper")
     )
+    size = F.octet_length("payload")
     joined = rows.join(keeper, "sha", "left")
+    joined = joined.select("page", "url", "payload", "sha", F.when(~F.col("keeper").eqNullSafe(F.col("page")) & (size >= least), F.col("keeper")).alias("refers"))
+    first = F.col("refers").isNull()
+    uri = F.coalesce("url", F.lit(""))
+    clean = uri
+    for c in (*range(0x21), 0x7F):
+        clean = F.replace(clean, F.lit(chr(c)), F.lit(f"%{c:02X}"))
+    whole = lambda c: c.cast("string")
+    lines = [
+        ("WARC-Type: ", F.when(first, "response").otherwise("revisit")),
+        ("\r\nWARC-Record-ID: <urn:page:", F.coalesce(whole(F.col("page")), F.lit(""))),
+        (">\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Target-URI: ", F.when(uri.rlike(CLEAN.pattern), clean).otherwise(uri)),
+        ("\r\nWARC-Payload-Digest: sha1:", base32(F.col("sha"))),
+        ("\r\nX-Payload-Length: ", whole(size)),
+        ("", F.when(first, "").otherwise(F.concat(F.lit("\r\nWARC-Refers-To: <urn:page:"), whole(F.col("refers")), F.lit(">\r\nWARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest")))),
+        ("\r\nContent-Type: application/octet-stream\r\nContent-Length: ", F.when(first, whole(size)).otherwise("0")),
+    ]
+    head = F.concat(F.lit(MAGIC.decode()), *(x for text, value in lines for x in (F.lit(text), value)), F.lit("\r\n\r\n"))
+    block = F.when(first, F.col("payload")).otherwise(F.lit(b""))
+    return joined.select(F.concat(head.cast("binary"), block, F.lit(b"\r\n\r")).alias("value"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for x in b.to_pylist():
-                data = x["payload"]
-                refers = x["keeper"] if x["keeper"] is not None and x["keeper"] != x["page"] and len(data) >= least else None
-                out.append(record(x["page"], x["url"], data, digest_of(data), refers))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
-
-    made = joined.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+
+def write(pages: DataFrame, path: str, id_col: str = "page_id", payload_col: str = "html", url_col: str | None = "url", least: int = 0, per_file: int = 200_000) -> None:
+    """Archives of all rows at path. least: smaller payloads are always responses."""
+    made = records(pages, id_col, payload_col, url_col, least).select(F.col("value").cast("string").alias("value"))
     made.write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
@@ -154,6 +174,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
                     out[n].append(row[n])
             types = {"block": pa.int64(), "k": pa.int32(), "size": pa.int64(), "head": pa.int32(), "length": pa.int64(), "payload_bytes": pa.int64(), "body": pa.binary()}
             yield pa.RecordBatch.from_arrays([pa.array(out[n], types.get(n, pa.string())) for n in names], names)
+        trim()
 
     return text.mapInArrow(run, ROW)
 
