@@ -6,7 +6,10 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("threadloom.llm")
@@ -368,3 +371,27 @@ def test_decontaminate_both_branches(spark):
     for most in (op6_decontamination.BROADCAST_WORDS, 30, 1):
         kept = op6_decontamination.decontaminate(d, bench, broadcast_words=most)
         assert kept.columns == d.columns and sorted(map(str, kept.collect())) == sorted(str(r) for r in d.collect() if item not in (r.text or ""))
+
+
+def test_lm_counts_go_in_blocks(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 400) % 3000) for _ in range(60)]
+    rows = docs(spark, texts).select("text").repartition(3)
+    got = op8_lm_scoring.count_words(rows)
+    before = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in before and "bucket" in before and "size" in before
+    want = Counter(int(k) for t in texts for k in op8_lm_scoring.symbols(pa.array([t]))[1])
+    assert {r.key: r.n for r in got.collect()} == want and max(want.values()) > 255 and min(want) < 0
+    for parts in (1, 49, 70_001):
+        s = np.unique(rng.integers(-(2**63), 2**63, 5000).view(np.uint64))
+        n, b = rng.integers(1, 2**40, len(s)), rng.integers(-(2**63), 2**63, len(s))
+        key = rng.integers(-(2**63), 2**63, len(s))
+        for more in ((), (key, b)):
+            out = {}
+            for x in op8_lm_scoring.blocks_of(s, n, parts, *more).to_pylist():
+                value = np.cumsum(op8_lm_scoring.numbers(x["s"], x["size"])) + np.uint64(x["first"] % 2**64)
+                value = value if more else value * np.uint64(parts) + np.uint64(x["bucket"])
+                other = op8_lm_scoring.numbers(x["b"], x["size"]).view(np.int64) if more else np.full(x["size"], -1)
+                out |= {int(k): (int(o), int(c), x["bucket"]) for k, o, c in zip(value, other, op8_lm_scoring.numbers(x["n"], x["size"]), strict=True)}
+            by = key.view(np.uint64) if more else s
+            assert out == {int(k): (int(o), int(c), int(h) % parts) for k, o, c, h in zip(s, b if more else np.full(len(s), -1), n, by, strict=True)}

@@ -16,7 +16,7 @@ In logs everything adds up: base + bow of the kept contexts + delta of the entri
 So a text's score is a sum over keys, 64-bit hashes of its words, pairs and triples: a word adds its base and its bow, a pair its delta and its bow as a
 context, a triple its delta. The keys' numbers are in distributed tables, whatever their count. The ``SHARED_WORDS`` most frequent words, the
 ``SHARED_STATES`` most frequent pairs that may be contexts and, for scoring, the ``SHARED_PAIRS`` most frequent pairs and triples are broadcast as well (at most 24 bytes each). Pairs of shared words are counted under one
-packed number and get their words' counts from the broadcast; pairs with another word are counted by hash and joined with the words. Texts ask for the
+packed number and get their words' counts from the broadcast; pairs with another word are counted by hash and joined with the words. Counts go to their sums in sorted blocks by bucket. Texts ask for the
 keys that are not shared and that a Bloom filter of ``BLOOM`` bits lets pass, a task's in one block for each bucket of keys; a bucket's values and the blocks
 that ask for them meet in one task. All this saves time and disk and does not change results.
 
@@ -162,68 +162,125 @@ class Tree:
     others: np.ndarray | None
 
 
+def planes(x: np.ndarray, cut: np.ndarray) -> pa.Array:
+    """The numbers between cuts, as bytes: the lowest of each, then the next ones, as far as any is not 0."""
+    width = max(1, (int(x.max()).bit_length() + 7) // 8)
+    x = np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :width]
+    return pa.array([x[i:j].T.tobytes() for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.binary())
+
+
+def numbers(data: bytes, size: int) -> np.ndarray:
+    """What ``planes`` has written of so many numbers."""
+    out = np.zeros((size, 8), np.uint8)
+    at = np.frombuffer(data, np.uint8).reshape(-1, size)
+    out[:, : len(at)] = at.T
+    return out.reshape(-1).view(np.uint64)
+
+
+#: Counted keys of a bucket: sorted numbers as steps from the first, b (empty where s says all), counts.
+BLOCK = "bucket int, size int, first long, s binary, b binary, n binary"
+
+
+def blocks_of(s: np.ndarray, n: np.ndarray, parts: int, key: np.ndarray | None = None, b: np.ndarray | None = None) -> pa.RecordBatch:
+    """A block for each bucket. s: sorted numbers, their bucket is the remainder by parts and only the quotient is written; with b, the bucket is that of the key and s is written whole."""
+    whole = s.view(np.uint64)
+    value = whole if b is not None else whole // np.uint64(parts)
+    bucket = key.view(np.uint64) % np.uint64(parts) if b is not None else whole - value * np.uint64(parts)
+    order = np.argsort(bucket.astype(np.uint16 if parts < 1 << 16 else np.uint32), kind="stable")
+    size = np.bincount(bucket.astype(np.int64), minlength=parts)
+    some = np.flatnonzero(size)
+    cut = np.concatenate([[0], np.cumsum(size[some])])
+    value = value[order]
+    first = value[cut[:-1]]
+    value[1:] -= value[:-1].copy()
+    value[cut[:-1]] = 0
+    columns = [pa.array(some, pa.int32()), pa.array(size[some], pa.int32()), pa.array(first.view(np.int64)), planes(value, cut)]
+    columns += [planes(b[order].view(np.uint64), cut) if b is not None else pa.array([b""] * len(some), pa.binary()), planes(n[order].view(np.uint64), cut)]
+    return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in BLOCK.split(", ")])
+
+
+def runs(s: np.ndarray, b: np.ndarray | None = None) -> np.ndarray:
+    """Where equal neighbours begin."""
+    new = s[1:] != s[:-1]
+    return np.flatnonzero(np.concatenate([[True], new if b is None else new | (b[1:] != b[:-1])]))
+
+
 def summed(picked: DataFrame, counted, every: bool = False) -> DataFrame:
-    """(s, b, n) of those seen ENTRY times or more, or of all (every): what counted(batch) yields with a key for each (s, b), summed within tasks as far as a bounded memory allows, then over all, a partition at a time."""
+    """(s, b, n) of those seen ENTRY times or more, or of all (every). counted(batch) gives numbers that are a key of their own (their b is -1) and (key, s, b) of others, whose key says which (s, b) it is.
 
-    def merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-        key, s, b, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(key)
-        key = key[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        return key[first], s[order[first]], b[order[first]], np.add.reduceat(n[order], first) if len(key) else n
+    They are summed within tasks as far as a bounded memory allows and then over all, a bucket at a time. What goes there are blocks and no rows.
+    """
+    parts = 4 * int(picked.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1  # a bucket is held by a worker, so it is kept small; odd, as packed numbers end in places
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        near: list[np.ndarray] = []
+        far: list[tuple[np.ndarray, ...]] = []
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            if sum(map(len, near)):
+                s = np.concatenate(near).view(np.uint64)
+                near.clear()
+                s.sort()
+                first = runs(s)
+                yield blocks_of(s[first], np.diff(np.append(first, len(s))), parts)
+            if sum(len(x[0]) for x in far):
+                key, s, b = (np.concatenate(x) for x in zip(*far, strict=True))
+                far.clear()
+                order = np.argsort(key)
+                first = runs(key[order])
+                n, order = np.diff(np.append(first, len(key))), order[first]
+                by = np.argsort(s[order].view(np.uint64))
+                order = order[by]
+                yield blocks_of(s[order], n[by], parts, key[order], b[order])
+
         for batch in batches:
-            for b in slices(batch, 0, 1 << 20):
-                key, s, last = counted(b)
-                held.append(merged([(key, s, last, np.ones(len(key), np.int64))]))
-                if len(held) >= 8:
-                    held = [merged(held)]
-                    if len(held[0][0]) > 1_000_000:
-                        yield pa.RecordBatch.from_arrays([*map(pa.array, held.pop()[1:])], ["s", "b", "n"])
-        if held and sum(len(x[0]) for x in held):
-            yield pa.RecordBatch.from_arrays([*map(pa.array, merged(held)[1:])], ["s", "b", "n"])
-        held.clear()
+            for x in slices(batch, 0, 1 << 20):
+                one, other = counted(x)
+                near.append(one)
+                if other is not None:
+                    far.append(other)
+                if sum(map(len, near)) + 3 * sum(len(x[0]) for x in far) > 4_000_000:
+                    yield from flushed()
+        yield from flushed()
         trim()
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums of a partition: equal (s, b) are in one."""
-        s, b, n = ([] for _ in range(3))
+        """Sums of a bucket."""
+        near, far = [], []
         for batch in batches:
-            for held, column in zip((s, b, n), batch.columns, strict=True):
-                held.append(column.to_numpy())
-        if not s:
-            return
-        s, b, n = np.concatenate(s), np.concatenate(b), np.concatenate(n)
-        order = np.lexsort((b, s)) if (b != b[0]).any() else np.argsort(s)
-        s, b, n = s[order], b[order], n[order]
-        first = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (b[1:] != b[:-1])]))
-        n = np.add.reduceat(n, first)
-        keep = slice(None) if every else np.flatnonzero(n >= ENTRY)
-        yield pa.RecordBatch.from_arrays([pa.array(s[first][keep]), pa.array(b[first][keep]), pa.array(n[keep])], ["s", "b", "n"])
-        del s, b, n, order, first, keep
+            for bucket, size, start, s, b, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                value = np.cumsum(numbers(s, size)) + np.uint64(start % (1 << 64))
+                if b:
+                    far.append((value.view(np.int64), numbers(b, size).view(np.int64), numbers(n, size).view(np.int64)))
+                else:
+                    near.append(((value * np.uint64(parts) + np.uint64(bucket)).view(np.int64), numbers(n, size).view(np.int64)))
+        for held in (near, far):
+            if not held:
+                continue
+            s, *b, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = np.lexsort((b[0], s)) if b else np.argsort(s)
+            s, b, n = s[order], b[0][order] if b else None, n[order]
+            first = runs(s, b)
+            n = np.add.reduceat(n, first)
+            keep = slice(None) if every else np.flatnonzero(n >= ENTRY)
+            s = s[first][keep]
+            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(len(s), -1) if b is None else b[first][keep]), pa.array(n[keep])], ["s", "b", "n"])
+            del s, b, n, order, first, keep
         trim()
 
-    kind = "s long, b long, n long"
-    parts = 4 * int(picked.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a partition is held by a worker, so it is kept small
-    return picked.mapInArrow(run, kind).repartition(parts, "s", "b").mapInArrow(total, kind)
+    return picked.mapInArrow(run, BLOCK).repartitionById(parts, F.col("bucket")).mapInArrow(total, "s long, b long, n long")
 
 
 def count_words(train: DataFrame) -> DataFrame:
     """(key, n): the words by hash, and the ends."""
-
-    def counted(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-        _, key, *_ = symbols(b.column(0))
-        return key, np.zeros(len(key), np.int64), key
-
-    return summed(train, counted, every=True).select(F.col("b").alias("key"), "n")
+    return summed(train, lambda x: (symbols(x.column(0))[1], None), every=True).select(F.col("s").alias("key"), "n")
 
 
 def count_pairs(train: DataFrame, shared) -> DataFrame:
     """(s, b, n): the pairs seen ENTRY times or more whose words may be context and entry. Of two shared words s is their packed number and b is -1."""
 
-    def counted(x: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    def counted(x: pa.RecordBatch) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
         w = shared.value
         _, key, before, pair, _ = symbols(x.column(0))
         at = position(w.keys, key)
@@ -234,10 +291,10 @@ def count_pairs(train: DataFrame, shared) -> DataFrame:
         context[far] = maybe(w.contexts, before[far])
         far = np.flatnonzero(at < 0)
         entry[far] = maybe(w.entries, key[far])
-        keep = np.flatnonzero(context & entry)
-        packed = (first[keep] >= 0) & (at[keep] >= 0)
-        s = np.where(packed, first[keep] << PLACE | at[keep], before[keep])
-        return pair[keep], s, np.where(packed, -1, key[keep])
+        keep = context & entry
+        packed = (first >= 0) & (at >= 0)
+        near, far = np.flatnonzero(keep & packed), np.flatnonzero(keep & ~packed)
+        return first[near] << PLACE | at[near], (pair[far], before[far], key[far])
 
     return summed(train, counted)
 
@@ -354,7 +411,7 @@ class States:
 def count_level(train: DataFrame, states, level: int) -> DataFrame:
     """(s, b, n): the triples (s a pair, b the pair of its last two words) seen ENTRY times or more. Of a shared state and a shared word s is their packed number and b is -1."""
 
-    def counted(x: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    def counted(x: pa.RecordBatch) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
         t = states.value
         _, key, _, pair, third = symbols(x.column(0))
         end = np.flatnonzero(third)
@@ -364,7 +421,8 @@ def count_level(train: DataFrame, states, level: int) -> DataFrame:
         s, b, at = s[keep], b[keep], at[keep]
         word = position(t.words, key[end[keep]])
         packed = (at >= 0) & (word >= 0)
-        return key_of(level, s, b), np.where(packed, at << PLACE | word, s), np.where(packed, -1, b)
+        near, far = np.flatnonzero(packed), np.flatnonzero(~packed)
+        return at[near] << PLACE | word[near], (key_of(level, s[far], b[far]), s[far], b[far])
 
     return summed(train, counted)
 
