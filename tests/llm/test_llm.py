@@ -395,3 +395,38 @@ def test_lm_counts_go_in_blocks(spark):
                 out |= {int(k): (int(o), int(c), x["bucket"]) for k, o, c in zip(value, other, op8_lm_scoring.numbers(x["n"], x["size"]), strict=True)}
             by = key.view(np.uint64) if more else s
             assert out == {int(k): (int(o), int(c), int(h) % parts) for k, o, c, h in zip(s, b if more else np.full(len(s), -1), n, by, strict=True)}
+
+
+def test_lm_asked_keys_are_packed_and_answered_in_goes(spark, monkeypatch):
+    """Blocks of asked keys are sorted and packed, their copies in the shuffle are parts of them, tables have what is read again; scores stay."""
+    rng = np.random.default_rng(6)
+    texts = [*CASES, *[" ".join(f"w{x}" for x in rng.zipf(1.4, 300) % 500) for _ in range(80)]]
+    d = docs(spark, texts).coalesce(2)
+    whole = {r.doc_id: (r.n_known, r.base_score, r.score) for r in op8_lm_scoring.score(d).collect()}
+    seen = {}
+
+    def spy(df, tag, f=op8_lm_scoring.materialise):
+        out = f(df, tag)
+        if tag in ("rows", "laws"):
+            seen.setdefault(tag, []).append(out.toPandas())
+        elif tag == "sums":
+            seen.setdefault(tag, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(op8_lm_scoring, "materialise", spy)
+    for name, x in (("SHARED_WORDS", 20), ("SHARED_STATES", 5), ("SHARED_PAIRS", 0), ("BUCKET", 1000)):
+        monkeypatch.setattr(op8_lm_scoring, name, x)
+    few = {r.doc_id: (r.n_known, r.base_score, r.score) for r in op8_lm_scoring.score(d).collect()}
+    assert len(few) == len(texts) and all(few[i] == pytest.approx(whole[i], abs=1e-6) for i in whole)
+    asked = seen["rows"][0].dropna(subset=["bucket"])
+    assert len(seen["sums"]) > 1 and min(seen["sums"]) > 0
+    assert asked["keys"].map(len).sum() + asked["rows"].map(len).sum() < 9 * asked["size"].sum()
+    one, two = seen["laws"]
+    assert one["s"].notna().sum() == one["bow"].notna().sum() == one["s"].nunique() and 0 < one["b"].notna().sum() < len(one)
+    assert len(two) and two["law"].isna().all() and two["b"].isna().all()
+    for parts in (1, 49, 70_001):
+        key = rng.integers(-(2**63), 2**63, 3000)
+        order, cut, columns = op8_lm_scoring.dealt_keys(key, parts)
+        back = np.concatenate([op8_lm_scoring.keys_of(*x, parts) for x in zip(*(c.to_pylist() for c in columns), strict=True)])
+        assert (back == key[order]).all() and len(cut) == len(columns[0]) + 1
+        assert sorted(order) == list(range(len(key))) and (key[order].view(np.uint64) % np.uint64(parts) == np.repeat(columns[0].to_numpy(), np.diff(cut)).astype(np.uint64)).all()

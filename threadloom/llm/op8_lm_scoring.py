@@ -17,8 +17,8 @@ So a text's score is a sum over keys, 64-bit hashes of its words, pairs and trip
 context, a triple its delta. The keys' numbers are in distributed tables, whatever their count. The ``SHARED_WORDS`` most frequent words, the
 ``SHARED_STATES`` most frequent pairs that may be contexts and, for scoring, the ``SHARED_PAIRS`` most frequent pairs and triples are broadcast as well (at most 24 bytes each). Pairs of shared words are counted under one
 packed number and get their words' counts from the broadcast; pairs with another word are counted by hash and joined with the words. Counts go to their sums in sorted blocks by bucket. Texts ask for the
-keys that are not shared and that a Bloom filter of ``BLOOM`` bits lets pass, a task's in one block for each bucket of keys; a bucket's values and the blocks
-that ask for them meet in one task. All this saves time and disk and does not change results.
+keys that are not shared and that a Bloom filter of ``BLOOM`` bits lets pass, a task's in one sorted block for each bucket of keys; a bucket's values and the blocks
+that ask for them meet in one task, the buckets in ``PASSES`` goes, so that only a part of what was asked is copied at a time. All this saves time and disk and does not change results.
 
 A context's entries, its different followers, are learned together in one task.
 
@@ -31,6 +31,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import chain
 from typing import TYPE_CHECKING
 
@@ -48,8 +49,8 @@ if TYPE_CHECKING:  # tasks without it are smaller
 
 LEAST, ENTRY, GAIN = (0, 8, 8), 2, 10.0
 SHARED_WORDS, SHARED_STATES, SHARED_PAIRS, BLOOM = 1 << 21, 1 << 20, 1 << 20, 1 << 27
-#: About how many values and asked keys a bucket has.
-BUCKET = 1_000_000
+#: About how many values and asked keys a bucket has; in how many goes buckets are answered at most, and how many buckets make a go of their own worth it.
+BUCKET, PASSES, LEAST_BUCKETS = 3_000_000, 8, 6
 #: A pair of shared words is one number, the first's place shifted by so many bits.
 PLACE = 21
 #: The key of a text's end among the words' hashes.
@@ -181,11 +182,19 @@ def numbers(data: bytes, size: int) -> np.ndarray:
 BLOCK = "bucket int, size int, first long, s binary, b binary, n binary"
 
 
-def blocks_of(s: np.ndarray, n: np.ndarray, parts: int, key: np.ndarray | None = None, b: np.ndarray | None = None) -> pa.RecordBatch:
-    """A block for each bucket. s: sorted numbers, their bucket is the remainder by parts and only the quotient is written; with b, the bucket is that of the key and s is written whole."""
-    whole = s.view(np.uint64)
-    value = whole if b is not None else whole // np.uint64(parts)
-    bucket = key.view(np.uint64) % np.uint64(parts) if b is not None else whole - value * np.uint64(parts)
+def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[np.ndarray]]:
+    """The columns of batches, put together until they have ``most`` rows."""
+    held: list[list[np.ndarray]] = []
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            held.append([c.to_numpy() for c in batch.columns])
+        if held and (batch is None or sum(len(x[0]) for x in held) >= most):
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+            held = []
+
+
+def dealt(value: np.ndarray, bucket: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, list[pa.Array]]:
+    """Sorted numbers by bucket: their order and the cuts between buckets; of each bucket its number, its size, the first of its numbers and the steps from there on."""
     order = np.argsort(bucket.astype(np.uint16 if parts < 1 << 16 else np.uint32), kind="stable")
     size = np.bincount(bucket.astype(np.int64), minlength=parts)
     some = np.flatnonzero(size)
@@ -194,11 +203,34 @@ def blocks_of(s: np.ndarray, n: np.ndarray, parts: int, key: np.ndarray | None =
     first = value[cut[:-1]]
     value[1:] -= value[:-1].copy()
     value[cut[:-1]] = 0
-    columns = [pa.array(some, pa.int32()), pa.array(size[some], pa.int32()), pa.array(first.view(np.int64)), planes(value, cut)]
-    columns += [planes(b[order].view(np.uint64), cut) if b is not None else pa.array([b""] * len(some), pa.binary()), planes(n[order].view(np.uint64), cut)]
+    return order, cut, [pa.array(some, pa.int32()), pa.array(size[some], pa.int32()), pa.array(first.view(np.int64)), planes(value, cut)]
+
+
+def blocks_of(s: np.ndarray, n: np.ndarray, parts: int, key: np.ndarray | None = None, b: np.ndarray | None = None) -> pa.RecordBatch:
+    """A block for each bucket. s: sorted numbers, their bucket is the remainder by parts and only the quotient is written; with b, the bucket is that of the key and s is written whole."""
+    whole = s.view(np.uint64)
+    value = whole if b is not None else whole // np.uint64(parts)
+    bucket = key.view(np.uint64) % np.uint64(parts) if b is not None else whole - value * np.uint64(parts)
+    order, cut, columns = dealt(value, bucket, parts)
+    columns += [planes(b[order].view(np.uint64), cut) if b is not None else pa.array([b""] * (len(cut) - 1), pa.binary()), planes(n[order].view(np.uint64), cut)]
     return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in BLOCK.split(", ")])
 
 
+def dealt_keys(key: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, list[pa.Array]]:
+    """What ``dealt`` returns for keys in any order, whose bucket is the remainder by parts; their quotients are written."""
+    order = np.argsort(key.view(np.uint64))
+    whole = key.view(np.uint64)[order]
+    value = whole // np.uint64(parts)
+    by, cut, columns = dealt(value, whole - value * np.uint64(parts), parts)
+    return order[by], cut, columns
+
+
+def keys_of(bucket: int, size: int, first: int, data: bytes, parts: int) -> np.ndarray:
+    """The keys of a block that ``dealt_keys`` has written."""
+    value = np.cumsum(numbers(data, size)) + np.uint64(first % (1 << 64))
+    return (value * np.uint64(parts) + np.uint64(bucket)).view(np.int64)
+
+
 def runs(s: np.ndarray, b: np.ndarray | None = None) -> np.ndarray:
     """Where equal neighbours begin."""
     new = s[1:] != s[:-1]
@@ -300,7 +332,7 @@ def count_pairs(train: DataFrame, shared) -> DataFrame:
 
 
 def law_rows(s: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, low: np.ndarray, level: int) -> pa.RecordBatch:
-    """What ``learn`` returns for whole contexts; s is in runs."""
+    """What ``learn`` writes for whole contexts; s is in runs. Only what is read again has a value."""
     first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
     size = np.diff(np.append(first, len(s)))
     each = lambda x: np.repeat(x, size)
@@ -313,15 +345,28 @@ def law_rows(s: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, low: np
     bow = np.log10(np.maximum(left, 1e-9) / np.maximum(lower, 1e-9))
     stays = np.log(10) * (np.add.reduceat(n * (p - low), first) + (m[first] - total) * bow) > GAIN
     kept, bows = each(stays), each(bow)
-    columns = [key_of(level, s, b), s, b, n, np.where(kept, p, low), np.where(kept, p - low - bows, 0.0)]
-    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(bows, mask=~kept)], ["key", "s", "b", "n", "law", "delta", "bow"])
+    of_context = np.ones(len(s), bool)  # where the context's own numbers are not
+    of_context[first[stays]] = False
+    columns = [
+        pa.array(key_of(level, s, b)),
+        pa.array(s, mask=of_context),
+        pa.array(b, mask=n < LEAST[2]) if level == 1 else pa.nulls(len(s), pa.int64()),
+        pa.array(n),
+        pa.array(np.where(kept, p, low)) if level == 1 else pa.nulls(len(s), pa.float64()),
+        pa.array(np.where(kept, p - low - bows, 0.0)),
+        pa.array(bows, mask=of_context),
+    ]
+    out = pa.RecordBatch.from_arrays(columns, ["key", "s", "b", "n", "law", "delta", "bow"])
+    return out if level == 1 else out.filter(pa.array(kept))
 
 
 LAWS = "key long, s long, b long, n long, law double, delta double, bow double"
 
 
 def learn(counts: DataFrame, shared, level: int) -> tuple[DataFrame, DataFrame]:
-    """((s, bow) of the contexts that stay, (key, s, b, n, law, delta, bow) of all entries): log10.
+    """((s, bow) of the contexts that stay, (key, s, b, n, law, delta, bow) of all entries, on level 2 of contexts that stay): log10.
+
+    s and bow are in one row of each context that stays; b is there for pairs that may be contexts, law for pairs.
 
     counts: g, y, n, low (the parent's law of b), m. A context that all tasks hold is a place: g is that place, shifted, and the last word's, or y is b
     where that word is not held (y is -1 else); m is null then. Any other context is a hash: g is -1, y is b, and s is a column.
@@ -364,7 +409,7 @@ def learn(counts: DataFrame, shared, level: int) -> tuple[DataFrame, DataFrame]:
     rest = counts.where("g < 0").select("s", F.col("y").alias("b"), "n", "m", "low")
     rest = rest.repartition("s").sortWithinPartitions("s").mapInArrow(hashed, LAWS)
     laws = materialise(held.unionByName(rest), "laws")
-    contexts = materialise(laws.where("bow IS NOT NULL").groupBy("s").agg(F.first("bow").alias("bow")), "contexts")
+    contexts = materialise(laws.where("bow IS NOT NULL").select("s", "bow"), "contexts")
     release(counts.sparkSession)
     return contexts, laws
 
@@ -427,26 +472,70 @@ def count_level(train: DataFrame, states, level: int) -> DataFrame:
     return summed(train, counted)
 
 
+#: Counted triples of a bucket, by their last two words: g as sorted steps, counts; of those that are not packed also b, m and s. Laws of a bucket.
+TRIPLES = "bucket int, size int, first long, g binary, n binary, b binary, m binary, s binary"
+LOWER = "bucket int, size int, first long, keys binary, law binary"
+
+
 def triple_counts(triples: DataFrame, table_: DataFrame, laws: DataFrame, shared) -> DataFrame:
-    """What ``learn`` takes, of counted triples. A triple's last two words follow one another as often as it occurs, so they are among the pairs: the parent's law is theirs."""
+    """What ``learn`` takes, of counted triples. A triple's last two words follow one another as often as it occurs, so they are among the pairs: the parent's law is theirs.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            code = x.column(0).to_numpy()
-            _, _, b = shared.value.entry(code >> PLACE, code & ((1 << PLACE) - 1))
-            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(b), x.column(1)], ["g", "b", "n"])
+    Triples and laws meet in blocks by bucket; the last two words of a packed triple are not sent, as its number has them.
+    """
+    parts = 4 * int(triples.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1  # as in summed
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            s, b, n, m = x.columns
-            yield pa.RecordBatch.from_arrays([places(shared.value.keys, s), b, b, n, m, s], ["g", "b", "y", "n", "m", "s"])
+    def last_pair(code: np.ndarray) -> np.ndarray:
+        return shared.value.entry(code >> PLACE, code & ((1 << PLACE) - 1))[2]
+
+    def blocks(g: np.ndarray, b: np.ndarray, n: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(g.view(np.uint64))
+        by, cut, columns = dealt(g[order].view(np.uint64), b[order].view(np.uint64) % np.uint64(parts), parts)
+        order = order[by]
+        columns += [planes(x[order].view(np.uint64), cut) for x in (n, *more)]
+        columns += [pa.array([b""] * (len(cut) - 1), pa.binary())] * (3 - len(more))
+        return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in TRIPLES.split(", ")])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g, n in gathered(batches, 1_000_000):
+            if len(g):
+                yield blocks(g, last_pair(g), n)
+        trim()
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s, b, n, m in gathered(batches, 500_000):
+            if len(s):
+                yield blocks(places(shared.value.keys, pa.array(s)).to_numpy(), b, n, b, m, s)
+        trim()
+
+    def lower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, law in gathered(batches, 1_000_000):
+            if len(key):
+                order, cut, columns = dealt_keys(key, parts)
+                law = law[order]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([law[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], [x.split()[0] for x in LOWER.split(", ")])
+        trim()
+
+    def met(counted: pa.Table, given: pa.Table) -> pa.Table:
+        blocks = given.to_pylist()
+        keys = np.concatenate([np.zeros(0, np.int64), *(keys_of(x["bucket"], x["size"], x["first"], x["keys"], parts) for x in blocks)])
+        law = np.frombuffer(b"".join(x["law"] for x in blocks), "<f8")
+        order = np.argsort(keys)
+        keys, law, out = keys[order], law[order], []
+        for x in counted.to_pylist():
+            g = (np.cumsum(numbers(x["g"], x["size"])) + np.uint64(x["first"] % (1 << 64))).view(np.int64)
+            n, b, m, s = (numbers(x[c], x["size"]).view(np.int64) if x[c] else None for c in ("n", "b", "m", "s"))
+            at = position(keys, last_pair(g) if b is None else b)
+            y, m, s = (np.full(len(g), -1), np.zeros_like(g), np.zeros_like(g)) if b is None else (b, m, s)
+            out.append([c[at >= 0] for c in (g, y, n)] + [law[at[at >= 0]], m[at >= 0], s[at >= 0]])
+        _INDEX.pop(id(keys), None)
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.float64 if i == 3 else np.int64) for i in range(6)]
+        return pa.table(dict(zip(("g", "y", "n", "low", "m", "s"), columns, strict=True)))
 
-    lower = laws.select(F.col("key").alias("b"), F.col("law").alias("low"))
-    none = F.lit(None).cast("long")
-    inside = triples.where("b = -1").select("s", "n").mapInArrow(run, "g long, b long, n long").select("g", "b", F.lit(-1).cast("long").alias("y"), "n", none.alias("m"), none.alias("s"))
     contexts = table_.select(F.col("key").alias("s"), F.col("n").alias("m"))
-    others = triples.where("b <> -1").join(contexts, "s").mapInArrow(place, "g long, b long, y long, n long, m long, s long")
-    return inside.unionByName(others).join(lower, "b").select("g", "y", "n", "low", "m", "s")
+    others = triples.where("b <> -1").join(contexts, "s").select("s", "b", "n", "m").mapInArrow(hashed, TRIPLES)
+    counted = triples.where("b = -1").select("s", "n").mapInArrow(packed, TRIPLES).unionByName(others)
+    given = laws.select("key", "law").mapInArrow(lower, LOWER)
+    return counted.groupBy("bucket").cogroup(given.groupBy("bucket")).applyInArrow(met, "g long, y long, n long, low double, m long, s long")
 
 
 def top(entries: DataFrame, by: str, most: int) -> int:
@@ -536,47 +625,37 @@ def grow(train: DataFrame, table_: DataFrame, words: Words, z: int) -> tuple[Dat
 
 ROWS = [
     ("held_out", "boolean"), ("row", "long"), ("n_tokens", "long"), ("known", "long"), ("base", "double"), ("gain", "double"),
-    ("bucket", "long"), ("keys", "binary"), ("rows", "binary"), ("width", "int"),
+    ("bucket", "int"), ("size", "int"), ("first", "long"), ("keys", "binary"), ("rows", "binary"),
 ]
 NAMES = ["id", *[n for n, _ in ROWS]]
 
 
-VALUES = np.dtype([("key", "<i8"), ("gain", "<f8")])
-
-
-def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[np.ndarray]]:
-    """The columns of batches, put together until they have ``most`` rows."""
-    held: list[list[np.ndarray]] = []
-    for batch in chain(batches, [None]):
-        if batch is not None:
-            held.append([c.to_numpy() for c in batch.columns])
-        if held and (batch is None or sum(len(x[0]) for x in held) >= most):
-            yield [np.concatenate(x) for x in zip(*held, strict=True)]
-            held = []
+#: Values of a bucket: sorted keys as steps from the first, what they add beyond the base, and of words what they add to it.
+VALUES = "bucket int, size int, first long, keys binary, gain binary, base binary"
 
 
-def answered(asks: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+def answered(asks: pd.DataFrame, given: pd.DataFrame, parts: int) -> pd.DataFrame:
     """What a bucket's values add to the rows that ask for them, summed by row: a block for each block of asked keys. given: blocks of values, those of words with their base."""
     import pandas as pd
 
-    held = [np.frombuffer(d, VALUES) for d in given["data"]]
-    base = [np.frombuffer(d, "<f8") for d in given["base"]]
-    known = np.concatenate([np.full(len(h), len(x) > 0) for h, x in zip(held, base, strict=True)]) if held else np.zeros(0, bool)
-    base = np.concatenate([x if len(x) else np.zeros(len(h)) for h, x in zip(held, base, strict=True)]) if held else np.zeros(0)
-    held = np.concatenate(held) if held else np.zeros(0, VALUES)
-    order = np.argsort(held["key"])
-    keys, gain, base, known = np.ascontiguousarray(held["key"][order]), held["gain"][order], base[order], known[order]
+    blocks = list(given.itertuples(index=False))
+    keys = np.concatenate([np.zeros(0, np.int64), *(keys_of(x.bucket, x.size, x.first, x.keys, parts) for x in blocks)])
+    gain = np.frombuffer(b"".join(x.gain for x in blocks), "<f8")
+    known = np.concatenate([np.zeros(0, bool), *(np.full(x.size, len(x.base) > 0) for x in blocks)])
+    base = np.concatenate([np.zeros(0), *(np.frombuffer(x.base, "<f8") if x.base else np.zeros(x.size) for x in blocks)])
+    order = np.argsort(keys)
+    keys, gain, base, known = keys[order], gain[order], base[order], known[order]
     out = []
-    for first, ask, rows, size in zip(asks["row"], asks["keys"], asks["rows"], asks["width"], strict=True):
-        at = position(keys, np.frombuffer(ask, "<i8"))
-        row = np.frombuffer(rows, f"<u{size}").astype(np.int64)[at >= 0]
+    for x in asks.itertuples(index=False):
+        at = position(keys, keys_of(x.bucket, x.size, x.first, x.keys, parts))
+        row = numbers(x.rows, x.size).view(np.int64)[at >= 0]
         at = at[at >= 0]
         if not len(row):
             continue
         some, of = np.unique(row, return_inverse=True)
         n = np.bincount(of, known[at])
         words = n.any()
-        out.append((first, some.astype("<u4").tobytes(), np.bincount(of, gain[at]).tobytes(), n.astype("<u4").tobytes() if words else b"", np.bincount(of, base[at]).tobytes() if words else b""))
+        out.append((x.row, some.astype("<u4").tobytes(), np.bincount(of, gain[at]).tobytes(), n.astype("<u4").tobytes() if words else b"", np.bincount(of, base[at]).tobytes() if words else b""))
     _INDEX.pop(id(keys), None)
     trim()
     return pd.DataFrame(out, columns=["first", "rows", "gain", "known", "base"])
@@ -616,6 +695,20 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     kind = picked.schema["id"]
     buckets = 1 + (rest.count() + total) // BUCKET
 
+    def in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The values, a block for each bucket, of words and of pairs and triples apart."""
+        for key, known, base, gain in gathered(batches, 1_000_000):
+            for words in (0, 1):
+                at = np.flatnonzero(known == words)
+                if len(at):
+                    order, cut, columns = dealt_keys(key[at], buckets)
+                    part = lambda x, at=at[order], cut=cut: pa.array([x[at[i:j]].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*columns, part(gain), part(base) if words else pa.array([b""] * (len(cut) - 1), pa.binary())], [x.split()[0] for x in VALUES.split(", ")])
+        trim()
+
+    given = materialise(rest.select("key", "known", "base", "gain").mapInArrow(in_blocks, VALUES), "given")
+    release(spark, values0, values)
+
     def per_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
         task, done = np.int64(TaskContext.get().partitionId()) << 40, 0
@@ -625,18 +718,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             """The keys asked for so far and the rows they are for, a block a bucket."""
             key, row = (np.concatenate(x) for x in zip(*asked, strict=True))
             asked.clear()
-            bucket = np.mod(key, buckets)
-            order = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            some = np.flatnonzero(np.diff(cut))
-            n = len(some)
+            order, cut, columns = dealt_keys(key, buckets)
+            n = len(cut) - 1
             first = row.min()
-            rows = row[order] - first
-            width = 2 if rows.max() < 1 << 16 else 4
-            keys, rows = key[order], rows.astype(f"<u{width}")
-            part = lambda x: pa.array([x[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary())
+            rows = planes((row[order] - first).view(np.uint64), cut)
             none = [pa.nulls(n, x) for x in (ids, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-            return pa.RecordBatch.from_arrays([*none[:2], pa.array(np.full(n, first)), *none[2:], pa.array(some, pa.int64()), part(keys), part(rows), pa.array([width] * n, pa.int32())], NAMES)
+            return pa.RecordBatch.from_arrays([*none[:2], pa.array(np.full(n, first)), *none[2:], *columns, rows], NAMES)
 
         for batch in batches:
             for b in slices(batch, 2, 1 << 20):
@@ -650,11 +737,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 asked.append((ask[wanted], task + done + owner[wanted]))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), b.column(1), pa.array(task + done + np.arange(n)), pa.array(np.bincount(of, minlength=n).astype(np.int64)), pa.array(np.bincount(of, at >= 0, n).astype(np.int64)),
-                     pa.array(np.bincount(of, value_at(t.base, at), n)), pa.array(np.bincount(of, value_at(t.bow, at), n) + np.bincount(of2, value_at(t.gain, at2), n)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32())],
+                     pa.array(np.bincount(of, value_at(t.base, at), n)), pa.array(np.bincount(of, value_at(t.bow, at), n) + np.bincount(of2, value_at(t.gain, at2), n)), *(pa.nulls(n, x) for x in (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))],
                     NAMES,
                 )
                 done += n
-                if sum(len(k) for k, _ in asked) > 500_000:
+                if sum(len(k) for k, _ in asked) > 1_500_000:
                     yield blocks(b.column(0).type)
         if sum(len(k) for k, _ in asked):
             yield blocks(b.column(0).type)
@@ -664,27 +751,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     rows = materialise(picked.mapInArrow(per_row, schema), "rows")
     shared.destroy()
     release(spark)
-    asks = rows.where("bucket IS NOT NULL").select("bucket", "row", "keys", "rows", "width")
-
-    def in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The values, a block for each bucket, of words and of pairs and triples apart."""
-        for held in gathered(batches, 500_000):
-            key, known, base, gain = held
-            bucket = np.mod(key, buckets)
-            for words in (0, 1):
-                at = np.flatnonzero(known == words)
-                at = at[np.argsort(bucket[at], kind="stable")]
-                cut = np.searchsorted(bucket[at], np.arange(buckets + 1))
-                some = np.flatnonzero(np.diff(cut))
-                data = np.zeros(len(at), VALUES)
-                data["key"], data["gain"] = key[at], gain[at]
-                part = lambda x, cut=cut, some=some: pa.array([x[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary())
-                bases = part(base[at]) if words else pa.array([b""] * len(some), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), part(data), bases], ["bucket", "data", "base"])
-
-    given = rest.select("key", "known", "base", "gain").mapInArrow(in_blocks, "bucket long, data binary, base binary")
-    found = asks.groupBy("bucket").cogroup(given.groupBy("bucket")).applyInPandas(answered, "first long, rows binary, gain binary, known binary, base binary")
-    sums = found.groupBy("first").applyInPandas(summed_up, "row long, more long, add double, delta double")
+    asks = rows.where("bucket IS NOT NULL").select("bucket", "row", "size", "first", "keys", "rows")
+    sums, passes = [], max(1, min(PASSES, buckets // LEAST_BUCKETS))
+    for i in range(passes):
+        part = F.col("bucket") % passes == i
+        found = asks.where(part).groupBy("bucket").cogroup(given.where(part).groupBy("bucket"))
+        found = found.applyInPandas(lambda a, g: answered(a, g, buckets), "first long, rows binary, gain binary, known binary, base binary")
+        sums.append(materialise(found.groupBy("first").applyInPandas(summed_up, "row long, more long, add double, delta double"), "sums"))
+        release(spark)
+    release(spark, given)
+    sums = reduce(DataFrame.unionByName, sums).groupBy("row").agg(*(F.sum(x).alias(x) for x in ("more", "add", "delta")))
     out = rows.where("bucket IS NULL").join(sums, "row", "left")
     base = F.col("base") + F.coalesce("add", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(z))
     return out.select(
