@@ -301,7 +301,7 @@ def summed(picked: DataFrame, counted, every: bool = False) -> DataFrame:
             del s, b, n, order, first, keep
         trim()
 
-    return picked.mapInArrow(run, BLOCK).repartitionById(parts, F.col("bucket")).mapInArrow(total, "s long, b long, n long")
+    return picked.mapInArrow(run, BLOCK).repartitionById(parts, F.col("bucket")).mapInArrow(total, "s long, b long, n long").coalesce(parts // 4)  # fewer files, the buckets of a task one after the other
 
 
 def count_words(train: DataFrame) -> DataFrame:
@@ -496,7 +496,7 @@ def triple_counts(triples: DataFrame, table_: DataFrame, laws: DataFrame, shared
         return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in TRIPLES.split(", ")])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g, n in gathered(batches, 1_000_000):
+        for g, n in gathered(batches, 500_000):
             if len(g):
                 yield blocks(g, last_pair(g), n)
         trim()
@@ -508,7 +508,7 @@ def triple_counts(triples: DataFrame, table_: DataFrame, laws: DataFrame, shared
         trim()
 
     def lower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, law in gathered(batches, 1_000_000):
+        for key, law in gathered(batches, 500_000):
             if len(key):
                 order, cut, columns = dealt_keys(key, parts)
                 law = law[order]
@@ -528,6 +528,7 @@ def triple_counts(triples: DataFrame, table_: DataFrame, laws: DataFrame, shared
             y, m, s = (np.full(len(g), -1), np.zeros_like(g), np.zeros_like(g)) if b is None else (b, m, s)
             out.append([c[at >= 0] for c in (g, y, n)] + [law[at[at >= 0]], m[at >= 0], s[at >= 0]])
         _INDEX.pop(id(keys), None)
+        trim()
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.float64 if i == 3 else np.int64) for i in range(6)]
         return pa.table(dict(zip(("g", "y", "n", "low", "m", "s"), columns, strict=True)))
 
@@ -697,7 +698,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The values, a block for each bucket, of words and of pairs and triples apart."""
-        for key, known, base, gain in gathered(batches, 1_000_000):
+        for key, known, base, gain in gathered(batches, 500_000):
             for words in (0, 1):
                 at = np.flatnonzero(known == words)
                 if len(at):
@@ -741,7 +742,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                     NAMES,
                 )
                 done += n
-                if sum(len(k) for k, _ in asked) > 1_500_000:
+                if sum(len(k) for k, _ in asked) > 500_000:
                     yield blocks(b.column(0).type)
         if sum(len(k) for k, _ in asked):
             yield blocks(b.column(0).type)
