@@ -7,7 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.operators import clustering, lists, ordering, topics
+from conftest import SF
+
+from threadloom.operators import clustering, lists, ordering, sampling, text, topics
+from threadloom.plans import registry
 from threadloom.sources import provenance as pv
 
 
@@ -78,6 +81,39 @@ def test_gibbs_separates_and_repeats():
     assert min(o.max() / o.sum() for o in own) > 0.9 and own[0].argmax() != own[1].argmax()
 
 
+def test_fits_equal_one_process(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    docs = np.repeat(np.arange(60), 25)
+    terms = np.array([f"{'ab'[d % 2]}{w}" if w else f"only{d}" for d, w in zip(docs, rng.integers(0, 15, len(docs)), strict=True)])
+    long = spark.createDataFrame([(int(d), str(w)) for d, w in zip(docs, terms, strict=True)], "doc_id long, term string").groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    monkeypatch.setattr(sampling, "BUCKET", 7)
+    jobs, got, rounds = [(2, 1), (3, 5)], {}, 12
+    for parts, one_task in ((1, 0), (5, 0), (2, 10**6)):
+        monkeypatch.setattr(sampling, "ONE_TASK", one_task)
+        for r in topics.fits(text.by_document(long).repartition(parts).localCheckpoint(), jobs, rounds).collect():
+            got.setdefault(parts, {})[r.topics, r.seed, r.doc_id, r.term, r.k] = r.n
+    want = {}
+    for k, seed in jobs:
+        for d, w, z in zip(docs.tolist(), terms.tolist(), topics.gibbs(docs, terms, k, seed, rounds).tolist(), strict=True):
+            want[k, seed, d, w, z] = want.get((k, seed, d, w, z), 0) + 1
+    assert got[1] == want and got[5] == want and got[2] == want
+    assert sampling.MOST_ROUNDS == 1000 and topics.fits(text.by_document(long.limit(0)), jobs).count() == 0
+
+
+def test_queries_fit_to_the_end(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(topics, "fits", lambda docs, jobs, rounds_=None, **more: rounds.append((jobs, rounds_, more)) or spark.createDataFrame([], "topics int, seed int, doc_id long, term string, k int, n long"))
+    for q in ("l03_gibbs_fits", "l16_refit"):
+        registry.queries()[q](spark, SF)
+    assert rounds == [([(5, 1), (5, 2)], None, {}), ([(5, 1)], None, {}), ([(5, 1)], None, {})]
+
+
+def test_term_counts_of_repeated_ids(spark):
+    d = spark.createDataFrame([(1, "b a b's a"), (2, "cc bb cc"), (2, "bb dd"), (None, "ee ff"), (None, "ee"), (3, "x"), (4, None)], "doc_id long, text string")
+    got = {r.doc_id: [tuple(c) for c in r.cells] for r in text.term_counts(d).collect()}
+    assert got == {2: [("bb", 2), ("cc", 2), ("dd", 1)], None: [("ee", 2), ("ff", 1)]}
+
+
 def test_average_linkage_brute_force():
     rng = np.random.default_rng(5)
     names = list("abcdefg")
