@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF
 
+from threadloom.operators import blocks as blk
 from threadloom.operators import clustering, lists, ordering, sampling, text, topics
 from threadloom.plans import registry
 from threadloom.sources import provenance as pv
@@ -33,6 +34,44 @@ def test_spanning_tree_brute_force():
     assert len(tree) == len(x) - 1 and np.isclose(sum(e[2] for e in tree), total)
 
 
+def test_spanning_tree_in_blocks(spark, monkeypatch):
+    x = np.concatenate([blobs(2), blobs(2)[:7]])  # and copies
+    df = spark.createDataFrame([(3 * i, [float(v) for v in r]) for i, r in enumerate(x)], "k long, v array<double>")
+    want = [e[2] for e in clustering.reach_tree(x, 5)]
+    labels = clustering.clusters_of(clustering.reach_tree(x, 5), len(x), 10)[0].tolist()
+    for size in (11, 60, 5000):
+        monkeypatch.setattr(blk, "TREE_BLOCK", size)
+        got = clustering.spanning_tree(df, "k", "v", 5).orderBy("step").collect()
+        assert len({r.from_key for r in got} | {r.to_key for r in got}) == len(x) and np.allclose([r.distance for r in got], want)
+        assert [r.cluster_label for r in clustering.density_clusters(df, "k", "v", 10, 5).orderBy("k").collect()] == labels
+    assert clustering.spanning_tree(df.limit(1), "k", "v", 5).count() == 0 and clustering.density_clusters(df.limit(0), "k", "v", 10, 5).count() == 0
+
+
+def test_more_vectors_than_a_limit(spark):
+    df = spark.range(20_001).select("id", F.array(F.rand(1), F.rand(2)).alias("v"))
+    assert clustering.spanning_tree(df, "id", "v", 3).count() == 20_000
+
+
+def test_neighbours_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(0, 1, (90, 4)), np.tile(rng.normal(0, 1, (1, 4)), (80, 1)), np.zeros((2, 4))])  # many copies, vectors without a length
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "k long, v array<double>")
+    u = x / np.maximum(np.sqrt((x**2).sum(1, keepdims=True)), 1e-300)
+    s = np.round(u @ u.T, 9)
+    want = {(i, n + 1, j) for i in range(len(x)) for n, j in enumerate(sorted((j for j in range(len(x)) if j != i), key=lambda j: (-s[i, j], j))[:3])}
+    for size in (13, 100, 4096):
+        monkeypatch.setattr(blk, "NEAR_BLOCK", size)
+        assert {(r.k, r.rank, r.neighbour) for r in clustering.nearest(df, "k", "v", 3).collect()} == want
+
+
+def test_layout_in_blocks(spark, monkeypatch):
+    df = spark.createDataFrame([(5 * i, [float(v) for v in r]) for i, r in enumerate(blobs(3))], "k long, v array<double>")
+    one = clustering.layout(df, "k", "v", 2, 5, 8, seed=3).orderBy("k").collect()
+    monkeypatch.setattr(clustering, "AT_ONCE", 300)
+    two = clustering.layout(df, "k", "v", 2, 5, 8, seed=3).orderBy("k").collect()
+    assert len(one) == 96 and np.allclose(np.array(one, float), np.array(two, float))
+
+
 def test_density_clusters(spark):
     x = blobs()
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "k long, v array<double>")
