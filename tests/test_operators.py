@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from conftest import SF
 
 from threadloom.operators import blocks as blk
-from threadloom.operators import clustering, lists, ordering, sampling, text, topics
+from threadloom.operators import clustering, corpus, lists, ordering, sampling, text, topics
+from threadloom.plans import corpus as corpus_plans
 from threadloom.plans import registry
+from threadloom.sources import adapters as ad
 from threadloom.sources import provenance as pv
 
 
@@ -153,6 +155,42 @@ def test_term_counts_of_repeated_ids(spark):
     assert got == {2: [("bb", 2), ("cc", 2), ("dd", 1)], None: [("ee", 2), ("ff", 1)]}
 
 
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tokens_are_counted_within_rows(spark):
+    assert "Exchange" not in _plan(registry.queries()["t13_document_terms"](spark, SF))
+    d = ad.read(spark, SF, "documents")
+    m = corpus_plans.model(spark, SF)
+    assert "Exchange" not in _plan(m.assigned) and "Exchange" not in _plan(m.with_shares())
+    for df in (text.term_counts(d), m.docs):
+        assert "Join" not in _plan(df)
+    assert "doc_id" not in "".join(x for x in _plan(ad.lists(spark, SF)).splitlines() if "Exchange" in x)
+    plan = _plan(corpus.second_path(d))
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan  # the second tokenizer's tokens are not gathered in batches
+
+
+def test_frequent_terms_change_nothing(spark, monkeypatch):
+    docs = spark.createDataFrame([(d, f"t{w}", k, 1 + (d + w) % 3) for d in range(9) for w in range(12) for k in (0, 1) if (d * w + k) % 4 < 2], "doc_id long, term string, k int, n long")
+    docs = docs.groupBy("doc_id").agg(F.collect_list(F.struct("term", "k", "n")).alias("cells"))
+    got = topics.perplexity(topics.Model(docs, 2)).first()
+    counts = {}
+    for r in docs.collect():
+        for c in r.cells:
+            counts[r.doc_id, c.term, c.k] = counts.get((r.doc_id, c.term, c.k), 0) + c.n
+    total = lambda f: sum(n for x, n in counts.items() if f(*x))
+    v = len({w for _, w, _ in counts})
+    share = lambda d, k: (total(lambda a, b, c: (a, c) == (d, k)) + 2.5) / (total(lambda a, b, c: a == d) + 5)
+    p = lambda w, k: (total(lambda a, b, c: (b, c) == (w, k)) + 0.01) / (total(lambda a, b, c: c == k) + v * 0.01)
+    want = sum(n * np.log(sum(share(d, k) * p(w, k) for k in (0, 1))) for (d, w, _), n in counts.items())
+    assert np.isclose(got.loglik, want, atol=2e-3) and got.tokens == sum(counts.values())
+    before = registry.queries()["m01_conversion_accounting"](spark, SF).collect()
+    monkeypatch.setattr(topics, "FREQUENT", 3)
+    monkeypatch.setattr(corpus, "TELLING", 1)
+    assert topics.perplexity(topics.Model(docs, 2)).first() == got and sorted(registry.queries()["m01_conversion_accounting"](spark, SF).collect()) == sorted(before)
+
+
 def test_average_linkage_brute_force():
     rng = np.random.default_rng(5)
     names = list("abcdefg")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -160,13 +162,15 @@ def _runs_by_hand(text: str | None) -> list[str]:
 
 
 def second_path(docs: DataFrame) -> DataFrame:
-    """Documents whose tokens differ between the expression and the hand-written tokenizer."""
+    """Documents whose tokens differ between the expression and the hand-written tokenizer; a task holds the tokens of one document at a time."""
 
-    @F.pandas_udf("array<string>")
-    def by_hand(s: pd.Series) -> pd.Series:
-        return s.map(_runs_by_hand)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            differ = sum(_runs_by_hand(b.column(0)[i].as_py()) != (b.column(1)[i].as_py() or []) for i in range(b.num_rows))
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64()), pa.array([differ], pa.int64())], ["documents", "differ"])
 
-    return docs.select((F.coalesce(letter_runs(F.col("text")), F.array().cast("array<string>")) != by_hand("text")).alias("differs")).agg(rows().alias("documents"), F.count_if("differs").alias("differ"))
+    n = docs.select("text", letter_runs(F.col("text")).alias("runs")).mapInArrow(run, "documents long, differ long")
+    return n.agg(F.coalesce(F.sum("documents"), F.lit(0)).alias("documents"), F.coalesce(F.sum("differ"), F.lit(0)).alias("differ"))
 
 
 # --- models -----------------------------------------------------------------------
@@ -185,7 +189,7 @@ def proxies(m: topics.Model, most: int, least_tokens: int) -> DataFrame:
     r = m.theta.where(F.col("nd") >= least_tokens).withColumn("s", F.round("share", 9))
     r = r.withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("s"), "doc_id")).cast("long")).where(F.col("rank") <= most).select("k", "rank", "doc_id")
     r = F.broadcast(cut(r))  # topics x most rows
-    held = m.cells.join(r.select("doc_id").distinct(), "doc_id", "left_semi")
+    held = m.docs.join(r.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.inline("cells")).groupBy("doc_id", "term").agg(F.sum("n").alias("n"))
     types = held.groupBy("doc_id").agg(F.round(rows() / F.greatest(F.sum("n"), F.lit(1)), 9).alias("ttr"))
     top = topics.ranked_words(m, 10).select("k", "term")
     present = held.join(r, "doc_id").join(top, ["k", "term"]).groupBy("k", "doc_id").agg(rows().alias("present"))
@@ -204,13 +208,24 @@ def summary_of_two(a: topics.Model, b: topics.Model) -> DataFrame:
     return facts(a).withColumnRenamed("v", "first").join(facts(b).withColumnRenamed("v", "second"), ["section", "item"])
 
 
-def conversion(docs: DataFrame, cells: DataFrame, floor: int) -> DataFrame:
-    """stage, n: documents, tokens and terms that a conversion to kept terms enters with and leaves with."""
-    kept = cells.join(cells.groupBy("term").agg(rows().alias("df")).where(F.col("df") >= floor).select("term"), "term")
-    a = docs.agg(rows().alias("documents in source"))
-    b = cells.agg(F.count_distinct("doc_id").alias("documents with tokens"), F.sum("n").alias("tokens"), F.count_distinct("term").alias("terms"))
-    c = kept.agg(F.count_distinct("doc_id").alias("documents after conversion"), F.sum("n").alias("tokens after conversion"), F.count_distinct("term").alias("terms after conversion"), rows().alias("cells"))
-    row = a.crossJoin(b).crossJoin(c)  # one row each
+#: So many of the most frequent terms tell of almost every document that it keeps a term.
+TELLING = 1000
+
+
+def conversion(docs: DataFrame, counts: DataFrame, floor: int) -> DataFrame:
+    """stage, n: documents, tokens and terms that a conversion to kept terms enters with and leaves with. counts: doc_id and cells, a row a document; it is read several times."""
+    terms = cut(counts.select("doc_id", F.inline("cells")).groupBy("term").agg(rows().alias("df"), F.sum("n").alias("n")))
+    kept = F.col("df") >= floor
+    often = [r.term for r in terms.where(kept).orderBy(F.desc("df"), "term").limit(TELLING).collect()]
+    sure = F.arrays_overlap(F.transform("cells", lambda c: c["term"]), F.array(*map(F.lit, often)).cast("array<string>"))
+    left = counts.where(~sure).select("doc_id", F.inline("cells")).join(terms.where(kept).select("term"), "term").select("doc_id").distinct().agg(F.count("doc_id").alias("d"))
+    after = counts.agg(F.count(F.when(sure, F.col("doc_id"))).alias("s")).crossJoin(left).select((F.col("s") + F.col("d")).alias("documents after conversion"))
+    a, d = docs.agg(rows().alias("documents in source")), counts.agg(F.count("doc_id").alias("documents with tokens"))
+    total = lambda c, x: F.coalesce(F.sum(F.when(x, F.col(c))), F.lit(0)).cast("long")
+    b = terms.agg(
+        total("n", F.lit(True)).alias("tokens"), rows().alias("terms"), total("n", kept).alias("tokens after conversion"), F.count_if(kept).alias("terms after conversion"), total("df", kept).alias("cells"),
+    )
+    row = a.crossJoin(d).crossJoin(after).crossJoin(b)  # one row each
     return row.unpivot([], [F.col(f"`{x}`") for x in row.columns], "stage", "n")
 
 
@@ -256,11 +271,11 @@ def fit_log(lines: DataFrame) -> DataFrame:
 
 
 def linkage_checks(m: topics.Model, tokens: DataFrame, docs: DataFrame) -> DataFrame:
-    """Named checks that a fit belongs to its corpus."""
+    """Named checks that a fit belongs to its corpus. tokens: n, the number of each document's tokens."""
     per = m.theta.groupBy("doc_id").agg(F.sum("share").alias("s"))
     one = per.agg(rows().alias("docs"), F.bool_and(F.abs(F.col("s") - 1) < 1e-9).alias("sums"))
     two = topics.dominant(m).agg(rows().alias("dominants"))
-    three = m.assigned.agg(F.sum("n").alias("assigned")).crossJoin(tokens.agg(rows().alias("tokens")))
+    three = m.assigned.agg(F.sum("n").alias("assigned")).crossJoin(tokens.agg(F.sum("n").alias("tokens")))
     strangers = per.join(docs.select("doc_id"), "doc_id", "left_anti").agg(rows().alias("strangers"))
     none = F.lit("")
     row = one.crossJoin(two).crossJoin(three).crossJoin(strangers)  # one row each

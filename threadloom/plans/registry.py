@@ -142,7 +142,7 @@ def t24_type_token_ratio(spark, sf):
 @query(f"""WITH {ad.TOKENS}, d AS (SELECT count(DISTINCT doc_id) AS n_docs FROM tokens) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS n,
   CASE WHEN count(DISTINCT doc_id) < 5 THEN 'rare' WHEN count(DISTINCT doc_id) > 0.5 * any_value(n_docs) THEN 'common' ELSE 'kept' END AS reason FROM tokens, d GROUP BY 1""")
 def t12_vocabulary(spark, sf):
-    return text.vocabulary(ad.tokens(spark, sf))
+    return text.vocabulary(text.term_counts(ad.read(spark, sf, "documents")))
 
 
 @query(r"""SELECT md5(trim(regexp_replace(regexp_replace(lower(text), '(https?://|www\.)\S+', ' ', 'gi'), '[^\p{L}]+', ' ', 'g'))) AS form, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1""")

@@ -211,12 +211,12 @@ def x06_words_beyond_smaller_lists(spark, sf):
 
 @query(f"WITH {ad.TOKENS} SELECT doc_id, term, count(*) AS n FROM tokens GROUP BY 1, 2")
 def t13_document_terms(spark, sf):
-    return ad.tokens(spark, sf).groupBy("doc_id", "term").agg(rows().alias("n"))
+    return text.term_counts(ad.read(spark, sf, "documents")).select("doc_id", F.inline("cells"))
 
 
 @query(f"WITH {ad.TOKENS} SELECT term, count(DISTINCT doc_id) AS df FROM tokens GROUP BY 1 ORDER BY df DESC, term LIMIT 50")
 def t17_top_terms(spark, sf):
-    return text.vocabulary(ad.tokens(spark, sf)).select("term", "df").orderBy(F.desc("df"), "term").limit(50)
+    return text.vocabulary(text.term_counts(ad.read(spark, sf, "documents"))).select("term", "df").orderBy(F.desc("df"), "term").limit(50)
 
 
 @query(f"""WITH {ad.TOKENS}, t AS (SELECT term, count(DISTINCT doc_id) AS df, bool_or(lang = 'en') AS a, bool_or(lang <> 'en') AS b FROM tokens WHERE lang IS NOT NULL GROUP BY 1)
