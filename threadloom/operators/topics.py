@@ -27,17 +27,13 @@ class Model:
         self.assigned = docs.select("doc_id", F.inline("cells"))
         self.topics = docs.sparkSession.range(topics).select(F.col("id").cast("int").alias("k"))
 
-    def with_shares(self) -> DataFrame:
-        """doc_id, nd, shares, cells: a document's tokens and its smoothed share of each topic, within rows."""
-        alpha, none = ALPHA_SUM / self.k, F.lit(0).cast("long")
-        in_topic = lambda i: F.aggregate("cells", none, lambda s, c: s + F.when(c["k"] == i, c["n"]).otherwise(0))
-        d = self.docs.select("doc_id", F.aggregate("cells", none, lambda s, c: s + c["n"]).alias("nd"), F.array(*map(in_topic, range(self.k))).alias("own"), "cells")
-        return d.select("doc_id", "nd", F.transform("own", lambda n: (n + alpha) / (F.col("nd") + self.k * alpha)).alias("shares"), "cells")
-
     @cached_property
     def shares(self) -> DataFrame:
-        """doc_id, nd, shares: a row a document."""
-        return stored(self.with_shares().drop("cells"), "shares")
+        """doc_id, nd, shares: a row a document, its tokens and its smoothed share of each topic. Summed before the shuffle, as a document's cells are in one row."""
+        alpha = ALPHA_SUM / self.k
+        own = [F.coalesce(F.sum(F.when(F.col("k") == i, F.col("n"))), F.lit(0)).alias(f"n{i}") for i in range(self.k)]
+        d = self.assigned.groupBy("doc_id").agg(F.sum("n").alias("nd"), *own)
+        return stored(d.select("doc_id", "nd", F.array(*[(F.col(f"n{i}") + alpha) / (F.col("nd") + self.k * alpha) for i in range(self.k)]).alias("shares")), "shares")
 
     @cached_property
     def theta(self) -> DataFrame:
@@ -76,7 +72,7 @@ def perplexity(m: Model) -> DataFrame:
     """loglik, tokens, perplexity over all cells: sum of n ln(sum over k of theta phi). A cell carries its document's shares, so cells of frequent terms do not move."""
     n = m.terms().orderBy(F.desc("n"), "term").limit(FREQUENT)
     wide = stored(m.wide().join(n.select("term", F.lit(True).alias("often")), "term", "left"), "wide")
-    cells = m.with_shares().select("shares", F.inline("cells"))
+    cells = m.docs.join(m.shares.select("doc_id", "shares"), "doc_id").select("shares", F.inline("cells"))
     p = sum(F.col("shares")[i] * F.col(f"p{i}") for i in range(m.k))
     here = cells.join(F.broadcast(wide.where("often").drop("often")), "term", "left").withColumn("ln", F.ln(p))
     rare = lambda c: F.when(F.col("p0").isNull(), F.col(c)).alias(c)
